@@ -50,7 +50,7 @@ def apply_limit(df: DataFrame, table: DataFrame, columns, unknown: str = UNKNOWN
     order = df.columns
     for c in columns:
         df = attach_long(df, table, c, {"_kept": "kept"}, null_safe=False)
-        df = df.withColumn(c, F.when("_kept", F.col(c).cast("string")).otherwise(unknown)).drop("_kept")
+        df = df.withColumn(c, F.when(F.col("_kept"), F.col(c).cast("string")).otherwise(unknown)).drop("_kept")
     return df.select(*order)
 
 
