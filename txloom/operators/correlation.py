@@ -17,68 +17,95 @@ SUMS = "col_i string, col_j string, n double, si double, sj double, sii double,
 
 
 def _finite(c: str) -> Column:
-    x = F.col(c).cast("double")
-    return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), None).otherwise(x)
+    """The value as double, null unless finite (NaN compares above infinity)."""
+    return F.expr(f"case when abs(cast(`{c}` as double)) < double('infinity') then cast(`{c}` as double) end")
+
+
+def _stack(columns: dict[str, tuple[int, ...]], names: str) -> Column:
+    """One output row per column: its numbers, then its value."""
+    rows = ", ".join(f"{', '.join(str(n) for n in numbers)}, `{c}`" for c, numbers in columns.items())
+    return F.expr(f"stack({len(columns)}, {rows}) as {names}")
 
 
 def _presence_classes(work: DataFrame, columns: list[str], key: str) -> list[list[int]]:
     """Columns grouped by the set of rows in which they are present.
 
-    A set is known by its size and two sums of row hashes: one aggregate for
-    all columns.
+    A set is known by its size and two sums of row hashes, counted for all
+    columns in one aggregate.
     """
-    aggs = []
-    for i, c in enumerate(columns):
-        here = F.col(c).isNotNull()
-        aggs.append(F.struct(
-            F.count_if(here).alias("n"),
-            *[F.sum(F.when(here, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 50))).cast("decimal(38,0)"))
-              .alias(f"h{seed}") for seed in (1, 2)]).alias(f"p{i}"))
-    row = work.agg(*aggs).first()
+    hashes = [F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 50)).alias(f"_h{seed}") for seed in (1, 2)]
+    long = work.select(*hashes, _stack({c: (i,) for i, c in enumerate(columns)}, "(c, x)")).where("x is not null")
+    sets = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.col(h).cast("decimal(20,0)")).alias(h) for h in ("_h1", "_h2")]).orderBy("c").collect()
     classes: dict[tuple, list[int]] = {}
-    for i in range(len(columns)):
-        p = row[f"p{i}"]
-        if p["n"]:
-            classes.setdefault((p["n"], p["h1"], p["h2"]), []).append(i)
+    for row in sets:
+        classes.setdefault((row["n"], row["_h1"], row["_h2"]), []).append(row["c"])
     return list(classes.values())
 
 
-def _partial_sums(masks: list[tuple[list[int], list[int]]], names: list[str]):
-    """Task side of the correlation: products of rank columns summed over the rows of a partition."""
+# Most rank values of one row that are handled together in a task.
+BLOCK_WIDTH = 1024
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        width = len(names)
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for mask, rows in batch.groupby("mask"):
-                dense = np.full((len(rows), width), np.nan)
-                at = np.repeat(np.arange(len(rows)), rows["c"].map(len))
-                dense[at, np.concatenate(rows["c"].to_numpy())] = np.concatenate(rows["r"].to_numpy())
-                left, right = masks[mask]
-                a, b = dense[:, left], dense[:, right]
-                ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
-                a, b = np.nan_to_num(a), np.nan_to_num(b)
-                parts = [ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b]
-                if mask in sums:
-                    for total, part in zip(sums[mask], parts):
-                        total += part
-                else:
-                    sums[mask] = parts
-        for mask, parts in sums.items():
-            left, right = masks[mask]
-            same = left == right
-            for x, i in enumerate(left):
-                js = [y for y in range(len(right)) if not same or right[y] > i]
-                if not js:
-                    continue
-                other = [right[y] for y in js]
-                first = np.array([i < j for j in other])
-                n, si, sj, sii, sjj, sij = [p[x, js] for p in parts]
+
+def _blocks(masks: dict[int, tuple[list[int], list[int]]], width: int) -> list[list[int]]:
+    """Masks put together so that each block has at most ``width`` rank columns (or is one mask)."""
+    blocks: list[list[int]] = []
+    filled = width
+    for m, (left, right) in sorted(masks.items()):
+        size = len({*left, *right})
+        if filled + size > width:
+            blocks.append([])
+            filled = 0
+        blocks[-1].append(m)
+        filled += size
+    return blocks
+
+
+def _partial_sums(masks: dict[int, tuple[list[int], list[int]]], blocks: list[list[int]], names: list[str]):
+    """Task side of the correlation: products of rank columns summed over the rows of a partition.
+
+    A rank column of a block is known by mask * (number of names) + column.
+    """
+    p = len(names)
+    slots = [np.array([m * p + c for m in block for c in sorted({*masks[m][0], *masks[m][1]})]) for block in blocks]
+
+    def products(dense: np.ndarray, at: dict[int, int], m: int) -> list[np.ndarray]:
+        left, right = masks[m]
+        a = dense[:, [at[m * p + c] for c in left]]
+        b = dense[:, [at[m * p + c] for c in right]]
+        ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+        a, b = np.nan_to_num(a), np.nan_to_num(b)
+        return [ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b]
+
+    def pairs(m: int, parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        left, right = masks[m]
+        for x, i in enumerate(left):
+            ys = [y for y, j in enumerate(right) if left != right or j > i]
+            if ys:
+                n, si, sj, sii, sjj, sij = [part[x, ys] for part in parts]
+                others = [right[y] for y in ys]
+                first = np.array([i < j for j in others])
                 yield pd.DataFrame({
-                    "col_i": [names[min(i, j)] for j in other], "col_j": [names[max(i, j)] for j in other], "n": n,
+                    "col_i": [names[min(i, j)] for j in others], "col_j": [names[max(i, j)] for j in others], "n": n,
                     "si": np.where(first, si, sj), "sj": np.where(first, sj, si),
                     "sii": np.where(first, sii, sjj), "sjj": np.where(first, sjj, sii), "sij": sij})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for block, rows in batch.groupby("block"):
+                ids = rows["slot"].to_numpy()
+                at = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+                dense = np.full((len(ids), len(slots[block])), np.nan)
+                dense[at, np.searchsorted(slots[block], np.concatenate(ids))] = np.concatenate(rows["r"].to_numpy())
+                place = {int(s): k for k, s in enumerate(slots[block])}
+                for m in blocks[block]:
+                    parts = products(dense, place, m)
+                    sums[m] = [t + q for t, q in zip(sums[m], parts)] if m in sums else parts
+        tables = [t for m, parts in sums.items() for t in pairs(m, parts)]
+        if tables:
+            yield pd.concat(tables)
+
     return run
 
 
@@ -94,45 +121,44 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
     With ``target`` only pairs with that column are returned.
     """
     names = list(dict.fromkeys([*columns, *([target] if target else [])]))
-    work = settle(df.select(key, *[_finite(c).alias(c) for c in names]), "finite")
     goal = names.index(target) if target else None
-    cells = [F.struct(F.lit(i).alias("c"), F.col(c).alias("x")) for i, c in enumerate(names)]
+    work = settle(df.select(key, *[_finite(c).alias(c) for c in names]), "finite")
     if method == "column_ranks":
-        everything = list(range(len(names)))
-        masks = [(everything, everything) if goal is None else ([i for i in everything if i != goal], [goal])]
-        sets = [F.struct(F.lit(0).alias("mask"), F.array(*cells).alias("cells"))]
+        classes = [list(range(len(names)))]
+        present = F.array(F.lit(0))
     elif method == "pairwise":
-        masks, sets = [], []
         classes = _presence_classes(work, names, key)
-        for a, left in enumerate(classes):
-            for right in classes[a:]:
-                if goal is not None:
-                    if goal not in left and goal not in right:
-                        continue
-                    sides = ([i for i in {*left, *right} if i != goal], [goal])
-                else:
-                    sides = (left, right)
-                used = sorted({*sides[0], *sides[1]})
-                if len(used) < 2:
-                    continue
-                if goal is not None and left is not right:
-                    sides = ([i for i in (left if goal in right else right)], [goal])
-                    used = sorted({*sides[0], goal})
-                both = F.col(names[left[0]]).isNotNull() & F.col(names[right[0]]).isNotNull()
-                sets.append(F.when(both, F.struct(F.lit(len(masks)).alias("mask"),
-                                                  F.array(*[cells[i] for i in used]).alias("cells"))))
-                masks.append(sides)
+        marks = ", ".join(f"if(`{names[members[0]]}` is not null, {k}, null)" for k, members in enumerate(classes))
+        present = F.expr(f"array_compact(array({marks}))")
     else:
         raise ValueError("method must be 'pairwise' or 'column_ranks'")
-    spark = df.sparkSession
-    if not sets:
-        return spark.createDataFrame([], "col_i string, col_j string, n bigint, rho double")
-    long = work.select(key, F.explode(F.array(*sets)).alias("s")).where("s is not null").select(
-        key, "s.mask", F.inline("s.cells")).where("x is not null")
+    count = len(classes)
+    of = {i: k for k, members in enumerate(classes) for i in members}
+    home = of.get(goal)
+    if not of or (target and home is None):
+        return df.sparkSession.createDataFrame([], "col_i string, col_j string, n bigint, rho double")
+    # A mask stands for the rows in which two classes are both present.
+    masks = {a * count + b: (classes[a], classes[b]) for a in range(count) for b in range(a, count)}
+    cells = work.select(key, present.alias("present"), _stack({names[i]: (i, k) for i, k in of.items()}, "(c, own, x)"))
+    long = cells.where("x is not null").select(key, "c", "own", "x", F.explode("present").alias("other"))
+    if goal is not None:
+        masks = {m: ([i for i in {*a, *b} if i != goal and (a is b or of[i] != home)], [goal])
+                 for m, (a, b) in masks.items() if home in (of[a[0]], of[b[0]])}
+        long = long.where(F.when(F.col("own") == home, (F.col("c") == goal) | (F.col("other") == home)).otherwise(
+            F.col("other") == home))
+    long = long.select(key, (F.least("own", "other") * count + F.greatest("own", "other")).alias("mask"), "c", "x")
     ranks = average_rank(long, ["mask", "c"], "x", "r", chunks).select("mask", "c", "x", "r")
-    vectors = long.join(ranks, ["mask", "c", "x"]).groupBy(key, "mask").agg(
-        F.collect_list(F.struct("c", "r")).alias("v")).select("mask", F.col("v.c").alias("c"), F.col("v.r").alias("r"))
-    sums = vectors.mapInPandas(_partial_sums(masks, names), SUMS).groupBy("col_i", "col_j").agg(
+    blocks = _blocks(masks, BLOCK_WIDTH)
+    starts = [b[0] for b in blocks]
+    # Masks are numbered through the blocks in order: the block is the last one that starts at or before the mask.
+    block = F.lit(0)
+    if len(blocks) > 1:
+        block = F.size(F.filter(F.lit(starts), lambda s: s <= F.col("mask"))) - 1
+    slot = (F.col("mask").cast("bigint") * len(names) + F.col("c")).alias("slot")
+    vectors = long.join(ranks, ["mask", "c", "x"]).groupBy(key, block.alias("block")).agg(
+        F.collect_list(F.struct(slot, "r")).alias("v")).select(
+        "block", F.col("v.slot").alias("slot"), F.col("v.r").alias("r"))
+    sums = vectors.mapInPandas(_partial_sums(masks, blocks, names), SUMS).groupBy("col_i", "col_j").agg(
         *[F.sum(s).alias(s) for s in ("n", "si", "sj", "sii", "sjj", "sij")])
     over = F.col("n") * F.col("sij") - F.col("si") * F.col("sj")
     spread = (F.col("n") * F.col("sii") - F.col("si") ** 2) * (F.col("n") * F.col("sjj") - F.col("sj") ** 2)

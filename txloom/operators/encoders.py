@@ -22,6 +22,13 @@ from .ordered import row_index
 MISSING_CODE = -999
 
 
+def _replaced(df: DataFrame, table: DataFrame, columns, source: str, value) -> DataFrame:
+    """Listed columns replaced by ``value(name, found)``; ``found`` is the table's ``source`` column."""
+    found = attach_long(df, table, {c: {f"_f_{c}": source} for c in columns}, null_safe=False)
+    new = {c: value(c, F.col(f"_f_{c}")).alias(c) for c in columns}
+    return found.select(*[new.get(c, F.col(c)) for c in df.columns])
+
+
 # -- rare categories ---------------------------------------------------------
 
 def limited_values(df: DataFrame, columns, limit: int = 0, most: int | None = None,
@@ -47,11 +54,8 @@ def split_category_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def apply_limit(df: DataFrame, table: DataFrame, columns, unknown: str = UNKNOWN) -> DataFrame:
-    order = df.columns
-    for c in columns:
-        df = attach_long(df, table, c, {"_kept": "kept"}, null_safe=False)
-        df = df.withColumn(c, F.when(F.col("_kept"), F.col(c).cast("string")).otherwise(unknown)).drop("_kept")
-    return df.select(*order)
+    return _replaced(df, table, columns, "kept", lambda c, kept: F.when(kept, F.col(c).cast("string")).otherwise(
+        unknown))
 
 
 def category_limit(df: DataFrame, columns, limit: int = 0, most: int | None = None, both: bool = True,
@@ -81,12 +85,8 @@ def shared_dictionary(df: DataFrame, columns, limit: int = 0) -> DataFrame:
 
 def apply_codes(df: DataFrame, table: DataFrame, columns, miss: int | None = MISSING_CODE) -> DataFrame:
     """Replace each listed column by its code; a value without code becomes ``miss``."""
-    order = df.columns
-    for c in columns:
-        df = attach_long(df, table, c, {"_code": "code"}, null_safe=False)
-        code = F.col("_code") if miss is None else F.coalesce("_code", F.lit(miss))
-        df = df.withColumn(c, code.cast("bigint")).drop("_code")
-    return df.select(*order)
+    return _replaced(df, table, columns, "code", lambda c, code: (
+        code if miss is None else F.coalesce(code, F.lit(miss))).cast("bigint"))
 
 
 def encode_categories(df: DataFrame, columns, limit: int = 0) -> DataFrame:
@@ -142,12 +142,9 @@ def target_means(df: DataFrame, columns, label: str = LABEL) -> DataFrame:
 
 def apply_means(df: DataFrame, table: DataFrame, columns) -> DataFrame:
     """Replace categories by means; unseen and null ones get the mean of the column so mapped."""
-    order = df.columns
-    for c in columns:
-        df = attach_long(df, table, c, {f"_m_{c}": "mean"}, null_safe=False)
-    fallback = df.agg(*[F.avg(f"_m_{c}").alias(c) for c in columns]).first()
-    filled = {c: F.coalesce(f"_m_{c}", F.lit(fallback[c]).cast("double")) for c in columns}
-    return df.withColumns(filled).select(*order)
+    found = attach_long(df.select(*columns), table, {c: {f"_m_{c}": "mean"} for c in columns}, null_safe=False)
+    fallback = found.agg(*[F.avg(f"_m_{c}").alias(c) for c in columns]).first()
+    return _replaced(df, table, columns, "mean", lambda c, mean: F.coalesce(mean, F.lit(fallback[c]).cast("double")))
 
 
 def target_encode(df: DataFrame, columns, label: str = LABEL, fit_on: Column | None = None) -> DataFrame:
@@ -169,11 +166,7 @@ def frequency_counts(df: DataFrame, columns, compat: bool = False) -> DataFrame:
 
 
 def apply_counts(df: DataFrame, table: DataFrame, columns) -> DataFrame:
-    order = df.columns
-    for c in columns:
-        df = attach_long(df, table, c, {"_n": "count"}, null_safe=False)
-        df = df.withColumn(c, F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n")
-    return df.select(*order)
+    return _replaced(df, table, columns, "count", lambda c, n: F.coalesce(n, F.lit(0)).cast("bigint"))
 
 
 def frequency_encode(df: DataFrame, columns, fit_on: Column | None = None, compat: bool = False) -> DataFrame:
@@ -197,8 +190,7 @@ def evidence_encode(df: DataFrame, columns, label: str = LABEL, fit_on: Column |
     """``<c>_woe``; unseen and null categories carry no evidence (0)."""
     fitted = df.where(fit_on) if fit_on is not None else df
     table = settle(evidence_table(fitted, columns, label, smoothing), "evidence", COLUMN)
-    for c in columns:
-        df = attach_long(df, table, c, {f"{c}_woe": "woe"}, null_safe=False)
+    df = attach_long(df, table, {c: {f"{c}_woe": "woe"} for c in columns}, null_safe=False)
     return df.withColumns({f"{c}_woe": F.coalesce(f"{c}_woe", F.lit(0.0)) for c in columns})
 
 

@@ -38,22 +38,37 @@ def frequency_table(df: DataFrame, columns, within=()) -> DataFrame:
     return long_values(df, columns, within).groupBy(*within, COLUMN, VALUE).agg(F.count(F.lit(1)).alias("n"))
 
 
-def attach_long(df: DataFrame, table: DataFrame, column: str, outputs: dict[str, str], within=(),
+def attach_long(df: DataFrame, table: DataFrame, outputs: dict[str, dict[str, str]], within=(),
                 null_safe: bool = True) -> DataFrame:
-    """Join the part of a (within, column, value, ...) table that belongs to ``column``."""
-    part = table.where(F.col(COLUMN) == column).select(
-        *within, VALUE, *[F.col(src).alias(dst) for dst, src in outputs.items()])
-    on = {**{w: w for w in within}, VALUE: key_text(df, column)}
-    return attach(df, part, on, null_safe)
+    """Join a (within, column, value, ...) table, once for each key column.
 
-
-def count_encode(df: DataFrame, columns, suffix: str = "_count_full", within=()) -> DataFrame:
-    """``<c><suffix>`` = number of rows (per ``within`` group) with the row's value; null is a value."""
+    ``outputs`` names, per key column of ``df``, the new columns and the table
+    columns they come from.  The key texts are made in one projection before
+    the joins and left out in one after them.
+    """
+    names = df.columns
+    keyed = df.select("*", *[key_text(df, c).alias(f"_key_{i}") for i, c in enumerate(outputs)])
+    for i, (c, wanted) in enumerate(outputs.items()):
+        part = table.where(F.col(COLUMN) == c).select(
+            *[F.col(w).alias(f"_on_{i}_{w}") for w in within], F.col(VALUE).alias(f"_on_{i}"),
+            *[F.col(src).alias(dst) for dst, src in wanted.items()])
+        left, right = F.col(f"_key_{i}"), F.col(f"_on_{i}")
+        test = left.eqNullSafe(right) if null_safe else left == right
+        for w in within:
+            same = F.col(w).eqNullSafe(F.col(f"_on_{i}_{w}")) if null_safe else F.col(w) == F.col(f"_on_{i}_{w}")
+            test = test & same
+        keyed = keyed.join(part, test, "left")
+    return keyed.select(*names, *[dst for wanted in outputs.values() for dst in wanted])
+
+
+def count_encode(df: DataFrame, columns, suffix: str = "_count_full", within=(), counted=None) -> DataFrame:
+    """``<c><suffix>`` = number of rows (per ``within`` group) with the row's value; null is a value.
+
+    ``counted`` may give the same rows by a cheaper plan that has just these columns.
+    """
     columns = [c for c in columns if c in df.columns]
-    table = settle(frequency_table(df, columns, within), "counts", COLUMN)
-    for c in columns:
-        df = attach_long(df, table, c, {c + suffix: "n"}, within)
-    return df
+    table = settle(frequency_table(df if counted is None else counted, columns, within), "counts", COLUMN)
+    return attach_long(df, table, {c: {c + suffix: "n"} for c in columns}, within)
 
 
 def card_counts(df: DataFrame) -> DataFrame:
@@ -66,13 +81,13 @@ COUNT_OVERALL = ["ProductCD", "P_emaildomain", "R_emaildomain", *[f"M{i}" for i
                  "DeviceInfo", *[f"id_{i}" for i in range(12, 31)], "id_32", "id_34", "id_36", "id_37", "id_38"]
 
 
-def split_counts(df: DataFrame, columns=COUNT_PER_SPLIT) -> DataFrame:
-    return count_encode(df, columns, "_count_dist", [SPLIT])
+def split_counts(df: DataFrame, columns=COUNT_PER_SPLIT, counted=None) -> DataFrame:
+    return count_encode(df, columns, "_count_dist", [SPLIT], counted)
 
 
-def categorical_counts(df: DataFrame, columns=COUNT_OVERALL, compat: bool = False) -> DataFrame:
+def categorical_counts(df: DataFrame, columns=COUNT_OVERALL, compat: bool = False, counted=None) -> DataFrame:
     """Counts over both splits; ``compat`` keeps the original result, where only id_35 was counted."""
-    return count_encode(df, ["id_35"] if compat else columns)
+    return count_encode(df, ["id_35"] if compat else columns, counted=counted)
 
 
 AGGREGATES = {
@@ -107,9 +122,9 @@ def group_ratios(df: DataFrame, pairs=GROUP_RATIOS, within=(SPLIT,), on_zero: st
     values = list(dict.fromkeys(v for v, _ in pairs))
     table = settle(group_stats(df, keys, values, ("mean", "std"), within), "groupstats", COLUMN)
     columns, ratios = df.columns, {}
-    for k in keys:
-        outputs = {f"_{v}_{s}_{k}": f"{v}_{s}" for v in values for s in ("mean", "std") if (v, k) in pairs}
-        df = attach_long(df, table, k, outputs, within, null_safe=False)
+    outputs = {k: {f"_{v}_{s}_{k}": f"{v}_{s}" for v in values for s in ("mean", "std") if (v, k) in pairs}
+               for k in keys}
+    df = attach_long(df, table, outputs, within, null_safe=False)
     for v, k in pairs:
         for s in ("mean", "std"):
             ratios[f"{v}_to_{s}_{k}"] = ratio(v, f"_{v}_{s}_{k}", on_zero)
@@ -120,7 +135,7 @@ def group_broadcast(df: DataFrame, key: str, values, stats=("mean", "std"), with
     """Statistics of the row's group as columns ``<v>_<stat>_<key>``; null where the key is null."""
     table = settle(group_stats(df, [key], values, stats, within), "groupstats", COLUMN)
     outputs = {f"{v}_{s}_{key}": f"{v}_{s}" for v in values for s in stats}
-    return attach_long(df, table, key, outputs, within, null_safe=False)
+    return attach_long(df, table, {key: outputs}, within, null_safe=False)
 
 
 def fingerprint(columns) -> Column:

@@ -9,13 +9,12 @@ from ..schema import LABEL, SPLIT, is_floating, numeric_columns
 
 
 def _cleared(df: DataFrame, name: str, on_null, on_inf) -> Column:
-    c = F.col(name)
     kind = df.schema[name].dataType
-    null, infinite = F.lit(on_null).cast(kind), F.lit(on_inf).cast(kind)
+    null, infinite = (f"cast({v!r} as {kind.simpleString()})" for v in (on_null, on_inf))
     if not is_floating(kind):
-        return F.coalesce(c, null)
-    wild = c.isin(float("inf"), float("-inf"))
-    return F.when(wild, infinite).when(F.isnan(c), null).otherwise(F.coalesce(c, null))
+        return F.expr(f"coalesce(`{name}`, {null})")
+    return F.expr(f"case when `{name}` is null or isnan(`{name}`) then {null} "
+                  f"when abs(`{name}`) = double('infinity') then {infinite} else `{name}` end")
 
 
 def fill_constant(df: DataFrame, on_null: float = -999.0, on_inf: float = -999.0, columns=None) -> DataFrame:

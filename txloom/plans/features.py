@@ -11,8 +11,8 @@ from ..functions.emails import email_features, proton_flags
 from ..functions.rows import PAIRS, null_count, pair_features
 from ..functions.text import device_features
 from ..operators.correlation import pruned_ratios
-from ..operators.encoders import encode_categories, label_encode
-from ..operators.groupstats import COUNT_PER_SPLIT, card_counts, categorical_counts, group_ratios, split_counts, user_stats
+from ..operators.encoders import apply_codes, label_encode, shared_dictionary
+from ..operators.groupstats import COLUMN, COUNT_PER_SPLIT, card_counts, categorical_counts, group_ratios, split_counts, user_stats
 from ..operators.impute import fill_constant, impute
 from ..schema import ADDRS, CARDS, KEY, LABEL, SPLIT, TIME, declare_categorical, infer_roles, numeric_columns
 from ..session import settle
@@ -65,12 +65,16 @@ def encoded_features(df: DataFrame, options: FeatureOptions = FeatureOptions())
     """All categorical columns as codes of one dictionary, then counts of the codes per split."""
     flags = [f.name for f in df.schema.fields if f.dataType.typeName() == "boolean"]
     df = df.withColumns({c: F.col(c).cast("int") for c in flags})
-    roles = declare_categorical(df, infer_roles(df))
-    df = encode_categories(df, list(roles.categorical))
+    coded = list(declare_categorical(df, infer_roles(df)).categorical)
+    dictionary = settle(shared_dictionary(df, coded), "dictionary", COLUMN)
+    out = apply_codes(df, dictionary, coded)
     if options.per_split_counts:
-        df = split_counts(df, [c for c in COUNT_PER_SPLIT if c in df.columns])
-        df = categorical_counts(df, compat=True) if options.compat and "id_35" in df.columns else df
-    return df
+        counted = [c for c in COUNT_PER_SPLIT if c in df.columns]
+        # The codes of the counted columns alone: the rows need not pass the joins of all columns twice.
+        slim = apply_codes(df.select(SPLIT, *counted), dictionary, [c for c in counted if c in coded])
+        out = split_counts(out, counted, slim)
+        out = categorical_counts(out, compat=True, counted=slim) if options.compat and "id_35" in counted else out
+    return out
 
 
 def model_input(df: DataFrame, options: FeatureOptions = FeatureOptions()) -> tuple[DataFrame, dict]:

@@ -1,6 +1,6 @@
 """The checked queries, one per operator."""
 
-from . import features, groups, tables  # noqa: F401
+from . import clients, features, groups, tables  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

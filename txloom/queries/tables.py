@@ -233,7 +233,7 @@ def c1(spark, folder):
 def c2(spark, folder):
     rows = tx(spark, folder).select(KEY, "card2")
     counts = settle(frequency_table(rows, ["card2"]))
-    return attach_long(rows, counts, "card2", {"card2_count": "n"})
+    return attach_long(rows, counts, {"card2": {"card2_count": "n"}})
 
 
 @query("c3_category_counts_join", sql(
