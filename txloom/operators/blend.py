@@ -15,7 +15,7 @@ from ..schema import KEY, LABEL, SPLIT
 from ..session import settle
 from .lookup import attach
 from .metrics import auc
-from .ordered import average_rank, row_index
+from .ordered import average_rank, group_quantile, row_index
 
 
 def mean_blend(predictions: DataFrame, by=(KEY,), compat: bool = False) -> DataFrame:
@@ -64,35 +64,14 @@ def rank_fused(df: DataFrame, seen: str, general: str, special: str, key: str =
     return overall.where(F.col(seen)).select(key, F.col("_rank").alias("fused_rank")).unionByName(swapped)
 
 
-def client_quantile(df: DataFrame, client: str, q: float = 0.9, prediction: str = "prediction", key: str = KEY,
-                    chunks: int | None = None) -> DataFrame:
-    """(client, smoothed): linearly interpolated quantile of the client's predictions.
-
-    The two order statistics are picked by position, so no task has to hold
-    the predictions of one client.
-    """
-    rows = df.where(F.col(prediction).isNotNull()).select(client, key, prediction)
-    placed = row_index(rows, [client], [prediction, key], "_at", chunks)
-    sizes = rows.groupBy(client).agg(F.count(F.lit(1)).alias("_size"))
-    target = q * (F.col("_size") - 1)
-    low = F.floor(target)
-    pick = attach(placed, settle(sizes, "sizes"), {client: client}, null_safe=True).withColumns(
-        {"_low": low, "_part": target - low}).where(F.col("_at").between(F.col("_low"), F.col("_low") + 1))
-    ends = pick.groupBy(client).agg(
-        F.max(F.when(F.col("_at") == F.col("_low"), F.col(prediction))).alias("_a"),
-        F.max(F.when(F.col("_at") > F.col("_low"), F.col(prediction))).alias("_b"), F.max("_part").alias("_part"))
-    step = (F.coalesce("_b", "_a") - F.col("_a")) * F.col("_part")
-    return ends.select(client, (F.col("_a") + step).alias("smoothed"))
-
-
-def smooth_by_client(df: DataFrame, client: str, how: str = "mean", q: float = 0.9, prediction: str = "prediction",
-                     key: str = KEY) -> DataFrame:
+def smooth_by_client(df: DataFrame, client: str, how: str = "mean", q: float = 0.9,
+                     prediction: str = "prediction") -> DataFrame:
     """Every row gets one value of its client: mean or quantile; rows without client keep their own."""
     known = df.where(F.col(client).isNotNull())
     if how == "mean":
         table = known.groupBy(client).agg(F.avg(prediction).alias("smoothed"))
     else:
-        table = client_quantile(known, client, q, prediction, key)
+        table = group_quantile(known, [client], prediction, q, "smoothed")
     joined = attach(df, settle(table, "smooth"), {client: client})
     return joined.withColumn(prediction, F.coalesce("smoothed", prediction)).drop("smoothed")
 

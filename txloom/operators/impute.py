@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import LABEL, SPLIT, is_floating, numeric_columns
+from .ordered import group_quantile
 
 
 def _cleared(df: DataFrame, name: str, on_null, on_inf) -> Column:
@@ -37,13 +37,18 @@ def impute(df: DataFrame, columns, strategy: str = "mean", indicator: bool = Fal
     """
     if compat:
         return df
+    if strategy not in ("mean", "median"):
+        raise ValueError("strategy must be 'mean' or 'median'")
     train = train if train is not None else (df.where(F.col(SPLIT) == "train") if SPLIT in df.columns else df)
     doubles = {c: F.col(c).cast("double") for c in columns}
-    fitted = Imputer(strategy=strategy, inputCols=list(columns), outputCols=[f"_f_{c}" for c in columns],
-                     relativeError=0.0001).fit(train.select(*[e.alias(c) for c, e in doubles.items()]))
-    value = fitted.surrogateDF.first().asDict()
+    values = train.select(*[e.alias(c) for c, e in doubles.items()])
+    if strategy == "mean":
+        value = values.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
+    else:
+        medians = group_quantile(values.unpivot([], list(columns), "column", "x"), ["column"], "x", 0.5)
+        value = {r["column"]: r["quantile"] for r in medians.collect()}
     out = {f"{c}_missing": F.col(c).isNull().cast("int") for c in columns} if indicator else {}
-    out.update({c: F.coalesce(doubles[c], F.lit(value[c])) for c in columns})
+    out.update({c: F.coalesce(doubles[c], F.lit(value.get(c))) for c in columns})
     return df.withColumns(out)
 
 

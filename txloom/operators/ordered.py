@@ -89,3 +89,27 @@ def previous_value(df: DataFrame, by, order, value: str, name: str, chunks: int
     carried = last.select(*by, CHUNK, F.lag("_last").over(across).alias("_carried")).where("_carried is not null")
     return _carry(local, carried, by).select(
         *df.columns, F.when(F.col("_pos") > 1, F.col("_prev")).otherwise(F.col("_carried.v")).alias(name))
+
+
+def group_quantile(df: DataFrame, by, value: str, q: float, name: str = "quantile",
+                   chunks: int | None = None) -> DataFrame:
+    """(by, quantile): linearly interpolated quantile of the non-null values of each group.
+
+    Exact: the two order statistics are found by position among the counted
+    distinct values, so no task has to hold the values of a group.
+    """
+    distinct = settle(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = distinct.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    placed = running_totals(distinct, by, [value], {"_before": F.col("_n")}, chunks)
+    joined = placed.join(sizes.select(*[F.col(b).alias(f"_s_{b}") for b in by], "_size"),
+                         [F.col(b).eqNullSafe(F.col(f"_s_{b}")) for b in by])
+    target = q * (F.col("_size") - 1)
+    low = F.floor(target)
+    high = F.least(low + 1, F.col("_size") - 1)
+
+    def at(position: Column) -> Column:
+        here = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_n"))
+        return F.max(F.when(here, F.col(value)))
+
+    ends = joined.groupBy(*by).agg(at(low).alias("_a"), at(high).alias("_b"), F.max(target - low).alias("_part"))
+    return ends.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias(name))

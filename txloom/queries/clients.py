@@ -149,7 +149,10 @@ def k12(spark, folder):
     return tidy(out.drop("split"))
 
 
-@query("k12_impute_median")
+@query("k12_impute_median", sql(
+    "+ m as (select median(D15) as a, median(dist1) as b from tx where split = 'train') select TransactionID, "
+    "coalesce(cast(D15 as double), (select a from m)) as D15, coalesce(dist1, (select b from m)) as dist1, cast(D15 is null "
+    "as bigint) as D15_missing, cast(dist1 is null as bigint) as dist1_missing from tx", "tx"))
 def k12_median(spark, folder):
     out = impute(tx(spark, folder).select(KEY, "split", "D15", "dist1"), ["D15", "dist1"], "median", indicator=True)
     return tidy(out.drop("split"))
