@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ratios import amount_ratios, pairwise_ratios
 from ..schema import C_COLS, D_COLS, KEY, V_COLS
 from ..session import settle
-from .ordered import average_rank, running_totals
+from .ordered import running_totals
 
 SUMS = "col_i string, col_j string, n double, si double, sj double, sii double, sjj double, sij double"
 
@@ -43,42 +43,54 @@ def _presence_classes(work: DataFrame, columns: list[str], key: str) -> list[lis
     return list(classes.values())
 
 
-# Most rank values of one row that are handled together in a task.
-BLOCK_WIDTH = 1024
+# Most rank values of one row that a task holds for one pair of blocks.
+BLOCK_WIDTH = 2048
 
 
-def _blocks(masks: dict[int, tuple[list[int], list[int]]], width: int) -> list[list[int]]:
-    """Masks put together so that each block has at most ``width`` rank columns (or is one mask)."""
+def _class_blocks(classes: list[list[int]], width: int = BLOCK_WIDTH) -> list[list[int]]:
+    """Classes put into blocks with (columns of the block) * (classes of the block) up to ``width``."""
     blocks: list[list[int]] = []
-    filled = width
-    for m, (left, right) in sorted(masks.items()):
-        size = len({*left, *right})
-        if filled + size > width:
+    columns = 0
+    for k, members in enumerate(classes):
+        if not blocks or (columns + len(members)) * (len(blocks[-1]) + 1) > width:
             blocks.append([])
-            filled = 0
-        blocks[-1].append(m)
-        filled += size
+            columns = 0
+        blocks[-1].append(k)
+        columns += len(members)
     return blocks
 
 
-def _partial_sums(masks: dict[int, tuple[list[int], list[int]]], blocks: list[list[int]], names: list[str]):
+def _partial_sums(classes: list[list[int]], blocks: list[list[int]], names: list[str], goal: int | None):
     """Task side of the correlation: products of rank columns summed over the rows of a partition.
 
-    A rank column of a block is known by mask * (number of names) + column.
+    A row brings, for a pair of blocks, the ranks of each column of either
+    block, one per class of the other: the rank among the rows where that class is
+    present too.
     """
-    p = len(names)
-    slots = [np.array([m * p + c for m in block for c in sorted({*masks[m][0], *masks[m][1]})]) for block in blocks]
-
-    def products(dense: np.ndarray, at: dict[int, int], m: int) -> list[np.ndarray]:
-        left, right = masks[m]
-        a = dense[:, [at[m * p + c] for c in left]]
-        b = dense[:, [at[m * p + c] for c in right]]
+    depth, count = max(map(len, blocks)), len(blocks)
+
+    def sides(pair: int):
+        one, two = blocks[pair // count], blocks[pair % count]
+        for x, a in enumerate(one):
+            for y, b in enumerate(two):
+                if one is two and b < a:
+                    continue
+                left, right = classes[a], classes[b]
+                if goal is not None:
+                    if goal in right:
+                        left, right = [i for i in left if i != goal], [goal]
+                    elif goal in left:
+                        left, right = [goal], right
+                    else:
+                        continue
+                yield (a, b), left, y, right, x
+
+    def products(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
         a, b = np.nan_to_num(a), np.nan_to_num(b)
         return [ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b]
 
-    def pairs(m: int, parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        left, right = masks[m]
+    def pairs(left: list[int], right: list[int], parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         for x, i in enumerate(left):
             ys = [y for y, j in enumerate(right) if left != right or j > i]
             if ys:
@@ -91,18 +103,23 @@ def _partial_sums(masks: dict[int, tuple[list[int], list[int]]], blocks: list[li
                     "sii": np.where(first, sii, sjj), "sjj": np.where(first, sjj, sii), "sij": sij})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        sums: dict[int, list[np.ndarray]] = {}
+        sums: dict = {}
         for batch in batches:
-            for block, rows in batch.groupby("block"):
-                ids = rows["slot"].to_numpy()
-                at = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-                dense = np.full((len(ids), len(slots[block])), np.nan)
-                dense[at, np.searchsorted(slots[block], np.concatenate(ids))] = np.concatenate(rows["r"].to_numpy())
-                place = {int(s): k for k, s in enumerate(slots[block])}
-                for m in blocks[block]:
-                    parts = products(dense, place, m)
-                    sums[m] = [t + q for t, q in zip(sums[m], parts)] if m in sums else parts
-        tables = [t for m, parts in sums.items() for t in pairs(m, parts)]
+            for pair, rows in batch.groupby("pair"):
+                used = sorted({c for k in (*blocks[pair // count], *blocks[pair % count]) for c in classes[k]})
+                at = {c: i for i, c in enumerate(used)}
+                held = rows["c"].to_numpy()
+                line = np.repeat(np.arange(len(held)), [len(c) for c in held])
+                dense = np.full((len(held), len(used), depth), np.nan)
+                dense[line, np.searchsorted(used, np.concatenate(held))] = np.concatenate(
+                    rows["r"].to_numpy()).reshape(-1, depth)
+                for name, left, y, right, x in sides(pair):
+                    if not left or not right:
+                        continue
+                    parts = products(dense[:, [at[c] for c in left], y], dense[:, [at[c] for c in right], x])
+                    old = sums.get(name)
+                    sums[name] = (left, right, parts if old is None else [t + q for t, q in zip(old[2], parts)])
+        tables = [t for left, right, parts in sums.values() for t in pairs(left, right, parts)]
         if tables:
             yield pd.concat(tables)
 
@@ -114,51 +131,48 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
     """(col_i, col_j, n, rho) for every pair i < j of the listed columns.
 
     Only finite values count.  ``method='pairwise'`` ranks each pair on the rows
-    where both are present: exact.  Columns present in the same rows share
-    their ranking, so the work grows with the number of different row sets and
-    not with the number of pairs.  ``method='column_ranks'`` ranks a column once over
-    its own rows; it differs from the exact result where row sets differ.
+    where both are present: exact.  Columns present in the same rows form a
+    class; a column is sorted once, with one running count per class, and so
+    gets its ranks among the rows of every class in one pass.
+    ``method='column_ranks'`` ranks a column over its own rows only; it differs
+    from the exact result where the row sets differ.
     With ``target`` only pairs with that column are returned.
     """
     names = list(dict.fromkeys([*columns, *([target] if target else [])]))
     goal = names.index(target) if target else None
     work = settle(df.select(key, *[_finite(c).alias(c) for c in names]), "finite")
     if method == "column_ranks":
-        classes = [list(range(len(names)))]
-        present = F.array(F.lit(0))
+        classes, tests = [list(range(len(names)))], ["1L"]
     elif method == "pairwise":
         classes = _presence_classes(work, names, key)
-        marks = ", ".join(f"if(`{names[members[0]]}` is not null, {k}, null)" for k, members in enumerate(classes))
-        present = F.expr(f"array_compact(array({marks}))")
+        tests = [f"if(`{names[members[0]]}` is null, 0L, 1L)" for members in classes]
     else:
         raise ValueError("method must be 'pairwise' or 'column_ranks'")
-    count = len(classes)
-    of = {i: k for k, members in enumerate(classes) for i in members}
-    home = of.get(goal)
-    if not of or (target and home is None):
+    home = next((k for k, members in enumerate(classes) if goal in members), None)
+    if not classes or (target and home is None):
         return df.sparkSession.createDataFrame([], "col_i string, col_j string, n bigint, rho double")
-    # A mask stands for the rows in which two classes are both present.
-    masks = {a * count + b: (classes[a], classes[b]) for a in range(count) for b in range(a, count)}
-    cells = work.select(key, present.alias("present"), _stack({names[i]: (i, k) for i, k in of.items()}, "(c, own, x)"))
-    long = cells.where("x is not null").select(key, "c", "own", "x", F.explode("present").alias("other"))
+    blocks = _class_blocks(classes)
+    depth, count = max(map(len, blocks)), len(blocks)
+    block_of = {i: b for b, block in enumerate(blocks) for k in block for i in classes[k]}
+    flags = [f"array({', '.join([tests[k] for k in block] + ['0L'] * (depth - len(block)))})" for block in blocks]
+    cells = work.select(key, F.expr(f"array({', '.join(flags)})").alias("flags"),
+                        _stack({names[i]: (i, b) for i, b in block_of.items()}, "(c, own, x)"))
+    long = cells.where("x is not null").select(key, "c", "own", "x", F.posexplode("flags").alias("other", "here"))
     if goal is not None:
-        masks = {m: ([i for i in {*a, *b} if i != goal and (a is b or of[i] != home)], [goal])
-                 for m, (a, b) in masks.items() if home in (of[a[0]], of[b[0]])}
-        long = long.where(F.when(F.col("own") == home, (F.col("c") == goal) | (F.col("other") == home)).otherwise(
-            F.col("other") == home))
-    long = long.select(key, (F.least("own", "other") * count + F.greatest("own", "other")).alias("mask"), "c", "x")
-    ranks = average_rank(long, ["mask", "c"], "x", "r", chunks).select("mask", "c", "x", "r")
-    blocks = _blocks(masks, BLOCK_WIDTH)
-    starts = [b[0] for b in blocks]
-    # Masks are numbered through the blocks in order: the block is the last one that starts at or before the mask.
-    block = F.lit(0)
-    if len(blocks) > 1:
-        block = F.size(F.filter(F.lit(starts), lambda s: s <= F.col("mask"))) - 1
-    slot = (F.col("mask").cast("bigint") * len(names) + F.col("c")).alias("slot")
-    vectors = long.join(ranks, ["mask", "c", "x"]).groupBy(key, block.alias("block")).agg(
-        F.collect_list(F.struct(slot, "r")).alias("v")).select(
-        "block", F.col("v.slot").alias("slot"), F.col("v.r").alias("r"))
-    sums = vectors.mapInPandas(_partial_sums(masks, blocks, names), SUMS).groupBy("col_i", "col_j").agg(
+        # Other columns need their ranks among the rows of the target's class only.
+        at = next((b, block.index(home)) for b, block in enumerate(blocks) if home in block)
+        only = F.transform("here", lambda h, i: F.when((F.col("other") == at[0]) & (i == at[1]), h).otherwise(0))
+        long = long.withColumn("here", F.when(F.col("c") == goal, F.col("here")).otherwise(only))
+    counts = long.groupBy("other", "c", "x").agg(*[F.sum(F.get("here", F.lit(k))).alias(f"n{k}") for k in range(depth)])
+    before = running_totals(counts, ["other", "c"], ["x"], {f"b{k}": F.col(f"n{k}") for k in range(depth)}, chunks)
+    ranks = before.select("other", "c", "x", F.array(
+        *[F.col(f"b{k}") + (F.col(f"n{k}") + 1) / 2 for k in range(depth)]).alias("rank"))
+    shown = F.zip_with("here", "rank", lambda h, r: F.when(h > 0, r).otherwise(float("nan"))).alias("r")
+    pair = (F.least("own", "other") * count + F.greatest("own", "other")).alias("pair")
+    vectors = long.join(ranks, ["other", "c", "x"]).groupBy(key, pair).agg(
+        F.collect_list(F.struct("c", shown)).alias("v")).select(
+        "pair", F.col("v.c").alias("c"), F.flatten("v.r").alias("r"))
+    sums = vectors.mapInPandas(_partial_sums(classes, blocks, names, goal), SUMS).groupBy("col_i", "col_j").agg(
         *[F.sum(s).alias(s) for s in ("n", "si", "sj", "sii", "sjj", "sij")])
     over = F.col("n") * F.col("sij") - F.col("si") * F.col("sj")
     spread = (F.col("n") * F.col("sii") - F.col("si") ** 2) * (F.col("n") * F.col("sjj") - F.col("sj") ** 2)
