@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ratios import amount_ratios, pairwise_ratios
@@ -13,6 +13,7 @@ from ..schema import C_COLS, D_COLS, KEY, V_COLS
 from ..session import settle
 from .ordered import running_totals
 
+SUM_NAMES = ["col_i", "col_j", "n", "si", "sj", "sii", "sjj", "sij"]
 SUMS = "col_i string, col_j string, n double, si double, sj double, sii double, sjj double, sij double"
 
 
@@ -21,6 +22,11 @@ def _finite(c: str) -> Column:
     return F.expr(f"case when abs(cast(`{c}` as double)) < double('infinity') then cast(`{c}` as double) end")
 
 
+def _parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _stack(columns: dict[str, tuple[int, ...]], names: str) -> Column:
     """One output row per column: its numbers, then its value."""
     rows = ", ".join(f"{', '.join(str(n) for n in numbers)}, `{c}`" for c, numbers in columns.items())
@@ -45,6 +51,8 @@ def _presence_classes(work: DataFrame, columns: list[str], key: str) -> list[lis
 
 # Most rank values of one row that a task holds for one pair of blocks.
 BLOCK_WIDTH = 2048
+# Rank values gathered in a task before they are multiplied.
+HELD_VALUES = 4_000_000
 
 
 def _class_blocks(classes: list[list[int]], width: int = BLOCK_WIDTH) -> list[list[int]]:
@@ -60,68 +68,109 @@ def _class_blocks(classes: list[list[int]], width: int = BLOCK_WIDTH) -> list[li
     return blocks
 
 
-def _partial_sums(classes: list[list[int]], blocks: list[list[int]], names: list[str], goal: int | None):
-    """Task side of the correlation: products of rank columns summed over the rows of a partition.
+def _cross(dense: np.ndarray) -> list[np.ndarray]:
+    """n, si, sj, sii, sjj and sij of all pairs of columns that have gaps of their own."""
+    here = (~np.isnan(dense)).astype(float)
+    full = np.nan_to_num(dense)
+    square = full * full
+    return [here.T @ here, full.T @ here, here.T @ full, square.T @ here, here.T @ square, full.T @ full]
+
 
-    A row brings, for a pair of blocks, the ranks of each column of either
-    block, one per class of the other: the rank among the rows where that class is
-    present too.
+def _partial_sums(classes: list[list[int]], blocks: list[list[int]], names: list[str], goal: int | None, gaps: bool):
+    """Task side of the correlation: sums over the rows of a partition, one output row per pair of columns.
+
+    The input is sorted by (pair of blocks, row).  A row brings the ranks of
+    each column of either block, one per class of the other block: its rank
+    among the rows in which that class is present too.  Two columns have these
+    ranks in the same rows, so only the product of the two is summed per pair.
     """
     depth, count = max(map(len, blocks)), len(blocks)
+    positions = {}
+    for pair in range(count * count):
+        used = {c for k in (*blocks[pair // count], *blocks[pair % count]) for c in classes[k]}
+        positions[pair] = {c: i for i, c in enumerate(sorted(used))}
 
     def sides(pair: int):
         one, two = blocks[pair // count], blocks[pair % count]
         for x, a in enumerate(one):
             for y, b in enumerate(two):
+                left, right = classes[a], classes[b]
                 if one is two and b < a:
                     continue
-                left, right = classes[a], classes[b]
                 if goal is not None:
                     if goal in right:
                         left, right = [i for i in left if i != goal], [goal]
                     elif goal in left:
-                        left, right = [goal], right
+                        left = [goal]
                     else:
                         continue
-                yield (a, b), left, y, right, x
-
-    def products(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
-        a, b = np.nan_to_num(a), np.nan_to_num(b)
-        return [ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b]
-
-    def pairs(left: list[int], right: list[int], parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        for x, i in enumerate(left):
-            ys = [y for y, j in enumerate(right) if left != right or j > i]
-            if ys:
-                n, si, sj, sii, sjj, sij = [part[x, ys] for part in parts]
-                others = [right[y] for y in ys]
-                first = np.array([i < j for j in others])
-                yield pd.DataFrame({
-                    "col_i": [names[min(i, j)] for j in others], "col_j": [names[max(i, j)] for j in others], "n": n,
-                    "si": np.where(first, si, sj), "sj": np.where(first, sj, si),
-                    "sii": np.where(first, sii, sjj), "sjj": np.where(first, sjj, sii), "sij": sij})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        sums: dict = {}
-        for batch in batches:
-            for pair, rows in batch.groupby("pair"):
-                used = sorted({c for k in (*blocks[pair // count], *blocks[pair % count]) for c in classes[k]})
-                at = {c: i for i, c in enumerate(used)}
-                held = rows["c"].to_numpy()
-                line = np.repeat(np.arange(len(held)), [len(c) for c in held])
-                dense = np.full((len(held), len(used), depth), np.nan)
-                dense[line, np.searchsorted(used, np.concatenate(held))] = np.concatenate(
-                    rows["r"].to_numpy()).reshape(-1, depth)
-                for name, left, y, right, x in sides(pair):
-                    if not left or not right:
+                if left and right:
+                    yield left, y, right, x
+
+    def add(totals: dict, pair: int, line: np.ndarray, c: np.ndarray, r: np.ndarray) -> None:
+        at = positions[pair]
+        order = np.array(sorted(at))
+        dense = np.full((line[-1] + 1, len(at), depth), np.nan)
+        dense[line, np.searchsorted(order, c)] = r
+        if gaps:
+            parts = _cross(dense[:, :, 0])
+        else:
+            full = np.nan_to_num(dense)
+            parts = [(~np.isnan(dense)).sum(axis=0).astype(float), full.sum(axis=0), (full * full).sum(axis=0)]
+            parts += [full[:, [at[i] for i in left], y].T @ full[:, [at[j] for j in right], x]
+                      for left, y, right, x in sides(pair)]
+        old = totals.get(pair)
+        totals[pair] = parts if old is None else [t + q for t, q in zip(old, parts)]
+
+    def pairs(pair: int, parts: list[np.ndarray]) -> Iterator[tuple]:
+        at = positions[pair]
+        for k, (left, y, right, x) in enumerate(sides(pair)):
+            for p, i in enumerate(left):
+                for q, j in enumerate(right):
+                    if i == j or (left == right and j < i):
                         continue
-                    parts = products(dense[:, [at[c] for c in left], y], dense[:, [at[c] for c in right], x])
-                    old = sums.get(name)
-                    sums[name] = (left, right, parts if old is None else [t + q for t, q in zip(old[2], parts)])
-        tables = [t for left, right, parts in sums.values() for t in pairs(left, right, parts)]
-        if tables:
-            yield pd.concat(tables)
+                    if gaps:
+                        n, si, sj, sii, sjj, sij = (part[at[i], at[j]] for part in parts)
+                    else:
+                        n, si, sii = (part[at[i], y] for part in parts[:3])
+                        sj, sjj = (part[at[j], x] for part in parts[1:3])
+                        sij = parts[3 + k][p, q]
+                    if i > j:
+                        yield names[j], names[i], n, sj, si, sjj, sii, sij
+                    else:
+                        yield names[i], names[j], n, si, sj, sii, sjj, sij
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, list[np.ndarray]] = {}
+        held: list[tuple] = []
+        size = 0
+
+        def flush(last: bool) -> None:
+            nonlocal held, size
+            if not held:
+                return
+            pair, row, c, r = (np.concatenate(parts) for parts in zip(*held))
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])
+            # The last row may go on in the next batch.
+            end = len(row) if last else starts[-1]
+            line = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])]) - 1
+            for one in np.unique(pair[:end]):
+                part = np.flatnonzero(pair[:end] == one)
+                add(totals, int(one), line[part] - line[part[0]], c[part], r[part])
+            held = [] if last else [(pair[end:], row[end:], c[end:], r[end:])]
+            size = len(row) - end
+
+        for batch in batches:
+            ranks = batch.column("r").flatten().to_numpy(zero_copy_only=False).reshape(-1, depth)
+            held.append((batch.column("pair").to_numpy(), batch.column("row").to_numpy(zero_copy_only=False),
+                         batch.column("c").to_numpy(), ranks))
+            size += batch.num_rows
+            if size * depth >= HELD_VALUES:
+                flush(False)
+        flush(True)
+        found = [t for pair, parts in totals.items() for t in pairs(pair, parts)]
+        if found:
+            yield pa.RecordBatch.from_pydict(dict(zip(SUM_NAMES, map(list, zip(*found)))))
 
     return run
 
@@ -140,7 +189,8 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
     """
     names = list(dict.fromkeys([*columns, *([target] if target else [])]))
     goal = names.index(target) if target else None
-    work = settle(df.select(key, *[_finite(c).alias(c) for c in names]), "finite")
+    # The work per row grows with (columns * classes) from here on: rows that came in few large files are spread first.
+    work = settle(df.select(key, *[_finite(c).alias(c) for c in names]).repartition(_parallelism(df), key), "finite")
     if method == "column_ranks":
         classes, tests = [list(range(len(names)))], ["1L"]
     elif method == "pairwise":
@@ -169,11 +219,10 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
         *[F.col(f"b{k}") + (F.col(f"n{k}") + 1) / 2 for k in range(depth)]).alias("rank"))
     shown = F.zip_with("here", "rank", lambda h, r: F.when(h > 0, r).otherwise(float("nan"))).alias("r")
     pair = (F.least("own", "other") * count + F.greatest("own", "other")).alias("pair")
-    vectors = long.join(ranks, ["other", "c", "x"]).groupBy(key, pair).agg(
-        F.collect_list(F.struct("c", shown)).alias("v")).select(
-        "pair", F.col("v.c").alias("c"), F.flatten("v.r").alias("r"))
-    sums = vectors.mapInPandas(_partial_sums(classes, blocks, names, goal), SUMS).groupBy("col_i", "col_j").agg(
-        *[F.sum(s).alias(s) for s in ("n", "si", "sj", "sii", "sjj", "sij")])
+    cells = long.join(ranks, ["other", "c", "x"]).select(pair, F.col(key).alias("row"), "c", shown)
+    sums = cells.repartition("row").sortWithinPartitions("pair", "row").mapInArrow(
+        _partial_sums(classes, blocks, names, goal, method == "column_ranks"), SUMS).groupBy("col_i", "col_j").agg(
+        *[F.sum(s).alias(s) for s in SUM_NAMES[2:]])
     over = F.col("n") * F.col("sij") - F.col("si") * F.col("sj")
     spread = (F.col("n") * F.col("sii") - F.col("si") ** 2) * (F.col("n") * F.col("sjj") - F.col("sj") ** 2)
     return sums.where("n > 0").select("col_i", "col_j", F.col("n").cast("bigint").alias("n"),
