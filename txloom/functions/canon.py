@@ -16,7 +16,7 @@ def number_text(c: Column) -> Column:
     c = c.cast("double")
     size = F.abs(c)
     whole = F.concat(c.cast("decimal(17,0)").cast("string"), F.lit(".0"))
-    plain = F.rtrim(F.lit("0"), c.cast("decimal(38,20)").cast("string"))
+    plain = F.rtrim(c.cast("decimal(38,20)").cast("string"), F.lit("0"))
     return (
         F.when(c.isNull() | F.isnan(c), F.lit(None).cast("string"))
         .when((size < 1e16) & (c == F.floor(c)), whole)
