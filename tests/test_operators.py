@@ -286,3 +286,14 @@ def test_users_without_identity_get_null(spark):
     out = {r["TransactionID"]: r for r in groupstats.user_stats(df, ["id_01", "id_02"]).collect()}
     assert out[1]["user_trx_cnt"] == 2 and out[2]["user_TransactionAmt_mean"] == 6.0
     assert out[3]["user_trx_cnt"] is None and len(out) == 3
+
+
+def test_large_lookups_take_the_narrow_way(spark, rows):
+    """With a threshold that no table meets, the rows are the same and are joined once, by key."""
+    want = sorted(map(tuple, groupstats.count_encode(rows, ["g", "v", "isFraud"]).collect()), key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        out = groupstats.count_encode(rows, ["g", "v", "isFraud"])
+        assert sorted(map(tuple, out.collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

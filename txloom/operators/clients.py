@@ -8,7 +8,7 @@ from ..functions.dates import DAY, day_number
 from ..functions.rows import joined_text
 from ..schema import AMOUNT, KEY, LABEL, SPLIT, TIME
 from ..session import settle
-from .lookup import attach
+from .lookup import attach, members
 from .groupstats import AGGREGATES
 from .ordered import previous_value, running_totals
 
@@ -123,9 +123,7 @@ def mark_seen(df: DataFrame, client: str, name: str = "seen") -> DataFrame:
 
 def seen_rows(df: DataFrame, client: str, seen: bool = True) -> DataFrame:
     """Test rows of clients that the training rows hold (or do not hold)."""
-    known = df.where(F.col(SPLIT) == "train").select(F.col(client).alias("_client"))
-    return df.where(F.col(SPLIT) == "test").join(known, F.col(client) == F.col("_client"),
-                                                 "left_semi" if seen else "left_anti")
+    return members(df.where(F.col(SPLIT) == "test"), client, df.where(F.col(SPLIT) == "train"), negate=not seen)
 
 
 def seen_share(df: DataFrame, client: str, period: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.canon import family
-from ..schema import LABEL, SPLIT, UNKNOWN
+from ..schema import KEY, LABEL, SPLIT, UNKNOWN
 from ..session import settle
 from .groupstats import COLUMN, VALUE, attach_long, key_text, long_values
 from .lookup import attach
@@ -24,7 +24,8 @@ MISSING_CODE = -999
 
 def _replaced(df: DataFrame, table: DataFrame, columns, source: str, value) -> DataFrame:
     """Listed columns replaced by ``value(name, found)``; ``found`` is the table's ``source`` column."""
-    found = attach_long(df, table, {c: {f"_f_{c}": source} for c in columns}, null_safe=False)
+    found = attach_long(df, table, {c: {f"_f_{c}": source} for c in columns}, null_safe=False,
+                        row_key=KEY if KEY in df.columns else None)
     new = {c: value(c, F.col(f"_f_{c}")).alias(c) for c in columns}
     return found.select(*[new.get(c, F.col(c)) for c in df.columns])
 

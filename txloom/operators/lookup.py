@@ -44,6 +44,9 @@ def select_keys(df: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
 
 def members(df: DataFrame, column: str, allowed: DataFrame, allowed_column: str | None = None,
             negate: bool = False) -> DataFrame:
-    """Rows whose value is in (or not in) a table of allowed values; a null value is in no table."""
-    right = allowed.select(F.col(allowed_column or column).alias("_allowed"))
+    """Rows whose value is in (or not in) a table of allowed values; a null value is in no table.
+
+    Repeated allowed values are combined first, so that a hot one does not meet itself.
+    """
+    right = allowed.select(F.col(allowed_column or column).alias("_allowed")).distinct()
     return df.join(right, F.col(column) == F.col("_allowed"), "left_anti" if negate else "left_semi")

@@ -1,6 +1,6 @@
 """The checked queries, one per operator."""
 
-from . import clients, features, groups, models, tables  # noqa: F401
+from . import chain, clients, features, groups, models, tables  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.functions import vector_to_array
 
 from ..functions.dates import DAY, day_number, is_december, month_index
-from ..functions.rows import joined_text, missing_pattern, row_extreme, row_extreme_column
+from ..functions.rows import interactions, joined_text, missing_pattern, row_extreme, row_extreme_column
 from ..operators import blend
 from ..operators.clients import (
     CLIENT_KEYS, client_id, client_quality, client_stats, mark_seen, past_target_mean, previous_label, reference_day,
@@ -192,10 +192,9 @@ _INTER = ["card4", "card6", "addr1", "ProductCD"]
 @query("k15_interactions", sql("select TransactionID, " + ", ".join(
     f"{text_sql(*c)} as {'__'.join(c)}" for n in (2, 3, 4) for c in combinations(_INTER, n)) + " from tx", "tx"))
 def k15(spark, folder):
-    rows = tx(spark, folder).select(KEY, *_INTER)
-    out = rows
+    out = tx(spark, folder).select(KEY, *_INTER)
     for size in (2, 3, 4):
-        out = out.select("*", *[joined_text(rows, c).alias("__".join(c)) for c in combinations(_INTER, size)])
+        out = interactions(out, _INTER, size)
     return out.drop(*_INTER)
 
 

@@ -13,7 +13,6 @@ from ..operators.metrics import auc, errors
 from ..operators.narrow import cast_to, column_counts
 from ..operators.sampling import downsample_negatives
 from ..operators.training import mean_score
-from ..plans.features import feature_table
 from ..schema import KEY, SPLIT
 from ..sources.tables import union_splits
 from .fixtures import IDENTITY, joined, oof, sql, table, tx, vmat
@@ -233,12 +232,6 @@ def f5(spark, folder):
     return correlated_later(spearman_pairs(vmat(spark, folder), _VCOLS, "vec_id"))
 
 
-@query("e1_feature_table")
-def feature_chain(spark, folder):
-    """The whole chain from joined rows to filled model input."""
-    return tidy(feature_table(joined(spark, folder)), 4)
-
-
 @query("panel_group_ratios", "with p as (select l_partkey, l_returnflag, l_extendedprice as v from lineitem) "
        "select l_partkey, count(*) as n, round(sum(v / nullif(m, 0)), 6) as total_to_mean, round(max(v / nullif(s, "
        "0)), 6) as top_to_std from (select l_partkey, v, avg(v) over (partition by l_returnflag, l_partkey) as m, "
