@@ -43,7 +43,8 @@ def rank_blend(predictions: DataFrame, by=(KEY,), chunks: int | None = None) ->
     """Mean over the models of the prediction's average rank in its model, scaled to (0, 1]."""
     ranks = average_rank(predictions, ["model"], "prediction", "_rank", chunks).drop("n")
     sizes = predictions.groupBy("model").agg(F.count("prediction").alias("_size"))
-    ranked = predictions.join(ranks, ["model", "prediction"]).join(sizes, "model")
+    ranked = predictions.where("prediction is not null").join(ranks, ["model", "prediction"], "left").join(
+        sizes, "model", "left")
     return ranked.groupBy(*by).agg(F.avg(F.col("_rank") / F.col("_size")).alias("prediction"))
 
 

@@ -219,7 +219,8 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
         *[F.col(f"b{k}") + (F.col(f"n{k}") + 1) / 2 for k in range(depth)]).alias("rank"))
     shown = F.zip_with("here", "rank", lambda h, r: F.when(h > 0, r).otherwise(float("nan"))).alias("r")
     pair = (F.least("own", "other") * count + F.greatest("own", "other")).alias("pair")
-    cells = long.join(ranks, ["other", "c", "x"]).select(pair, F.col(key).alias("row"), "c", shown)
+    # A left join: only the ranks, of known size, may be broadcast, never the much larger exploded rows.
+    cells = long.join(ranks, ["other", "c", "x"], "left").select(pair, F.col(key).alias("row"), "c", shown)
     sums = cells.repartition("row").sortWithinPartitions("pair", "row").mapInArrow(
         _partial_sums(classes, blocks, names, goal, method == "column_ranks"), SUMS).groupBy("col_i", "col_j").agg(
         *[F.sum(s).alias(s) for s in SUM_NAMES[2:]])
