@@ -6,6 +6,8 @@ Both are saved with the stage.
 
 from __future__ import annotations
 
+import json
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -15,6 +17,7 @@ from pyspark.ml.util import (
     MLWritable, MLWriter,
 )
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from ..functions.ratios import amount_ratios, pairwise_ratios
 from ..schema import KEY, LABEL
@@ -31,7 +34,9 @@ class _TableWriter(MLWriter):
         self.instance = instance
 
     def saveImpl(self, path):
-        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        # An empty table leaves no files to read a schema from.
+        schema = {"tableSchema": self.instance.table.schema.json()}
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, schema)
         self.instance.table.write.partitionBy(COLUMN).parquet(f"{path}/table")
 
 
@@ -45,7 +50,8 @@ class _TableReader(MLReader):
         model = self.cls()
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
-        model.table = self.sparkSession.read.parquet(f"{path}/table")
+        schema = StructType.fromJson(json.loads(metadata["tableSchema"]))
+        model.table = self.sparkSession.read.schema(schema).parquet(f"{path}/table")
         return model
 
 
