@@ -205,6 +205,17 @@ def test_sequence_and_past_mean(rows):
         assert part["g_past_mean"].iloc[-1] == pytest.approx(part["isFraud"].iloc[:-1].mean())
 
 
+def test_wide_rows_keep_their_columns(rows):
+    narrow = rows.select("TransactionID", "TransactionDT", "g", "isFraud")
+    for f in (lambda d: clients.sequence_features(d, "g", chunks=5), lambda d: clients.previous_label(d, "g", chunks=5),
+              lambda d: clients.past_target_mean(d, "g", chunks=5)):
+        wide, slim = f(rows), f(narrow)
+        assert wide.columns[:len(rows.columns)] == ["TransactionID", *[c for c in rows.columns if c != "TransactionID"]]
+        shared = sorted(slim.columns)
+        assert sorted(map(tuple, wide.select(shared).collect()), key=str) == sorted(
+            map(tuple, slim.select(shared).collect()), key=str)
+
+
 def test_null_key_gets_no_group_value(spark):
     df = spark.createDataFrame([(1, None, 2.0, "train"), (2, "x", 4.0, "train"), (3, "x", 8.0, "test")],
                                "TransactionID bigint, k string, v double, split string")

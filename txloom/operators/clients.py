@@ -23,6 +23,19 @@ CLIENT_KEYS = {
 }
 
 
+def _beside(df: DataFrame, needed, key: str, compute) -> DataFrame:
+    """Columns that ``compute`` makes from the ``needed`` ones, beside all columns of ``df``.
+
+    The ordered work runs on the needed columns only; a wide table is joined to
+    the result by key once, and is neither sorted nor written.
+    """
+    needed = list(dict.fromkeys(needed))
+    if set(df.columns) <= set(needed):
+        return compute(df)
+    made = compute(df.select(*needed))
+    return df.join(made.select(key, *[c for c in made.columns if c not in needed]), key, "left")
+
+
 def reference_day(delta: str = "D1", time: str = TIME) -> Column:
     """Day on which the counter ``delta`` (days since first use) was zero: constant per card."""
     return day_number(time) - F.floor(delta).cast("int")
@@ -35,7 +48,8 @@ def client_id(df: DataFrame, columns) -> Column:
 def previous_label(df: DataFrame, client: str, label: str = LABEL, time: str = TIME, key: str = KEY,
                    chunks: int | None = None) -> DataFrame:
     """``previous_isfraud``: label of the client's row before, by time."""
-    return previous_value(df, [client], [time, key], label, "previous_isfraud", chunks)
+    return _beside(df, [key, client, time, label], key, lambda d: previous_value(
+        d, [client], [time, key], label, "previous_isfraud", chunks))
 
 
 def client_quality(df: DataFrame, client: str, label: str = LABEL, **kw) -> DataFrame:
@@ -60,6 +74,10 @@ def sequence_features(df: DataFrame, client: str, time: str = TIME, key: str = K
     ``seq_position`` (from 1), ``seq_length``, ``seq_share`` = position / length,
     ``since_first`` and ``to_last`` in seconds.
     """
+    return _beside(df, [key, client, time], key, lambda d: _sequence(d, client, time, key, chunks))
+
+
+def _sequence(df: DataFrame, client: str, time: str, key: str, chunks: int | None) -> DataFrame:
     placed = running_totals(df, [client], [time, key], {"_before": F.lit(1).cast("bigint")}, chunks)
     spans = df.groupBy(client).agg(F.count(F.lit(1)).alias("seq_length"), F.min(time).alias("_first"),
                                    F.max(time).alias("_last"))
@@ -108,10 +126,14 @@ def trailing_activity(df: DataFrame, client: str, windows=LOOK_BACK, amount: str
 def past_target_mean(df: DataFrame, column: str, label: str = LABEL, time: str = TIME, key: str = KEY,
                      name: str | None = None, chunks: int | None = None) -> DataFrame:
     """Mean label of the earlier rows with the same value; null when there is none."""
-    known = F.col(label).isNotNull().cast("bigint")
-    sums = {"_hits": F.coalesce(F.col(label), F.lit(0)).cast("bigint"), "_seen": known}
-    done = running_totals(df, [column], [time, key], sums, chunks)
-    return done.withColumn(name or f"{column}_past_mean", F.try_divide("_hits", "_seen")).drop("_hits", "_seen")
+    sums = {"_hits": F.coalesce(F.col(label), F.lit(0)).cast("bigint"),
+            "_seen": F.col(label).isNotNull().cast("bigint")}
+    mean = F.try_divide("_hits", "_seen").alias(name or f"{column}_past_mean")
+
+    def compute(d: DataFrame) -> DataFrame:
+        return running_totals(d, [column], [time, key], sums, chunks).select(*d.columns, mean)
+
+    return _beside(df, [key, column, time, label], key, compute)
 
 
 def mark_seen(df: DataFrame, client: str, name: str = "seen") -> DataFrame:

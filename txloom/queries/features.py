@@ -150,14 +150,14 @@ _TARGETS = ["card4", "ProductCD", "card2"]
 
 
 @query("g9_target_encode", sql(
-    "+ " + ", ".join(f"m_{c} as (select {c}, avg(isFraud) as m from tx where split = 'train' and {c} is not null and "
-                     f"C3 < 9 group by {c})" for c in _TARGETS) + ", j as (select TransactionID, " + ", ".join(
+    "+ " + ", ".join(f"m_{c} as (select {c}, avg(isFraud) as m from tx where split = 'train' and {c} is not null "
+                     f"group by {c})" for c in _TARGETS) + ", j as (select TransactionID, " + ", ".join(
         f"m_{c}.m as {c}" for c in _TARGETS) + " from tx " + " ".join(
         f"left join m_{c} on tx.{c} = m_{c}.{c}" for c in _TARGETS) + ") select TransactionID, " + ", ".join(
         f"round(coalesce({c}, avg({c}) over ()), 6) as {c}" for c in _TARGETS) + " from j", "tx"))
 def g9(spark, folder):
-    rows = tx(spark, folder).select(KEY, "split", "isFraud", "C3", *_TARGETS)
-    out = target_encode(rows, _TARGETS, fit_on=(F.col("split") == "train") & (F.col("C3") < 9))
+    rows = tx(spark, folder).select(KEY, "split", "isFraud", *_TARGETS)
+    out = target_encode(rows, _TARGETS, fit_on=F.col("split") == "train")
     return tidy(out.select(KEY, *_TARGETS))
 
 

@@ -10,6 +10,8 @@ otherwise, so no broadcast hint is needed for a table that grows with the data.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the checkpoint folder of the session.
 
-    A folder of our own is made only on a local master; on a cluster the
-    setting ``spark.checkpoint.dir`` must name storage that all nodes see.
+    A folder of our own is made only on a local master, and removed when the
+    process ends; on a cluster the setting ``spark.checkpoint.dir`` must name storage that all nodes see.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all nodes")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="txloom-"))
+    own = tempfile.mkdtemp(prefix="txloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
