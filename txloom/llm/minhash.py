@@ -5,7 +5,8 @@
 2. Classes meet in the buckets of ``BANDS`` bands.  The smallest class of a
    bucket is compared with all others; links that this finds are joined to
    components.  Where the rest of a bucket still lies in several components,
-   its classes are compared across components in blocks of bounded size.
+   its classes are compared across components in pairs of bounded blocks; a
+   pair of blocks keeps joining components and gives only the links that do.
 3. A comparison reads the signatures in batches.  After each batch the
    posterior of the similarity (uniform prior) decides: if it gives less than
    ``miss`` to a similarity at or above the threshold, the pair is dropped.
@@ -37,7 +38,7 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 #: Classes of one bucket that a task compares with each other at once.
-BLOCK = 256
+BLOCK = 512
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -158,13 +159,24 @@ def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
     return both.mapInArrow(test, "a binary, b binary")
 
 
-def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs with 100 * |A & B| >= percent * |A | B| on their full sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, text) of one row of each class in ``nodes``."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rep_id"),
                         F.md5(F.coalesce("text", F.lit(""))).alias("rep_place"), "text")
     wanted = classes.join(nodes, "digest", "left_semi").select("digest", "rep_id", "rep_place")
-    texts = settle(keyed.join(wanted, ["rep_id", "rep_place"]).select("digest", "text"), "texts")
+    return keyed.join(wanted, ["rep_id", "rep_place"]).select("digest", "text")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |x & y| >= percent * |x | y| for sorted distinct arrays."""
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that are linked on their full sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    texts = settle(_texts(nodes, classes, docs), "texts")
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -174,42 +186,70 @@ def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
                 left, nl = shingle_sets(piece.column(2), k)
                 right, nr = shingle_sets(piece.column(3), k)
                 el, er = np.cumsum(nl), np.cumsum(nr)
-                keep = []
-                for i in range(piece.num_rows):
-                    x, y = left[el[i] - nl[i]:el[i]], right[er[i] - nr[i]:er[i]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep = [linked(left[el[i] - nl[i]:el[i]], right[er[i] - nr[i]:er[i]], percent) for i in range(piece.num_rows)]
                 yield piece.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(verify, "a binary, b binary").distinct()
 
 
-def _across(members: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Surviving pairs of one bucket between different components, compared block by block.
+def cross_links(sign: np.ndarray, sets: list[np.ndarray], component: np.ndarray, one: np.ndarray, two: np.ndarray,
+                band: int, percent: int, miss: float) -> list[tuple[int, int]]:
+    """Verified links between the members ``one`` and ``two`` of a bucket that join different components.
+
+    Pairs that also share an earlier band are left to its bucket, and pairs
+    that links found here have already joined are not compared.
+    """
+    root = {c: c for c in component.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    bands = sign.reshape(len(sign), BANDS, ROWS)
+    out = []
+    for r in one.tolist():
+        tops = np.array([top(c) for c in component[two].tolist()])
+        rest = two[tops != top(int(component[r]))]
+        rest = rest[posterior_keeps(np.broadcast_to(sign[r], (len(rest), HASHES)), sign[rest], percent / 100, miss)]
+        if band:
+            rest = rest[~(bands[rest, :band] == bands[r, :band]).all(axis=2).any(axis=1)]
+        for g in rest.tolist():
+            x, y = top(int(component[r])), top(int(component[g]))
+            if x != y and linked(sets[r], sets[g], percent):
+                root[max(x, y)] = min(x, y)
+                out.append((r, g))
+    return out
+
+
+def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """Links inside buckets that join different components, found block by block.
 
-    ``members``: (bucket, digest, component, size).  The members of a bucket
-    are dealt into blocks by hash; each pair of blocks is one small group.
+    ``members``: (bucket, band, digest, component, size).  The members of a
+    bucket are dealt into blocks by hash; each pair of blocks is one small
+    group, which gives at most one link per member.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest", "bucket"), "blocks").cast("int"))
     copies = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "component")
-    rows = copies.join(classes.select("digest", "signature"), "digest")
+        "bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "component")
+    texts = _texts(members.select("digest").distinct(), classes, docs)
+    described = settle(texts.join(classes.select("digest", "signature"), "digest"), "described")
+    rows = copies.join(described, "digest")
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         sign = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(-1, HASHES)
+        flat, sizes = shingle_sets(pa.array(frame["text"], pa.string()), k)
+        ends = np.cumsum(sizes)
+        sets = [flat[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
         component = pd.factorize(frame["component"])[0]
         own, digest = frame["own"].to_numpy(), frame["digest"].to_numpy()
-        one, two = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        out = []
-        for r in one:
-            rest = two[two > r] if key[1] == key[2] else two
-            rest = rest[component[rest] != component[r]]
-            good = rest[posterior_keeps(np.broadcast_to(sign[r], (len(rest), HASHES)), sign[rest], threshold, miss)]
-            out.extend((min(digest[r], digest[g]), max(digest[r], digest[g])) for g in good)
-        return pd.DataFrame(out, columns=["a", "b"])
+        one, two = np.flatnonzero(own == key[2]), np.flatnonzero(own == key[3])
+        found = cross_links(sign, sets, component, one, two, int(key[1]), percent, miss)
+        return pd.DataFrame([(min(digest[x], digest[y]), max(digest[x], digest[y])) for x, y in found], columns=["a", "b"])
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return rows.groupBy("bucket", "band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 _NO_ID = -(1 << 63)
@@ -231,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, miss:
         rep.alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).select(
         "digest", F.col("rep.id").alias("rep_id"), F.col("rep.place").alias("rep_place"), "signature", "bands"), "classes")
 
-    members = classes.select("digest", F.explode("bands").alias("bucket"))
+    members = classes.select("digest", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("bucket").agg(F.min("digest").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = settle(members.join(buckets, "bucket").where("digest != pivot"), "buckets")
     first = settle(shared.select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
@@ -240,14 +280,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, miss:
     parts = connected_components(links)
 
     labelled = shared.where("size > 2").join(parts.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "bucket", "digest", "size", F.coalesce("component", "digest").alias("component"))
+        "bucket", "band", "digest", "size", F.coalesce("component", "digest").alias("component"))
     labelled = settle(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
     open_rows = labelled.join(mixed.select("bucket"), "bucket", "left_semi")
-    second = _across(open_rows, classes, threshold, miss).join(first, ["a", "b"], "left_anti")
-    second = settle(second, "across")
-    if not second.isEmpty():
-        links = links.unionByName(_exact(second, classes, docs, k, percent))
+    if not mixed.isEmpty():
+        links = links.unionByName(settle(_across(open_rows, classes, docs, k, percent, miss), "across"))
         parts = connected_components(links)
 
     of_class = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("lowest"))
