@@ -145,6 +145,8 @@ def decode_ids(row: dict, first_block: int = 0, last_block: int | None = None) -
         at = np.arange(len(need)) + np.repeat(pointer - (np.cumsum(taken) - taken), taken)
         state[need] = (state.take(need) << _WORD_BITS) | payload.take(at)
         pointer += taken
+    if (state != _LOW).any():
+        raise ValueError(f"segment {row.get('part')}/{row.get('segment')}: a lane does not end where its encoder began")
     ids = symbols[grid.reshape(steps, blocks, lanes).transpose(1, 0, 2).reshape(blocks, steps * lanes)]
     per_block = steps * lanes
     crc = np.frombuffer(row["block_crc32"], "<u4")
