@@ -196,11 +196,13 @@ def test_trailing_activity_brute_force(rows, chunks):
 
 def test_sequence_and_past_mean(rows):
     out = clients.sequence_features(rows, "g", chunks=6).toPandas()
-    for _, part in out.groupby("g", dropna=False):
+    assert out.loc[out["g"].isna(), "seq_position"].isna().all()
+    for _, part in out.groupby("g"):
         assert sorted(part["seq_position"]) == list(range(1, len(part) + 1))
         assert (part["seq_length"] == len(part)).all()
     past = clients.past_target_mean(rows, "g", chunks=6).toPandas().sort_values(["TransactionDT", "TransactionID"])
-    for _, part in past.groupby("g", dropna=False):
+    assert past.loc[past["g"].isna(), "g_past_mean"].isna().all()
+    for _, part in past.groupby("g"):
         assert np.isnan(part["g_past_mean"].iloc[0])
         assert part["g_past_mean"].iloc[-1] == pytest.approx(part["isFraud"].iloc[:-1].mean())
 
@@ -299,12 +301,44 @@ def test_users_without_identity_get_null(spark):
     assert out[3]["user_trx_cnt"] is None and len(out) == 3
 
 
-def test_large_lookups_take_the_narrow_way(spark, rows):
-    """With a threshold that no table meets, the rows are the same and are joined once, by key."""
-    want = sorted(map(tuple, groupstats.count_encode(rows, ["g", "v", "isFraud"]).collect()), key=str)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+@pytest.mark.parametrize("threshold", ["10m", "1", "-1"])
+def test_lookups_are_the_same_at_any_size(spark, threshold):
+    """Null and repeated row keys stay one row each, whatever Catalyst broadcasts."""
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", None), (None, "b", "x"), (2, None, "y")],
+                               "TransactionID bigint, g string, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        out = groupstats.count_encode(rows, ["g", "v", "isFraud"])
-        assert sorted(map(tuple, out.collect()), key=str) == want
+        out = sorted(map(tuple, groupstats.count_encode(df, ["g", "v"]).collect()), key=str)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out == sorted([(1, "a", "x", 2, 2), (1, "a", None, 2, 1), (None, "b", "x", 1, 2), (2, None, "y", 1, 1)], key=str)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_client_history_is_the_same_at_any_width(spark, wide):
+    """Repeated keys stay one row each, and rows without client have no history."""
+    df = spark.createDataFrame([(k, t, c, 1.0, t % 2) for k in (1, 2, 3) for t, c in ((k, "a"), (k + 10, None))],
+                               "TransactionID bigint, TransactionDT bigint, g string, TransactionAmt double, isFraud int")
+    df = df.withColumn("TransactionID", F.lit(7).cast("bigint"))
+    df = df.withColumn("more", F.lit("m")) if wide else df
+    previous = clients.previous_label(df, "g").collect()
+    assert len(previous) == 6 and all(r.previous_isfraud is None for r in previous if r.g is None)
+    assert sorted(r.previous_isfraud for r in previous if r.previous_isfraud is not None) == [0, 1]
+    sequence = clients.sequence_features(df, "g").collect()
+    assert sorted(r.seq_position for r in sequence if r.g) == [1, 2, 3]
+    assert all(r.seq_position is None and r.seq_length is None for r in sequence if r.g is None)
+    past = clients.past_target_mean(df, "g").collect()
+    assert len(past) == 6 and all(r.g_past_mean is None for r in past if r.g is None)
+    trailing = clients.trailing_activity(df, "g").collect()
+    assert len(trailing) == 6 and all(r.prev_day_count is None for r in trailing if r.g is None)
+
+
+def test_blends_neither_cap_nor_drop(spark):
+    rows = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.5)], "TransactionID bigint, model string, prediction double")
+    assert blend.weighted_blend(rows, {"x": 1, "y": 0}).first().prediction == 0.9
+    with pytest.raises(Exception, match="no weight for model y"):
+        blend.weighted_blend(rows, {"x": 1}).collect()
+    known = spark.createDataFrame([(1, "a", "train", 1, 0.9), (2, "a", "test", None, 0.9), (3, "a", "test", None, 0.95)],
+                                  "TransactionID bigint, client string, split string, isFraud int, prediction double")
+    raised = {r.TransactionID: r.prediction for r in blend.raise_known(known, "client", 1.2).collect()}
+    assert raised[2] == pytest.approx(1.08) and raised[3] == pytest.approx(1.14)

@@ -33,9 +33,10 @@ def geometric_blend(predictions: DataFrame, by=(KEY,)) -> DataFrame:
 
 
 def weighted_blend(predictions: DataFrame, weights: dict, of: str = "model", by=(KEY,)) -> DataFrame:
-    """Weighted mean; models (or folds) without weight are left out."""
-    w = F.coalesce(*[F.when(F.col(of) == m, F.lit(float(v))) for m, v in weights.items()])
-    return predictions.where(w.isNotNull()).groupBy(*by).agg(
+    """Weighted mean; a model (or fold) that has no weight is an error, weight 0 leaves it out."""
+    unknown = F.raise_error(F.concat(F.lit(f"no weight for {of} "), F.coalesce(F.col(of).cast("string"), F.lit("null"))))
+    w = F.coalesce(*[F.when(F.col(of) == m, F.lit(float(v))) for m, v in weights.items()], unknown.cast("double"))
+    return predictions.groupBy(*by).agg(
         (F.sum(F.col("prediction") * w) / F.sum(w)).alias("prediction"))
 
 
@@ -93,11 +94,10 @@ def override_known(df: DataFrame, client: str, label: str = LABEL, prediction: s
 
 def raise_known(df: DataFrame, client: str, factor: float, label: str = LABEL,
                 prediction: str = "prediction") -> DataFrame:
-    """Multiply the test predictions of clients with a positive training row, up to 1."""
+    """Multiply the test predictions of clients with a positive training row; the order of these rows is kept."""
     known = _client_labels(df, client, label)
     hit = (F.col(SPLIT) == "test") & (F.col("_best") == 1)
-    raised = F.least(F.col(prediction) * factor, F.lit(1.0))
-    return known.withColumn(prediction, F.when(hit, raised).otherwise(F.col(prediction))).drop("_worst", "_best")
+    return known.withColumn(prediction, F.when(hit, F.col(prediction) * factor).otherwise(F.col(prediction))).drop("_worst", "_best")
 
 
 def confident_rows(df: DataFrame, low: float = 0.01, high: float = 0.99, prediction: str = "prediction",

@@ -23,17 +23,9 @@ CLIENT_KEYS = {
 }
 
 
-def _beside(df: DataFrame, needed, key: str, compute) -> DataFrame:
-    """Columns that ``compute`` makes from the ``needed`` ones, beside all columns of ``df``.
-
-    The ordered work runs on the needed columns only; a wide table is joined to
-    the result by key once, and is neither sorted nor written.
-    """
-    needed = list(dict.fromkeys(needed))
-    if set(df.columns) <= set(needed):
-        return compute(df)
-    made = compute(df.select(*needed))
-    return df.join(made.select(key, *[c for c in made.columns if c not in needed]), key, "left")
+def _of_known(df: DataFrame, client: str, made) -> DataFrame:
+    """``made`` columns set to null on rows without client: they share no history."""
+    return df.withColumns({c: F.when(F.col(client).isNotNull(), F.col(c)) for c in made})
 
 
 def reference_day(delta: str = "D1", time: str = TIME) -> Column:
@@ -47,9 +39,9 @@ def client_id(df: DataFrame, columns) -> Column:
 
 def previous_label(df: DataFrame, client: str, label: str = LABEL, time: str = TIME, key: str = KEY,
                    chunks: int | None = None) -> DataFrame:
-    """``previous_isfraud``: label of the client's row before, by time."""
-    return _beside(df, [key, client, time, label], key, lambda d: previous_value(
-        d, [client], [time, key], label, "previous_isfraud", chunks))
+    """``previous_isfraud``: label of the client's row before, by time; null without client."""
+    out = previous_value(df, [client], [time, key], label, "previous_isfraud", chunks)
+    return _of_known(out, client, ["previous_isfraud"])
 
 
 def client_quality(df: DataFrame, client: str, label: str = LABEL, **kw) -> DataFrame:
@@ -72,20 +64,17 @@ def sequence_features(df: DataFrame, client: str, time: str = TIME, key: str = K
     """Place of a row in its client's history.
 
     ``seq_position`` (from 1), ``seq_length``, ``seq_share`` = position / length,
-    ``since_first`` and ``to_last`` in seconds.
+    ``since_first`` and ``to_last`` in seconds.  Null without client.
     """
-    return _beside(df, [key, client, time], key, lambda d: _sequence(d, client, time, key, chunks))
-
-
-def _sequence(df: DataFrame, client: str, time: str, key: str, chunks: int | None) -> DataFrame:
     placed = running_totals(df, [client], [time, key], {"_before": F.lit(1).cast("bigint")}, chunks)
     spans = df.groupBy(client).agg(F.count(F.lit(1)).alias("seq_length"), F.min(time).alias("_first"),
                                    F.max(time).alias("_last"))
     joined = attach(placed, settle(spans, "spans"), {client: client}, null_safe=True)
     position = F.col("_before") + 1
-    return joined.select(
+    out = joined.select(
         *df.columns, position.alias("seq_position"), "seq_length", (position / F.col("seq_length")).alias("seq_share"),
         (F.col(time) - F.col("_first")).alias("since_first"), (F.col("_last") - F.col(time)).alias("to_last"))
+    return _of_known(out, client, ["seq_position", "seq_length", "seq_share", "since_first", "to_last"])
 
 
 # Look-back windows in days.
@@ -93,16 +82,17 @@ LOOK_BACK = {"day": 1, "week": 7, "month": 30}
 
 
 def trailing_activity(df: DataFrame, client: str, windows=LOOK_BACK, amount: str = AMOUNT, time: str = TIME,
-                      chunks: int | None = None) -> DataFrame:
+                      chunks: int | None = None, scale: int = 9) -> DataFrame:
     """``prev_<w>_count`` and ``prev_<w>_amount``: the client's rows in the w before the second of this row.
 
     The content of a window is the running total at its end minus that at its
     start.  Both are found in one ordered pass over the client's moments and
     the starts of all windows, so a client with very many rows is spread over
-    tasks like all others.  Amounts are added as decimals: a difference of
-    totals leaves no binary residue.
+    tasks like all others.  Amounts are added as decimals, because a difference
+    of totals then leaves no binary residue: each is rounded to ``scale`` places
+    and may have 28 - ``scale`` digits before them.  Rows without client get nulls.
     """
-    money = F.col(amount).cast("decimal(28,9)")
+    money = F.col(amount).cast(f"decimal(28,{scale})")
     moments = df.groupBy(client, time).agg(F.count(F.lit(1)).alias("_n"), F.sum(money).alias("_s"))
     # A window start sorts before the moment at the same second: that moment is inside the window.
     marks = [F.struct(F.col(time).cast("bigint").alias("_at"), F.lit(len(windows)).alias("_kind"), F.col("_n"),
@@ -120,20 +110,18 @@ def trailing_activity(df: DataFrame, client: str, windows=LOOK_BACK, amount: str
         out.append((end_n - F.max(F.when(at[i], F.col("_tn")))).alias(f"prev_{w}_count"))
         out.append((end_s - F.max(F.when(at[i], F.col("_ts")))).cast("double").alias(f"prev_{w}_amount"))
     found = totals.groupBy(client, time).agg(*out)
-    return attach(df, found, {client: client, time: time}, null_safe=True)
+    made = [f"prev_{w}_{kind}" for w in windows for kind in ("count", "amount")]
+    return _of_known(attach(df, found, {client: client, time: time}, null_safe=True), client, made)
 
 
 def past_target_mean(df: DataFrame, column: str, label: str = LABEL, time: str = TIME, key: str = KEY,
                      name: str | None = None, chunks: int | None = None) -> DataFrame:
-    """Mean label of the earlier rows with the same value; null when there is none."""
+    """Mean label of the earlier rows with the same value; null when there is none, or no value."""
     sums = {"_hits": F.coalesce(F.col(label), F.lit(0)).cast("bigint"),
             "_seen": F.col(label).isNotNull().cast("bigint")}
-    mean = F.try_divide("_hits", "_seen").alias(name or f"{column}_past_mean")
-
-    def compute(d: DataFrame) -> DataFrame:
-        return running_totals(d, [column], [time, key], sums, chunks).select(*d.columns, mean)
-
-    return _beside(df, [key, column, time, label], key, compute)
+    made = name or f"{column}_past_mean"
+    totals = running_totals(df, [column], [time, key], sums, chunks)
+    return _of_known(totals.select(*df.columns, F.try_divide("_hits", "_seen").alias(made)), column, [made])
 
 
 def mark_seen(df: DataFrame, client: str, name: str = "seen") -> DataFrame:

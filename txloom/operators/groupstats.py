@@ -38,20 +38,6 @@ def frequency_table(df: DataFrame, columns, within=()) -> DataFrame:
     return long_values(df, columns, within).groupBy(*within, COLUMN, VALUE).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _threshold(df: DataFrame) -> int:
-    """Bytes up to which Catalyst broadcasts a table."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    number, unit = text.rstrip("bkmgt"), text.lstrip("-0123456789").rstrip("b")
-    return int(number) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit]
-
-
-def _large(table: DataFrame, columns, limit: int) -> list[str]:
-    """Key columns whose part of the table is too large for a broadcast, by measured size."""
-    width = F.coalesce(F.octet_length(VALUE), F.lit(0)) + 8 * len(table.columns)
-    sizes = {r[COLUMN]: r["size"] for r in table.groupBy(COLUMN).agg(F.sum(width).alias("size")).collect()}
-    return [c for c in columns if sizes.get(c, 0) > limit]
-
-
 def _joined(keyed: DataFrame, table: DataFrame, outputs: dict, places: dict, within, null_safe: bool) -> DataFrame:
     for c, wanted in outputs.items():
         i = places[c]
@@ -68,29 +54,18 @@ def _joined(keyed: DataFrame, table: DataFrame, outputs: dict, places: dict, wit
 
 
 def attach_long(df: DataFrame, table: DataFrame, outputs: dict[str, dict[str, str]], within=(),
-                null_safe: bool = True, row_key: str | None = None) -> DataFrame:
+                null_safe: bool = True) -> DataFrame:
     """Join a (within, column, value, ...) table, once for each key column.
 
     ``outputs`` names, per key column of ``df``, the new columns and the table
     columns they come from.  The key texts are made in one projection before
-    the joins and left out in one after them.
-
-    A part that is too large for a broadcast makes Spark shuffle the rows.
-    With ``row_key`` and several such parts, they are joined to a narrow copy
-    (row key and key texts), and the wide rows are shuffled only once.
+    the joins and left out in one after them.  Every part is joined in the same
+    way whatever its size; Catalyst broadcasts the parts that are small.
     """
     names = df.columns
     places = {c: i for i, c in enumerate(outputs)}
-    texts = {c: key_text(df, c).alias(f"_key_{i}") for c, i in places.items()}
-    large = _large(table, outputs, _threshold(df)) if row_key and len(outputs) > 1 else []
-    if len(large) < 2:
-        large = []
-    small = {c: w for c, w in outputs.items() if c not in large}
-    wide = _joined(df.select("*", *[texts[c] for c in small]), table, small, places, within, null_safe)
-    if large:
-        slim = df.select(row_key, *[w for w in within if w != row_key], *[texts[c] for c in large])
-        slim = _joined(slim, table, {c: outputs[c] for c in large}, places, within, null_safe)
-        wide = wide.join(slim.select(row_key, *[dst for c in large for dst in outputs[c]]), row_key)
+    keyed = df.select("*", *[key_text(df, c).alias(f"_key_{i}") for c, i in places.items()])
+    wide = _joined(keyed, table, outputs, places, within, null_safe)
     return wide.select(*names, *[dst for wanted in outputs.values() for dst in wanted])
 
 
@@ -101,8 +76,7 @@ def count_encode(df: DataFrame, columns, suffix: str = "_count_full", within=(),
     """
     columns = [c for c in columns if c in df.columns]
     table = settle(frequency_table(df if counted is None else counted, columns, within), "counts", COLUMN)
-    row_key = KEY if KEY in df.columns else None
-    return attach_long(df, table, {c: {c + suffix: "n"} for c in columns}, within, row_key=row_key)
+    return attach_long(df, table, {c: {c + suffix: "n"} for c in columns}, within)
 
 
 def card_counts(df: DataFrame) -> DataFrame:

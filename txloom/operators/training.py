@@ -186,8 +186,10 @@ def eliminate(data: DataFrame, columns, keep: int, step: int = 1, estimator=None
 def selection_stages(columns, data: DataFrame, threshold: float | None, selector, classifier) -> Pipeline:
     """Selector fitted on ``data``, then slicer and classifier as one Spark ML pipeline."""
     chosen = important_columns(data, columns, threshold, selector, classifier.getLabelCol())
+    if not chosen:
+        raise ValueError(f"no column reaches the importance {threshold}")
     final = classifier.copy({classifier.featuresCol: "chosen"})
-    return Pipeline(stages=[sliced(list(columns), chosen or list(columns)), final])
+    return Pipeline(stages=[sliced(list(columns), chosen), final])
 
 
 def with_stage_params(stages: dict, overrides: dict) -> Pipeline:

@@ -249,7 +249,7 @@ def j1(spark, folder):
         "last_part"))
 
 
-_GROUP = [f"V{i}" for i in range(1, 17)]
+_GROUP = [f"V{i}" for i in range(1, 65)]
 
 
 @query("k8_principal_components")

@@ -10,38 +10,38 @@ otherwise, so no broadcast hint is needed for a table that grows with the data.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out in this process, for :func:`clear_scratch`.
+_GIVEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the checkpoint folder of the session.
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or one below the warehouse where that is unset.
 
-    A folder of our own is made only on a local master, and removed when the
-    process ends; on a cluster the setting ``spark.checkpoint.dir`` must name storage that all nodes see.
+    Both are storage that all nodes see; no setting of the session is changed.
     """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all nodes")
-    own = tempfile.mkdtemp(prefix="txloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    sc.setCheckpointDir(own)
-    return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    current = named or spark.sparkContext.getCheckpointDir()
+    return current or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_txloom"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used before."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far by this process; results that still read them must be done."""
+    done = 0
+    while _GIVEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        done += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return done
 
 
 def settle(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
