@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from txloom.queries import QUERIES
+from txloom.session import clear_scratch
 
 HEADLINE = [
     "c1_left_join", "d5_distinct_counts", "d10_spearman", "d11_auc", "e3_group_ratios", "e4_user_stats", "f4_negative_sampling",
@@ -42,6 +43,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - started, 3)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/"))}))
+    clear_scratch(spark)
     spark.stop()
 
 
