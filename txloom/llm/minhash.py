@@ -199,26 +199,17 @@ def cross_links(sign: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
     Pairs that also share an earlier band are left to its bucket, and pairs
     that links found here have already joined are not compared.
     """
-    root = {c: c for c in component.tolist()}
-
-    def top(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
+    now = component.copy()
     bands = sign.reshape(len(sign), BANDS, ROWS)
     out = []
     for r in one.tolist():
-        tops = np.array([top(c) for c in component[two].tolist()])
-        rest = two[tops != top(int(component[r]))]
+        rest = two[now[two] != now[r]]
         rest = rest[posterior_keeps(np.broadcast_to(sign[r], (len(rest), HASHES)), sign[rest], percent / 100, miss)]
         if band:
             rest = rest[~(bands[rest, :band] == bands[r, :band]).all(axis=2).any(axis=1)]
         for g in rest.tolist():
-            x, y = top(int(component[r])), top(int(component[g]))
-            if x != y and linked(sets[r], sets[g], percent):
-                root[max(x, y)] = min(x, y)
+            if now[g] != now[r] and linked(sets[r], sets[g], percent):
+                now[now == now[g]] = now[r]
                 out.append((r, g))
     return out
 
