@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from txloom.functions import text
 from txloom.functions.canon import number_text
 from txloom.functions.ratios import ratio
-from txloom.operators import blend, clients, correlation, encoders, groupstats, sampling
+from txloom.operators import blend, clients, correlation, encoders, folds, groupstats, narrow as narrowing, sampling
 from txloom.operators.folds import group_kfold, kfold, lightest_first, stratified_kfold
 from txloom.operators.impute import fill_constant
 from txloom.operators.metrics import auc, errors
@@ -342,3 +342,32 @@ def test_blends_neither_cap_nor_drop(spark):
                                   "TransactionID bigint, client string, split string, isFraud int, prediction double")
     raised = {r.TransactionID: r.prediction for r in blend.raise_known(known, "client", 1.2).collect()}
     assert raised[2] == pytest.approx(1.08) and raised[3] == pytest.approx(1.14)
+
+
+def test_spearman_counts_rows_of_repeated_and_missing_keys(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.normal(size=100), "isFraud": rng.integers(0, 2, 100)})
+    pdf["b"] = pdf["a"] + pdf["isFraud"] * 3 + rng.normal(size=100)
+    pdf["TransactionID"] = [None if i % 10 == 0 else float(i // 2) for i in range(100)]
+    df = spark.createDataFrame(pdf).withColumn("TransactionID", F.expr("cast(nullif(TransactionID, double('nan')) as bigint)"))
+    row = correlation.spearman_pairs(df, ["a", "b"], chunks=3).first()
+    assert row["n"] == 100
+    assert row["rho"] == pytest.approx(pdf[["a", "b"]].corr(method="spearman").iloc[0, 1])
+    assert correlation.related_columns(df, ["a", "b"], "isFraud", rho=0.5) == ["b"]
+    assert correlation.related_columns(df, ["a", "b"], "isFraud", ks=0.5) == ["b"]
+    assert correlation.related_columns(df, ["a", "b"], "isFraud", rho=0.0, ks=0.0) == ["a", "b"]
+
+
+def test_null_counts_one_row_per_column(spark):
+    df = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a int, b string")
+    assert {tuple(r) for r in narrowing.null_counts(df, ["a", "b"]).collect()} == {("a", 1), ("b", 2)}
+    assert {tuple(r) for r in narrowing.null_counts(df.limit(0), ["a"]).collect()} == {("a", 0)}
+
+
+def test_whole_fold_trains_on_all_rows(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(14)], "TransactionID bigint, period int")
+    got = folds.time_folds(df, "period", folds.TIME_SCHEMES["expanding"], whole=True)
+    last = got.where("fold = 3").collect()
+    assert sorted(r["TransactionID"] for r in last) == list(range(14))
+    assert {r["role"] for r in last} == {"train"}
+    assert sum(folds.EXPANDING_WEIGHTS.values()) == pytest.approx(1) and sorted(folds.EXPANDING_WEIGHTS) == [0, 1, 2, 3]

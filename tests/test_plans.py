@@ -137,3 +137,24 @@ def test_fitted_stages_survive_saving(spark):
     want = fitted.transform(rows)
     assert again.columns == want.columns
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_stacked_scores_of_test_rows(spark):
+    rows = spark.range(240).select(
+        F.col("id").alias("TransactionID"), F.when(F.col("id") % 4 == 3, "test").otherwise("train").alias("split"),
+        F.when(F.col("id") % 4 != 3, (F.col("id") % 5 < 2).cast("int")).alias("isFraud"),
+        (F.col("id") % 5).alias("a"), (F.col("id") % 3).alias("b"))
+    models = {"gbdt": booster("gbdt", maxIter=2, maxDepth=2), "forest": booster("forest", numTrees=3, maxDepth=3)}
+    for stacking in ("lr", "mean"):
+        done = score_test(rows, ["a", "b"], models, k=2, stacking=stacking)
+        got = {r["TransactionID"]: r["prediction"] for r in done.predictions.collect()}
+        assert sorted(got) == list(range(3, 240, 4))
+        assert min(p for i, p in got.items() if i % 5 < 2) > max(p for i, p in got.items() if i % 5 >= 2)
+        assert done.auc == 1.0
+    with pytest.raises(ValueError):
+        score_test(rows, ["a", "b"], models, k=2, stacking="median")
+
+
+def test_unknown_metric_fails_before_any_fit(spark):
+    with pytest.raises(ValueError):
+        PrunedCV(2).cross_val_score(None, spark.range(3), metric="f1")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, StringType
 
 from ..schema import is_floating, is_integral
 
@@ -46,8 +46,6 @@ def shown(c: Column, data_type: DataType) -> Column:
     """Text as a pair feature shows it: integers plain, doubles with a point, null as 'nan'."""
     if isinstance(data_type, (FloatType, DoubleType)):
         text = number_text(c)
-    elif isinstance(data_type, NumericType):
-        text = c.cast("string")
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("nan"))

@@ -43,7 +43,7 @@ def weighted_blend(predictions: DataFrame, weights: dict, of: str = "model", by=
 def rank_blend(predictions: DataFrame, by=(KEY,), chunks: int | None = None) -> DataFrame:
     """Mean over the models of the prediction's average rank in its model, scaled to (0, 1]."""
     ranks = average_rank(predictions, ["model"], "prediction", "_rank", chunks).drop("n")
-    sizes = predictions.groupBy("model").agg(F.count("prediction").alias("_size"))
+    sizes = settle(predictions.groupBy("model").agg(F.count("prediction").alias("_size")), "sizes")
     ranked = predictions.where("prediction is not null").join(ranks, ["model", "prediction"], "left").join(
         sizes, "model", "left")
     return ranked.groupBy(*by).agg(F.avg(F.col("_rank") / F.col("_size")).alias("prediction"))
@@ -122,25 +122,38 @@ def stacker(c: float, n: int) -> LogisticRegression:
                               standardization=False, maxIter=100, tol=1e-8)
 
 
-def stack_folds(oof: DataFrame, models, c: float = 0.01) -> DataFrame:
-    """(fold, role, key, label, prediction): per fold, a logistic regression on the model predictions.
+def stack_models(oof: DataFrame, models, c: float = 0.01,
+                 tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Per fold, a logistic regression on the predictions of the models.
 
     ``oof`` holds (model, fold, role, key, label, prediction) with the roles
-    train (predictions on the rows a fold was fitted on) and valid.
+    train (predictions on the rows a fold was fitted on) and valid; ``tested``
+    holds (model, fold, key, prediction).  Returns (fold, role, key, label,
+    prediction) and, of the test rows, (fold, key, prediction).
     """
+    gather = VectorAssembler(inputCols=list(models), outputCol="_models")
     wide = settle(wide_predictions(oof, models, ["fold", "role", KEY, "label"]), "stack")
-    vectors = VectorAssembler(inputCols=list(models), outputCol="_models").transform(
-        wide.withColumn("label", F.col("label").cast("double")))
-    out = None
+    vectors = gather.transform(wide.withColumn("label", F.col("label").cast("double")))
+    unseen = None if tested is None else gather.transform(
+        settle(wide_predictions(tested, models, ["fold", KEY]), "stack-test"))
+    score = vector_to_array("probability")[1].alias("prediction")
+    out = out_test = None
     counts = {r["fold"]: r["n"] for r in wide.where("role = 'train'").groupBy("fold").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     for fold, n in sorted(counts.items()):
         rows = vectors.where(F.col("fold") == fold)
         model = stacker(c, n).fit(rows.where("role = 'train'"))
-        scored = model.transform(rows).select(
-            "fold", "role", KEY, "label", vector_to_array("probability")[1].alias("prediction"))
+        scored = model.transform(rows).select("fold", "role", KEY, "label", score)
         out = scored if out is None else out.unionByName(scored)
-    return out
+        if unseen is not None:
+            part = model.transform(unseen.where(F.col("fold") == fold)).select("fold", KEY, score)
+            out_test = part if out_test is None else out_test.unionByName(part)
+    return out, out_test
+
+
+def stack_folds(oof: DataFrame, models, c: float = 0.01) -> DataFrame:
+    """(fold, role, key, label, prediction) of :func:`stack_models`."""
+    return stack_models(oof, models, c)[0]
 
 
 def stacking_score(oof: DataFrame, models, c: float) -> float:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ratios import amount_ratios, pairwise_ratios
-from ..schema import C_COLS, D_COLS, KEY, V_COLS
+from ..schema import C_COLS, D_COLS, V_COLS
 from ..session import settle
 from .ordered import running_totals
 
@@ -33,13 +33,13 @@ def _stack(columns: dict[str, tuple[int, ...]], names: str) -> Column:
     return F.expr(f"stack({len(columns)}, {rows}) as {names}")
 
 
-def _presence_classes(work: DataFrame, columns: list[str], key: str) -> list[list[int]]:
+def _presence_classes(work: DataFrame, columns: list[str]) -> list[list[int]]:
     """Columns grouped by the set of rows in which they are present.
 
     A set is known by its size and two sums of row hashes, counted for all
     columns in one aggregate.
     """
-    hashes = [F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 50)).alias(f"_h{seed}") for seed in (1, 2)]
+    hashes = [F.pmod(F.xxhash64(F.col(ROW), F.lit(seed)), F.lit(1 << 50)).alias(f"_h{seed}") for seed in (1, 2)]
     long = work.select(*hashes, _stack({c: (i,) for i, c in enumerate(columns)}, "(c, x)")).where("x is not null")
     sets = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[
         F.sum(F.col(h).cast("decimal(20,0)")).alias(h) for h in ("_h1", "_h2")]).orderBy("c").collect()
@@ -49,6 +49,8 @@ def _presence_classes(work: DataFrame, columns: list[str], key: str) -> list[lis
     return list(classes.values())
 
 
+# Number that each row gets for itself: keys may repeat or be missing.
+ROW = "_row"
 # Most rank values of one row that a task holds for one pair of blocks.
 BLOCK_WIDTH = 2048
 # Rank values gathered in a task before they are multiplied.
@@ -175,11 +177,11 @@ def _partial_sums(classes: list[list[int]], blocks: list[list[int]], names: list
     return run
 
 
-def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwise", target: str | None = None,
+def spearman_pairs(df: DataFrame, columns, method: str = "pairwise", target: str | None = None,
                    chunks: int | None = None) -> DataFrame:
     """(col_i, col_j, n, rho) for every pair i < j of the listed columns.
 
-    Only finite values count.  ``method='pairwise'`` ranks each pair on the rows
+    Only finite values count; every row counts, whatever its key.  ``method='pairwise'`` ranks each pair on the rows
     where both are present: exact.  Columns present in the same rows form a
     class; a column is sorted once, with one running count per class, and so
     gets its ranks among the rows of every class in one pass.
@@ -190,11 +192,12 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
     names = list(dict.fromkeys([*columns, *([target] if target else [])]))
     goal = names.index(target) if target else None
     # The work per row grows with (columns * classes) from here on: rows that came in few large files are spread first.
-    work = settle(df.select(key, *[_finite(c).alias(c) for c in names]).repartition(_parallelism(df), key), "finite")
+    spread = df.select(*[_finite(c).alias(c) for c in names]).repartition(_parallelism(df))
+    work = settle(spread.withColumn(ROW, F.monotonically_increasing_id()), "finite")
     if method == "column_ranks":
         classes, tests = [list(range(len(names)))], ["1L"]
     elif method == "pairwise":
-        classes = _presence_classes(work, names, key)
+        classes = _presence_classes(work, names)
         tests = [f"if(`{names[members[0]]}` is null, 0L, 1L)" for members in classes]
     else:
         raise ValueError("method must be 'pairwise' or 'column_ranks'")
@@ -205,9 +208,9 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
     depth, count = max(map(len, blocks)), len(blocks)
     block_of = {i: b for b, block in enumerate(blocks) for k in block for i in classes[k]}
     flags = [f"array({', '.join([tests[k] for k in block] + ['0L'] * (depth - len(block)))})" for block in blocks]
-    cells = work.select(key, F.expr(f"array({', '.join(flags)})").alias("flags"),
+    cells = work.select(ROW, F.expr(f"array({', '.join(flags)})").alias("flags"),
                         _stack({names[i]: (i, b) for i, b in block_of.items()}, "(c, own, x)"))
-    long = cells.where("x is not null").select(key, "c", "own", "x", F.posexplode("flags").alias("other", "here"))
+    long = cells.where("x is not null").select(ROW, "c", "own", "x", F.posexplode("flags").alias("other", "here"))
     if goal is not None:
         # Other columns need their ranks among the rows of the target's class only.
         at = next((b, block.index(home)) for b, block in enumerate(blocks) if home in block)
@@ -220,7 +223,7 @@ def spearman_pairs(df: DataFrame, columns, key: str = KEY, method: str = "pairwi
     shown = F.zip_with("here", "rank", lambda h, r: F.when(h > 0, r).otherwise(float("nan"))).alias("r")
     pair = (F.least("own", "other") * count + F.greatest("own", "other")).alias("pair")
     # A left join: only the ranks, of known size, may be broadcast, never the much larger exploded rows.
-    cells = long.join(ranks, ["other", "c", "x"], "left").select(pair, F.col(key).alias("row"), "c", shown)
+    cells = long.join(ranks, ["other", "c", "x"], "left").select(pair, F.col(ROW).alias("row"), "c", shown)
     sums = cells.repartition("row").sortWithinPartitions("pair", "row").mapInArrow(
         _partial_sums(classes, blocks, names, goal, method == "column_ranks"), SUMS).groupBy("col_i", "col_j").agg(
         *[F.sum(s).alias(s) for s in SUM_NAMES[2:]])
@@ -235,14 +238,26 @@ def correlated_later(pairs: DataFrame, threshold: float = 0.99) -> DataFrame:
     return pairs.where(F.abs("rho") > threshold).select(F.col("col_j").alias("column")).distinct()
 
 
-def correlated_columns(df: DataFrame, columns, key: str = KEY, threshold: float = 0.99,
-                       method: str = "pairwise") -> list[str]:
-    found = {r["column"] for r in correlated_later(spearman_pairs(df, columns, key, method), threshold).collect()}
+def correlated_columns(df: DataFrame, columns, threshold: float = 0.99, method: str = "pairwise") -> list[str]:
+    found = {r["column"] for r in correlated_later(spearman_pairs(df, columns, method), threshold).collect()}
     return [c for c in columns if c in found]
 
 
-def pruned_ratios(df: DataFrame, fit_on: Column | None = None, key: str = KEY, threshold: float = 0.99,
-                  base=None, divided=None, method: str = "pairwise") -> tuple[DataFrame, dict[str, list[str]]]:
+def related_columns(df: DataFrame, columns, label: str, rho: float | None = None, ks: float | None = None) -> list[str]:
+    """Columns whose rank correlation with the label is at least ``rho`` in size and whose gap
+    between the two classes is at least ``ks``; a limit that is not given does not count."""
+    kept = set(columns)
+    if rho is not None:
+        other = F.when(F.col("col_i") == label, F.col("col_j")).otherwise(F.col("col_i"))
+        close = spearman_pairs(df, columns, target=label).where(F.abs("rho") >= rho)
+        kept &= {r["column"] for r in close.select(other.alias("column")).collect()}
+    if ks is not None:
+        kept &= {r["column"] for r in kolmogorov_smirnov(df, columns, label).where(F.col("ks") >= ks).collect()}
+    return [c for c in columns if c in kept]
+
+
+def pruned_ratios(df: DataFrame, fit_on: Column | None = None, threshold: float = 0.99, base=None,
+                  divided=None, method: str = "pairwise") -> tuple[DataFrame, dict[str, list[str]]]:
     """Ratio features without those that repeat an earlier one, fitted on the training rows.
 
     Three passes: column / amount; pairwise ratios; then base columns and all
@@ -254,11 +269,11 @@ def pruned_ratios(df: DataFrame, fit_on: Column | None = None, key: str = KEY, t
     wide = df.select("*", *[e.alias(n) for n, e in {**by_amount, **by_pair}.items()])
     train = wide.where(fit_on) if fit_on is not None else wide
     dropped = {}
-    dropped["by_amount"] = correlated_columns(train, list(by_amount), key, threshold, method)
-    dropped["by_pair"] = correlated_columns(train, list(by_pair), key, threshold, method)
+    dropped["by_amount"] = correlated_columns(train, list(by_amount), threshold, method)
+    dropped["by_pair"] = correlated_columns(train, list(by_pair), threshold, method)
     gone = {*dropped["by_amount"], *dropped["by_pair"]}
     rest = [c for c in [*base, *by_amount, *by_pair] if c not in gone]
-    dropped["together"] = correlated_columns(train, rest, key, threshold, method)
+    dropped["together"] = correlated_columns(train, rest, threshold, method)
     return wide.drop(*gone, *dropped["together"]), dropped
 
 
@@ -269,7 +284,7 @@ def kolmogorov_smirnov(df: DataFrame, columns, label: str, chunks: int | None =
     counts = settle(long.groupBy("column", "x").agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")), "values")
     below = running_totals(counts, ["column"], ["x"], {"_p": F.col("p"), "_n": F.col("n")}, chunks)
-    totals = counts.groupBy("column").agg(F.sum("p").alias("_tp"), F.sum("n").alias("_tn"))
+    totals = settle(counts.groupBy("column").agg(F.sum("p").alias("_tp"), F.sum("n").alias("_tn")), "totals")
     gap = F.abs(F.try_divide(F.col("_p") + F.col("p"), F.col("_tp")) - F.try_divide(
         F.col("_n") + F.col("n"), F.col("_tn")))
     return below.join(totals, "column").groupBy("column").agg(F.max(gap).alias("ks"))

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.canon import family
@@ -126,7 +125,7 @@ def vocabulary(entries: DataFrame, word: str = "key", code: str = "code", positi
 def vocabulary_encode(df: DataFrame, entries: DataFrame, column: str, out: str, unknown_code: int = 10000,
                       **names) -> DataFrame:
     """Code from a supplied vocabulary; 'unknown' has a fixed code, null and misses give null."""
-    words = vocabulary(entries, **names).withColumnRenamed("code", "_code")
+    words = settle(vocabulary(entries, **names).withColumnRenamed("code", "_code"), "vocabulary")
     coded = attach(df, words, {VALUE: F.col(column)})
     code = F.when(F.col(column) == UNKNOWN, F.lit(unknown_code)).otherwise(F.col("_code"))
     return coded.withColumn(out, code.cast("bigint")).drop("_code")
@@ -195,15 +194,21 @@ def evidence_encode(df: DataFrame, columns, label: str = LABEL, fit_on: Column |
 
 
 def one_hot(df: DataFrame, columns, suffix: str = "_onehot") -> DataFrame:
-    """One-hot vectors of discrete columns such as counts; null has a slot of its own."""
+    """One-hot vectors of discrete columns such as counts; null has a slot of its own.
+
+    Slots follow the sorted texts, one more is spare; only the number of slots per column reaches the driver.
+    """
     texts = df.withColumns({f"_t_{c}": F.coalesce(key_text(df, c), F.lit("nan")) for c in columns})
     names = [f"_t_{c}" for c in columns]
-    index = StringIndexer(inputCols=names, outputCols=[f"_x_{c}" for c in columns], handleInvalid="keep",
-                          stringOrderType="alphabetAsc")
+    table = settle(label_codes(texts, names), "slots", COLUMN)
+    slots = {r[COLUMN]: r["n"] for r in table.groupBy(COLUMN).agg(F.count(F.lit(1)).alias("n")).collect()}
+    coded = attach_long(texts, table, {f"_t_{c}": {f"_x_{c}": "code"} for c in columns}, null_safe=False)
+    coded = coded.withColumns({f"_x_{c}": F.col(f"_x_{c}").cast("double") for c in columns})
+    for c in columns:
+        coded = coded.withMetadata(f"_x_{c}", {"ml_attr": {"type": "nominal", "num_vals": slots.get(f"_t_{c}", 0) + 1}})
     hot = OneHotEncoder(inputCols=[f"_x_{c}" for c in columns], outputCols=[f"{c}{suffix}" for c in columns],
                         dropLast=False)
-    out = Pipeline(stages=[index, hot]).fit(texts).transform(texts)
-    return out.drop(*names, *[f"_x_{c}" for c in columns])
+    return hot.fit(coded).transform(coded).drop(*names, *[f"_x_{c}" for c in columns])
 
 
 def pooled_values(df: DataFrame, columns, without: str | None = None) -> DataFrame:

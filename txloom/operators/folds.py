@@ -47,7 +47,7 @@ def stratified_kfold(df: DataFrame, k: int, label: str = LABEL, key: str = KEY,
         return kfold(df, k, key, shuffle, seed, portable)
     keyed, order = _order(df.select(key, label), key, shuffle, seed, portable)
     indexed = row_index(keyed, [label], order, "_index")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     return attach(indexed, sizes, {label: label}, null_safe=True).select(
         key, block_fold(F.col("_index"), F.col("_n"), k).alias("fold"))
 
@@ -84,8 +84,8 @@ def group_kfold(df: DataFrame, k: int, group: str, key: str = KEY) -> DataFrame:
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     ranked = settle(row_index(sizes, ["_size"], [group], "_rank"), "groups")
     histogram = [(r["_size"], r["n"]) for r in ranked.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()]
-    runs = df.sparkSession.createDataFrame(
-        lightest_first(histogram, k), "run_size bigint, run_from bigint, run_to bigint, folds array<int>")
+    runs = settle(df.sparkSession.createDataFrame(
+        lightest_first(histogram, k), "run_size bigint, run_from bigint, run_to bigint, folds array<int>"), "runs")
     inside = (F.col("_size") == F.col("run_size")) & (F.col("_rank") >= F.col("run_from")) & (
         F.col("_rank") < F.col("run_to"))
     turn = F.pmod(F.col("_rank") - F.col("run_from"), F.size("folds")).cast("int")
@@ -102,11 +102,20 @@ TIME_SCHEMES = {
 }
 
 
-def time_folds(df: DataFrame, period: str, splits, key: str = KEY) -> DataFrame:
-    """(key, fold, role) for splits given as (training periods, validation periods); map-only."""
+# Weights of the folds of the expanding scheme, the last one trained on all rows.
+EXPANDING_WEIGHTS = {0: 0.1, 1: 0.1, 2: 0.25, 3: 0.55}
+
+
+def time_folds(df: DataFrame, period: str, splits, key: str = KEY, whole: bool = False) -> DataFrame:
+    """(key, fold, role) for splits given as (training periods, validation periods); map-only.
+
+    ``whole`` adds a last fold that trains on all rows and validates none.
+    """
     roles = []
     for i, (train, valid) in enumerate(splits):
         role = F.when(F.col(period).isin(*train), "train").when(F.col(period).isin(*valid), "valid")
         roles.append(F.struct(F.lit(i).alias("fold"), role.alias("role")))
+    if whole:
+        roles.append(F.struct(F.lit(len(splits)).alias("fold"), F.lit("train").alias("role")))
     return df.select(key, F.explode(F.array(*roles)).alias("_f")).select(key, "_f.fold", "_f.role").where(
         F.col("role").isNotNull())

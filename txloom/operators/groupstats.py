@@ -156,8 +156,8 @@ def user_stats(df: DataFrame, ids=None, amount: str = AMOUNT, time: str = TIME,
     """Count, mean and deviation of the amount over all rows with the same identity columns.
 
     Rows without identity get nulls.  There may be many: for the join their
-    missing fingerprint is replaced by one of many texts that match nothing,
-    so that they do not meet in one task.
+    missing fingerprint is replaced by a text of the row's own that matches
+    nothing, so that they do not meet in one task.
     """
     ids = [c for c in (ids or ID_COLS) if c in df.columns]
     marked = df.withColumn("_user", fingerprint(ids))
@@ -166,6 +166,6 @@ def user_stats(df: DataFrame, ids=None, amount: str = AMOUNT, time: str = TIME,
         F.avg(amount).alias("user_TransactionAmt_mean"),
         F.stddev_samp(amount).alias("user_TransactionAmt_std"),
     )
-    nobody = F.concat(F.lit("none-"), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))
+    nobody = F.concat(F.lit("none-"), F.xxhash64(key, time, amount).cast("string"))
     spread = marked.withColumn("_user", F.coalesce("_user", nobody))
     return attach(spread, stats, {"_user": "_user"}).drop("_user")

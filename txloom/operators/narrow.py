@@ -113,6 +113,11 @@ def column_counts(df: DataFrame, columns) -> DataFrame:
         F.count(F.lit(1)).alias("distincts"), F.count(VALUE).alias("distincts_not_null"))
 
 
+def null_counts(df: DataFrame, columns) -> DataFrame:
+    """(column, nulls): one aggregate row over the table, turned into one row per column."""
+    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).unpivot([], list(columns), "column", "nulls")
+
+
 def constant_columns(df: DataFrame, columns=None) -> list[str]:
     """Columns with exactly one distinct non-null value: smallest equals largest."""
     names = list(columns or df.columns)

@@ -99,7 +99,7 @@ def group_quantile(df: DataFrame, by, value: str, q: float, name: str = "quantil
     distinct values, so no task has to hold the values of a group.
     """
     distinct = settle(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
-    sizes = distinct.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    sizes = settle(distinct.groupBy(*by).agg(F.sum("_n").alias("_size")), "sizes")
     placed = running_totals(distinct, by, [value], {"_before": F.col("_n")}, chunks)
     joined = placed.join(sizes.select(*[F.col(b).alias(f"_s_{b}") for b in by], "_size"),
                          [F.col(b).eqNullSafe(F.col(f"_s_{b}")) for b in by])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import KEY, LABEL
+from .ordered import row_index
 
 BUCKETS = 65536
 
@@ -23,7 +24,8 @@ def smallest(df: DataFrame, mark: Column, limit: int, key: str = KEY, span: int
     """The ``limit`` rows with the smallest (mark, key), without sorting the table.
 
     The marks are counted in at most 65,536 equal intervals; rows below the
-    interval in which the limit falls stay, and only that one is ranked.
+    interval in which the limit falls stay, and only that one is ranked, in
+    chunks that spread over the tasks.
     """
     width = max(1, span // BUCKETS)
     marked = df.withColumns({"_mark": mark, "_bucket": F.floor(mark / width)})
@@ -36,10 +38,9 @@ def smallest(df: DataFrame, mark: Column, limit: int, key: str = KEY, span: int
         seen += row["n"]
     else:
         return df
-    inside = Window.partitionBy("_bucket").orderBy("_mark", key)
     below = marked.where(F.col("_bucket") < edge)
-    ranked = marked.where(F.col("_bucket") == edge).withColumn("_rn", F.row_number().over(inside))
-    return below.unionByName(ranked.where(F.col("_rn") <= room).drop("_rn")).drop("_mark", "_bucket")
+    ranked = row_index(marked.where(F.col("_bucket") == edge), [], ["_mark", key], "_rn")
+    return below.unionByName(ranked.where(F.col("_rn") < room).drop("_rn")).drop("_mark", "_bucket")
 
 
 def downsample_negatives(df: DataFrame, fraction: float = 0.2, label: str = LABEL, key: str = KEY, seed: int = 0,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from ..functions.ratios import amount_ratios, pairwise_ratios
-from ..schema import KEY, LABEL
+from ..schema import LABEL
 from ..session import settle
 from . import encoders
 from .correlation import pruned_ratios
@@ -230,6 +230,6 @@ class PrunedRatios(Estimator, HasInputCols, HasThreshold, DefaultParamsReadable,
 
     def _fit(self, dataset):
         names = self.getInputCols()
-        _, dropped = pruned_ratios(dataset, None, KEY, self.getThreshold(), names, names)
+        _, dropped = pruned_ratios(dataset, None, self.getThreshold(), names, names)
         return self._copyValues(RatiosModel(sorted({c for cs in dropped.values() for c in cs})))
 

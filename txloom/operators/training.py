@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler, VectorSlicer
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schema import KEY, LABEL
 from ..session import settle
-from .metrics import auc, metric_value
+from .folds import kfold, stratified_kfold
+from .metrics import METRICS, auc, metric_value
 
 FEATURES = "features"
 
@@ -53,7 +55,7 @@ def cross_validate(models: dict, train: DataFrame, folds: DataFrame, test: DataF
     ``train`` holds key, label and ``features``; ``folds`` is (key, fold).
     Returns out-of-fold rows (model, fold, role, key, label, prediction),
     scores (model, fold, train_auc, valid_auc), and, if ``test`` is given, the
-    test predictions (model, key, prediction) averaged over folds.
+    test predictions (model, fold, key, prediction).
     """
     data = settle(train.join(folds, key), "folds")
     numbers = [r["fold"] for r in data.select("fold").distinct().orderBy("fold").collect()]
@@ -75,7 +77,7 @@ def cross_validate(models: dict, train: DataFrame, folds: DataFrame, test: DataF
         F.max(F.when(F.col("role") == "train", F.col("auc"))).alias("train_auc"),
         F.max(F.when(F.col("role") == "valid", F.col("auc"))).alias("valid_auc"))
     if tested is not None:
-        tested = settle(tested, "tested").groupBy("model", key).agg(F.avg("prediction").alias("prediction"))
+        tested = settle(tested, "tested")
     return oof, scores, tested
 
 
@@ -133,9 +135,20 @@ class PrunedCV:
             self.best = current
         return sum(current) / self.cv
 
-    def cross_val_score(self, estimator, data: DataFrame, folds: DataFrame, metric: str = "mse",
-                        label: str = LABEL, key: str = KEY, weight: str | None = None) -> float:
-        """Pruned score of an estimator on (key, label, features[, weight]) rows with (key, fold)."""
+    def cross_val_score(self, estimator, data: DataFrame, folds: DataFrame | None = None, metric: str = "mse",
+                        label: str = LABEL, key: str = KEY, weight: str | None = None, shuffle: bool = False,
+                        seed: int = 0) -> float:
+        """Pruned score of an estimator on (key, label, features[, weight]) rows with (key, fold).
+
+        Without ``folds`` the metric chooses them: stratified by the label for
+        accuracy and auc, plain for mse and mae.
+        """
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
+        if folds is None and metric in ("accuracy", "auc"):
+            folds = stratified_kfold(data, self.cv, label, key, shuffle, seed)
+        elif folds is None:
+            folds = kfold(data, self.cv, key, shuffle, seed)
         joined = settle(data.join(folds, key), "pruned")
         if weight is not None:
             estimator = estimator.copy({estimator.getParam("weightCol"): weight})
@@ -209,8 +222,16 @@ def class_feature(model, df: DataFrame, name: str) -> DataFrame:
 
 def second_stage(train: DataFrame, oof: DataFrame, key: str = KEY, name: str = "stage1") -> DataFrame:
     """Out-of-fold predictions of a first model appended to the features of a second."""
-    first = oof.where("role = 'valid'").select(key, F.col("prediction").alias(name))
-    joined = train.join(first, key)
+    return _appended(train, oof.where("role = 'valid'").select(key, F.col("prediction").alias(name)), key, name)
+
+
+def second_stage_test(test: DataFrame, tested: DataFrame, key: str = KEY, name: str = "stage1") -> DataFrame:
+    """The same for test rows: the first model's predictions, averaged over the folds."""
+    return _appended(test, tested.groupBy(key).agg(F.avg("prediction").alias(name)), key, name)
+
+
+def _appended(rows: DataFrame, first: DataFrame, key: str, name: str) -> DataFrame:
+    joined = rows.join(first, key)
     return VectorAssembler(inputCols=[FEATURES, name], outputCol="_more").transform(joined).drop(
         FEATURES, name).withColumnRenamed("_more", FEATURES)
 
@@ -224,10 +245,17 @@ def seed_average(estimator, train: DataFrame, test: DataFrame, seeds, key: str =
     return out.groupBy(key).agg(F.avg("prediction").alias("prediction"))
 
 
+def _upright(loadings: np.ndarray) -> list[float]:
+    """1 or -1 per component, so that its largest loading becomes positive."""
+    largest = np.abs(loadings).argmax(axis=0)
+    return [-1.0 if loadings[i, j] < 0 else 1.0 for j, i in enumerate(largest)]
+
+
 def reduced(df: DataFrame, columns, k: int, prefix: str = "pc", center: bool = True) -> DataFrame:
     """Principal components of a column group as columns; nulls take the column mean.
 
-    ``center=False`` gives the truncated singular value decomposition.
+    ``center=False`` gives the truncated singular value decomposition.  The
+    largest loading of a component is positive.
     """
     columns = list(columns)
     filled = Imputer(strategy="mean", inputCols=columns, outputCols=[f"_f_{c}" for c in columns])
@@ -236,15 +264,17 @@ def reduced(df: DataFrame, columns, k: int, prefix: str = "pc", center: bool = T
     vector = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_v")
     ready = vector.transform(values).drop(*[f"_f_{c}" for c in columns])
     if center:
-        out = PCA(k=k, inputCol="_v", outputCol="_pc").fit(ready).transform(ready)
+        fitted = PCA(k=k, inputCol="_v", outputCol="_pc").fit(ready)
+        out, signs = fitted.transform(ready), _upright(fitted.pc.toArray())
     else:
         from pyspark.mllib.linalg.distributed import RowMatrix
         from pyspark.mllib.util import MLUtils
         rows = RowMatrix(MLUtils.convertVectorColumnsFromML(ready.select("_v"), "_v"))
         v = rows.computeSVD(k).V.toArray()
+        v = v * np.array(_upright(v))
         arr = vector_to_array("_v")
-        parts = [sum((F.get(arr, F.lit(i)) * float(v[i, j]) for i in range(len(columns))), F.lit(0.0)).alias(
-            f"{prefix}{j + 1}") for j in range(v.shape[1])]
+        parts = [F.aggregate(F.zip_with(arr, F.array(*map(F.lit, v[:, j].tolist())), lambda x, y: x * y), F.lit(0.0),
+                             lambda t, x: t + x).alias(f"{prefix}{j + 1}") for j in range(v.shape[1])]
         return ready.select(*df.columns, *parts)
     arr = vector_to_array("_pc")
-    return out.select(*df.columns, *[F.get(arr, F.lit(j)).alias(f"{prefix}{j + 1}") for j in range(k)])
+    return out.select(*df.columns, *[(F.get(arr, F.lit(j)) * signs[j]).alias(f"{prefix}{j + 1}") for j in range(k)])

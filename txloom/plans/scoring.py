@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.blend import mean_blend
+from ..operators.blend import mean_blend, stack_models
 from ..operators.folds import group_kfold, kfold, stratified_kfold
+from ..operators.metrics import auc
 from ..operators.training import assemble, cross_validate
 from ..schema import KEY, LABEL, SPLIT
 from ..sources.sinks import submission, write_submission
@@ -36,12 +37,24 @@ def make_folds(train: DataFrame, k: int, split_type: str = "stratifiedkfold", gr
 
 
 def score_test(table: DataFrame, columns, models: dict, k: int = 5, split_type: str = "stratifiedkfold",
-               group: str | None = None, seed: int = 42) -> Scored:
-    """Cross-validate on the training rows and blend the models' fold means on the test rows."""
+               group: str | None = None, seed: int = 42, stacking: str = "lr", c: float = 0.01) -> Scored:
+    """Cross-validate on the training rows and score the test rows with every fold's models.
+
+    Several models are joined per fold: ``stacking='lr'`` by a logistic
+    regression of inverse penalty ``c``, ``'mean'`` by their mean.  The folds
+    are averaged; ``auc`` is the mean validation AUC of what is averaged.
+    """
+    if stacking not in ("lr", "mean"):
+        raise ValueError("stacking must be lr or mean")
     train = table.where(F.col(SPLIT) == "train")
     folds = make_folds(train, k, split_type, group, seed=seed)
     rows = assemble(train, columns, [KEY, LABEL])
     test = assemble(table.where(F.col(SPLIT) == "test"), columns, [KEY])
     oof, scores, tested = cross_validate(models, rows, folds, test)
-    auc = scores.agg(F.avg("valid_auc")).first()[0]
-    return Scored(oof, scores, mean_blend(tested), auc)
+    if len(models) > 1 and stacking == "lr":
+        joined, tested = stack_models(oof, list(models), c, tested)
+        valid = joined.where("role = 'valid'")
+    else:
+        valid = oof.where("role = 'valid'").groupBy("fold", KEY, "label").agg(F.avg("prediction").alias("prediction"))
+    score = auc(valid, by=["fold"]).agg(F.avg("auc")).first()[0]
+    return Scored(oof, scores, mean_blend(tested), score)

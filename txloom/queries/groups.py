@@ -10,7 +10,7 @@ from ..operators.groupstats import (
     GROUP_RATIOS, frequency_table, group_broadcast, group_ratios, group_stats, user_stats,
 )
 from ..operators.metrics import auc, errors
-from ..operators.narrow import cast_to, column_counts
+from ..operators.narrow import cast_to, column_counts, null_counts
 from ..operators.sampling import downsample_negatives
 from ..operators.training import mean_score
 from ..schema import KEY, SPLIT
@@ -63,7 +63,7 @@ def d5(spark, folder):
     f"select '{c}' as \"column\", count(*) filter ({c} is null) as nulls from joined" for c in [*_COUNTED, *IDENTITY]),
     "joined"))
 def d6(spark, folder):
-    return column_counts(joined(spark, folder), [*_COUNTED, *IDENTITY]).select("column", "nulls")
+    return null_counts(joined(spark, folder), [*_COUNTED, *IDENTITY])
 
 
 @query("d7_column_means", sql("select round(avg(TransactionAmt), 6) as TransactionAmt, round(avg(D15), 6) as D15, "
@@ -111,7 +111,7 @@ _VCOLS = [f"V{i}" for i in range(1, 68)]
 @query("d10_spearman", sql(f"+ long as ({long_sql('vmat', _VCOLS, 'vec_id')}) select col_i, col_j, n, round(rho, 6) "
                            f"as rho from ({spearman_sql('long')})", "vmat"))
 def d10(spark, folder):
-    return tidy(spearman_pairs(vmat(spark, folder), _VCOLS, "vec_id"))
+    return tidy(spearman_pairs(vmat(spark, folder), _VCOLS))
 
 
 def auc_sql(source: str, by: str, score: str = "prediction", label: str = "label") -> str:
@@ -229,7 +229,7 @@ def f4(spark, folder):
     f"+ long as ({long_sql('vmat', _VCOLS, 'vec_id')}) select distinct col_j as \"column\" from "
     f"({spearman_sql('long')}) where abs(rho) > 0.99", "vmat"))
 def f5(spark, folder):
-    return correlated_later(spearman_pairs(vmat(spark, folder), _VCOLS, "vec_id"))
+    return correlated_later(spearman_pairs(vmat(spark, folder), _VCOLS))
 
 
 @query("panel_group_ratios", "with p as (select l_partkey, l_returnflag, l_extendedprice as v from lineitem) "

@@ -19,6 +19,7 @@ from ..operators.stages import (
 )
 from ..operators.training import (
     PrunedCV, assemble, booster, class_feature, cross_validate, eliminate, predict, reduced, second_stage,
+    second_stage_test,
     seed_average, selection_stages, with_stage_params,
 )
 from ..plans.scoring import score_test
@@ -88,8 +89,8 @@ def train_part(spark, folder):
 
 @query("i4_cross_validation")
 def i4(spark, folder):
-    """Scores per fold of two models, and the test predictions' mean."""
-    done = score_test(model_rows(spark, folder), _NAMES, {"gbdt": small(), "forest": small("forest")}, k=2)
+    """Scores per fold of two models, and the mean of the stacked test predictions."""
+    done = score_test(model_rows(spark, folder), _NAMES, {"gbdt": small(), "forest": small("forest")}, k=5)
     mean = done.predictions.agg(F.avg("prediction").alias("m"), F.count(F.lit(1)).alias("n")).first()
     return tidy(done.scores.withColumns({"mean_prediction": F.lit(mean["m"]), "test_rows": F.lit(mean["n"])}))
 
@@ -124,7 +125,7 @@ def i6(spark, folder):
 
 @query("i7_stacker_tuning")
 def i7(spark, folder):
-    scores = blend.tune_stacking(stack_rows(spark, folder), MODELS, (0.001, 0.1))
+    scores = blend.tune_stacking(stack_rows(spark, folder), MODELS, (0.001, 0.01, 0.1, 1.0))
     return spark.createDataFrame(list(scores.items()), "c double, auc double")
 
 
@@ -160,8 +161,8 @@ def i8(spark, folder):
 @query("i8_pruned_training")
 def i8_training(spark, folder):
     train = train_part(spark, folder)
-    folds = stratified_kfold(train, 2, shuffle=True, seed=1)
-    cv = PrunedCV(2, 0.02, minimize=False)
+    folds = stratified_kfold(train, 5, shuffle=True, seed=1)
+    cv = PrunedCV(5, 0.02, minimize=False)
     scores = [(name, cv.cross_val_score(model, train, folds, "auc"))
               for name, model in (("gbdt", small()), ("forest", small("forest")))]
     return spark.createDataFrame(scores, "model string, negated_auc double")
@@ -170,17 +171,17 @@ def i8_training(spark, folder):
 @query("i9_parameter_search")
 def i9(spark, folder):
     train = train_part(spark, folder)
-    folds = settle(stratified_kfold(train, 2, shuffle=True, seed=1), "folds")
+    folds = settle(stratified_kfold(train, 3, shuffle=True, seed=1), "folds")
     space = {"maxDepth": Range(2, 4, "int"), "stepSize": Range(0.05, 0.5, "loguniform")}
-    cv = PrunedCV(2, 0.02, splits_to_start_pruning=1, minimize=False)
+    cv = PrunedCV(3, 0.02, splits_to_start_pruning=1, minimize=False)
 
     def objective(params):
         return cv.cross_val_score(small(**params), train, folds, "auc")
 
     path = scratch_path(spark, "trials")
-    Study(spark, path, "gbdt", space).optimize(objective, trials=1)
+    Study(spark, path, "gbdt", space).optimize(objective, trials=3)
     study = Study(spark, path, "gbdt", space)
-    study.optimize(objective, trials=1)
+    study.optimize(objective, trials=2)
     return study.history.select("study", "trial", "score", F.col("params")["maxDepth"].alias("max_depth"))
 
 
@@ -200,17 +201,19 @@ def i10(spark, folder):
 @query("i11_stage_parameters")
 def i11(spark, folder):
     """Selector, then classifier, with parameters set by stage name."""
-    train = train_part(spark, folder)
+    rows = model_rows(spark, folder)
+    train = assemble(rows.where("split = 'train'"), _NAMES, [KEY, "isFraud"])
     chosen = selection_stages(_NAMES, train, 0.02, small(), small("forest"))
     slicer, classifier = chosen.getStages()
     stages = with_stage_params({"slice": slicer, "classifier": classifier}, {"classifier__maxDepth": 4})
-    return tidy(predict(stages.fit(train), train))
+    return tidy(predict(stages.fit(train), assemble(rows, _NAMES, [KEY])))
 
 
 @query("i12_model_as_feature")
 def i12(spark, folder):
-    train = train_part(spark, folder)
-    return class_feature(small("forest").fit(train), train, "forest_class").select(KEY, "forest_class")
+    rows = model_rows(spark, folder)
+    model = small("forest").fit(assemble(rows.where("split = 'train'"), _NAMES, ["isFraud"]))
+    return class_feature(model, assemble(rows, _NAMES, [KEY]), "forest_class").select(KEY, "forest_class")
 
 
 @query("j2_fitted_stages", sql(
@@ -266,11 +269,15 @@ def k8_svd(spark, folder):
 
 @query("k26_two_stages")
 def k26(spark, folder):
-    train = train_part(spark, folder)
-    folds = stratified_kfold(train, 2, shuffle=True, seed=1)
-    held, _, _ = cross_validate({"first": small()}, train, folds)
-    rows = settle(second_stage(train, held), "second")
-    return tidy(predict(small().fit(rows), rows))
+    """Training rows carry the out-of-fold score of the first model, test rows its mean over the folds."""
+    rows = model_rows(spark, folder)
+    train = assemble(rows.where("split = 'train'"), _NAMES, [KEY, "isFraud"])
+    test = assemble(rows.where("split = 'test'"), _NAMES, [KEY])
+    folds = stratified_kfold(train, 5, shuffle=True, seed=1)
+    held, _, tested = cross_validate({"first": small()}, train, folds, test)
+    second = settle(second_stage(train, held), "second")
+    model = small().fit(second)
+    return tidy(predict(model, second).unionByName(predict(model, second_stage_test(test, tested))))
 
 
 @query("k29_recursive_elimination")
