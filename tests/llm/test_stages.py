@@ -1,0 +1,18 @@
+"""Pipeline stages on small planted cases."""
+
+import corpus_pipeline
+from test_operators import shingles, table
+
+
+def test_stage_links_from_80_percent(spark):
+    base = [f"w{k}" for k in range(204)]
+    near, far = list(base), list(base)
+    for k in (20, 70, 120, 170):
+        near[k] = f"x{k}"
+    for k in (20, 60, 100, 140, 180):
+        far[k] = f"y{k}"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
+    one, two, three = (shingles(t) for _, t in rows)
+    assert 0.80 <= len(one & two) / len(one | two) < 0.85 and len(one & three) / len(one | three) < 0.80
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]

@@ -13,7 +13,8 @@
 4. Survivors are verified exactly on the full shingle sets.
 
 A link of similarity 0.85 shares no band with probability (1 - 0.85**4)**24 =
-2e-8, and is dropped by a batch with about ``miss``.
+2e-8 (3e-6 at the 0.80 of the pipeline stage), and is dropped by a batch with
+about ``miss``.
 """
 
 from __future__ import annotations

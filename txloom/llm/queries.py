@@ -43,7 +43,7 @@ def op2(spark, folder):
 @query("op3_minhash_bayes")
 def op3(spark, folder):
     """Near-duplicate components by banded MinHash with sequential Bayesian verification."""
-    found = minhash.near_duplicates(table(spark, folder, "documents"))
+    found = minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
