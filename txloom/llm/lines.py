@@ -4,7 +4,8 @@ A unit is a line (or, with ``paragraphs``, a block between blank lines).  It is
 normalised to its words in lower case (A-Z), so spacing does not matter.  The
 128-bit digests of all units are grouped; of equal units the one with the
 smallest (doc_id, text hash, place) stays.  Units under ``min_words`` words are
-never removed.
+never removed.  With ``passage`` words given, repeated runs of as many words
+(:mod:`passages`) go as well, wherever their lines break.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
+from .passages import repeated_passages
 from .text import Words, mix, runs, slices, text_buffer
 
 MIN_WORDS = 5
@@ -82,16 +84,28 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool
     return later.groupBy("doc_id", "place").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def _without(raw: bytes, spans: list) -> bytes:
-    """The text without the spans and, for each, the line break behind it."""
+def _merged(spans: list) -> list[tuple[int, int]]:
+    """The spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((x["start"], x["end"]) for x in spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the spans and, for each that begins a line, the line break behind it."""
     out, at = [], 0
-    for s in sorted(spans, key=lambda x: x["start"]):
-        out.append(raw[at:s["start"]])
-        at = s["end"] + (raw[s["end"]:s["end"] + 1] == b"\n")
+    for start, end in spans:
+        out.append(raw[at:start])
+        at = end + (raw[end:end + 1] == b"\n" and raw[start - 1:start] in (b"", b"\n"))
     return b"".join([*out, raw[at:]])
 
 
-def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
+def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False,
+                        passage: int | None = None) -> DataFrame:
     """``docs`` with the text that is left and ``removed``, the spans cut out of the original (bytes).
 
     A null text stays null, a text of repeated units alone becomes empty.  Rows
@@ -102,7 +116,11 @@ def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs:
     inner = [f"_c{i}" for i in range(len(columns))]
     lower = [c.lower() for c in columns]
     doc, text = inner[lower.index("doc_id")], inner[lower.index("text")]
-    spans = repeated_units(docs.select("doc_id", "text"), min_words, paragraphs).select(
+    spans = repeated_units(docs.select("doc_id", "text"), min_words, paragraphs)
+    if passage:
+        both = spans.unionByName(repeated_passages(docs.select("doc_id", "text"), passage))
+        spans = both.groupBy("doc_id", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.select(
         F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.col("spans").alias("_spans"))
     renamed = docs.toDF(*inner)
     joined = renamed.join(spans, F.col(doc).cast("long").eqNullSafe(F.col("_id"))
@@ -112,7 +130,7 @@ def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(inner)).to_pylist()
+            spans = [_merged(s) if s else [] for s in batch.column(len(inner)).to_pylist()]
             texts = batch.column(where)
             hit = [i for i, s in enumerate(spans) if s]
             if hit:
@@ -120,8 +138,7 @@ def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs:
                 for i in hit:
                     new[i] = _without(new[i].encode(), spans[i]).decode()
                 texts = pa.array(new, texts.type)
-            removed = pa.array([[{"start": x["start"], "end": x["end"]} for x in sorted(s, key=lambda x: x["start"])]
-                                if s else [] for s in spans], _SPANS)
+            removed = pa.array([[{"start": start, "end": end} for start, end in s] for s in spans], _SPANS)
             arrays = [*batch.columns[:where], texts, *batch.columns[where + 1:len(inner)], removed]
             yield pa.RecordBatch.from_arrays(arrays, [*inner, "_removed"])
 

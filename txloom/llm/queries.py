@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, settle
-from . import columns, ledger, lines, minhash, packing, rans, rollup, rules, sketch, viterbi
+from . import columns, ledger, lines, minhash, packing, passages, rans, rollup, rules, sketch, viterbi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,12 +126,21 @@ from documents d left join docs u using (doc_id)
 @query("op9_line_dedup", _UNITS)
 def op9(spark, folder):
     """Repeated lines removed; the earliest one of equal lines stays."""
-    cut = lines.drop_repeated_units(table(spark, folder, "documents"))
+    return _cut_summary(lines.drop_repeated_units(table(spark, folder, "documents")))
+
+
+def _cut_summary(cut: DataFrame) -> DataFrame:
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select("doc_id", F.size("removed").cast("long").alias("n_removed"), removed.alias("removed_bytes"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op9_passage_dedup")
+def op9_passages(spark, folder):
+    """Repeated lines and repeated runs of more than 50 words removed, as in the pipeline."""
+    return _cut_summary(lines.drop_repeated_units(table(spark, folder, "documents"), passage=passages.PASSAGE))
+
+
 _LEDGER = r"""
 with base as (
   select doc_id, coalesce(text, '') as text from documents),
