@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines and passages that an earlier document has; a text may become empty, no document goes."""
-    return lines.drop_repeated_units(docs, passage=passages.PASSAGE).select(*[f"`{c}`" for c in docs.columns])
+    """Texts without lines (of any length) and passages that an earlier document has; a text may become empty, no document goes."""
+    return lines.drop_repeated_units(docs, min_words=1, passage=passages.PASSAGE).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,9 @@ def test_stage_cuts_a_passage_inside_lines(spark):
             (3, " ".join(own[2] + passage[:50]))]
     left = {r.doc_id: r.text.split() for r in corpus_pipeline.substring_dedup(spark, table(spark, rows), "").collect()}
     assert left == {1: own[0] + passage + ["first", "tail"], 2: own[1], 3: own[2] + passage[:50]}
+
+
+def test_stage_cuts_short_lines(spark):
+    rows = [(1, "read more\nfirst text"), (2, "second text\nRead  more\nfirst"), (3, "first\nthird")]
+    left = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, table(spark, rows), "").collect()}
+    assert left == {1: "read more\nfirst text", 2: "second text\nfirst", 3: "third"}

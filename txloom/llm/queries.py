@@ -137,8 +137,8 @@ def _cut_summary(cut: DataFrame) -> DataFrame:
 
 @query("op9_passage_dedup")
 def op9_passages(spark, folder):
-    """Repeated lines and repeated runs of more than 50 words removed, as in the pipeline."""
-    return _cut_summary(lines.drop_repeated_units(table(spark, folder, "documents"), passage=passages.PASSAGE))
+    """Repeated lines of any length and repeated runs of more than 50 words removed, as in the pipeline."""
+    return _cut_summary(lines.drop_repeated_units(table(spark, folder, "documents"), min_words=1, passage=passages.PASSAGE))
 
 
 _LEDGER = r"""
