@@ -15,13 +15,7 @@ from hypothesis import given, settings, strategies as st
 from txloom.llm import columns, ledger, lines, minhash, packing, rans, rollup, rules, sketch, stats, tokens, viterbi
 from txloom.llm.text import Words, text_buffer
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def table(spark, pairs):
-    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in pairs]
-    return spark.createDataFrame(rows, SCHEMA)
+from llm_helpers import WORD, library, shingles, table
 
 
 @pytest.fixture(scope="module")
@@ -41,13 +35,6 @@ def mixed():
     return rows
 
 
-def library():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-
-
 def test_ids_are_those_of_the_library(mixed):
     texts = [t or "" for _, t in mixed]
     ids, at = tokens.encoder().encode(pa.array(texts))
@@ -121,11 +108,6 @@ def test_packing(spark, mixed, limits):
     assert packing.pack_documents(table(spark, [])).collect() == []
 
 
-def shingles(text):
-    words = WORD.findall((text or "").encode().lower())
-    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
-
 def components(rows, percent=85):
     sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
 

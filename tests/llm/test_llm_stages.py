@@ -3,8 +3,8 @@
 import random
 
 import corpus_pipeline
-from test_operators import WORD, shingles, table
-from txloom.llm import passages
+from llm_helpers import SCHEMA, WORD, shingles, table
+from txloom.llm import lines, passages
 
 
 def test_stage_links_from_80_percent(spark):
@@ -69,3 +69,16 @@ def test_stage_cuts_short_lines(spark):
     rows = [(1, "read more\nfirst text"), (2, "second text\nRead  more\nfirst"), (3, "first\nthird")]
     left = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, table(spark, rows), "").collect()}
     assert left == {1: "read more\nfirst text", 2: "second text\nfirst", 3: "third"}
+
+
+def test_column_called_removed_and_one_word_texts(spark):
+    """A clashing name stays, and a text of one word a million times costs a sort."""
+    rows = [(1, "same words in two lines here", "a"), (2, "same words in two lines here\nown", "b"), (3, "long " * 600_000, "c")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), x) for i, t, x in rows], SCHEMA + ", Removed string")
+    cut = lines.drop_repeated_units(docs, min_words=1, passage=passages.PASSAGE)
+    assert cut.columns == [*docs.columns, "removed_1"]
+    got = {r.doc_id: (r.text, r.Removed, [(s.start, s.end) for s in r.removed_1]) for r in cut.collect()}
+    assert got[1] == (rows[0][1], "a", []) and got[2] == ("own", "b", [(0, 28)])
+    assert got[3][2] == [(51 * 5 - 1, 3_000_000 - 1)]
+    stage = corpus_pipeline.substring_dedup(spark, docs, "")
+    assert stage.columns == docs.columns and stage.where("doc_id = 2").first().text == "own"

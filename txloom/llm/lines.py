@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .passages import repeated_passages
+from .passages import joined_spans, passage_spans
 from .text import Words, mix, runs, slices, text_buffer
 
 MIN_WORDS = 5
@@ -68,8 +68,8 @@ def unit_table(docs: DataFrame, paragraphs: bool = False) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, place long, start long, end long, words long, high long, low long")
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
-    """(doc_id, place, spans): the [start, end) bytes of every unit that an earlier one equals, per text.
+def unit_spans(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
+    """(doc_id, place, start, end): the bytes of every unit that an earlier one equals.
 
     Groups are aggregated before anything is joined, so a line that most
     documents share is one row per task; its occurrences are joined back on
@@ -81,18 +81,12 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool
     later = units.join(first.drop("n"), ["high", "low"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
           & (F.col("start") == F.col("first.start"))))
-    return later.groupBy("doc_id", "place").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return later.select("doc_id", "place", "start", "end")
 
 
-def _merged(spans: list) -> list[tuple[int, int]]:
-    """The spans in order, overlapping ones as one."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((x["start"], x["end"]) for x in spans):
-        if out and start < out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
+    """(doc_id, place, spans): the [start, end) bytes of every unit that an earlier one equals, per text."""
+    return joined_spans(unit_spans(docs, min_words, paragraphs))
 
 
 def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -104,11 +98,21 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def spans_name(columns: list[str]) -> str:
+    """``removed``, or the first of ``removed_1``, ``removed_2``, ... that no column has."""
+    taken, name, k = {c.lower() for c in columns}, "removed", 0
+    while name in taken:
+        k += 1
+        name = f"removed_{k}"
+    return name
+
+
 def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False,
                         passage: int | None = None) -> DataFrame:
     """``docs`` with the text that is left and ``removed``, the spans cut out of the original (bytes).
 
-    A null text stays null, a text of repeated units alone becomes empty.  Rows
+    Where ``docs`` has a column of that name, whatever its case, it stays and the
+    spans come last under the name that :func:`spans_name` gives.  A null text stays null, a text of repeated units alone becomes empty.  Rows
     with equal id and text are one text here and keep the same units; rows with
     null ids rank last.  All other columns are carried along, whatever their names.
     """
@@ -116,11 +120,10 @@ def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs:
     inner = [f"_c{i}" for i in range(len(columns))]
     lower = [c.lower() for c in columns]
     doc, text = inner[lower.index("doc_id")], inner[lower.index("text")]
-    spans = repeated_units(docs.select("doc_id", "text"), min_words, paragraphs)
+    spans = unit_spans(docs.select("doc_id", "text"), min_words, paragraphs)
     if passage:
-        both = spans.unionByName(repeated_passages(docs.select("doc_id", "text"), passage))
-        spans = both.groupBy("doc_id", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = spans.select(
+        spans = spans.unionByName(passage_spans(docs.select("doc_id", "text"), passage))
+    spans = joined_spans(spans).select(
         F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.col("spans").alias("_spans"))
     renamed = docs.toDF(*inner)
     joined = renamed.join(spans, F.col(doc).cast("long").eqNullSafe(F.col("_id"))
@@ -130,7 +133,7 @@ def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [_merged(s) if s else [] for s in batch.column(len(inner)).to_pylist()]
+            spans = [[(x["start"], x["end"]) for x in s or ()] for s in batch.column(len(inner)).to_pylist()]
             texts = batch.column(where)
             hit = [i for i, s in enumerate(spans) if s]
             if hit:
@@ -142,7 +145,7 @@ def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs:
             arrays = [*batch.columns[:where], texts, *batch.columns[where + 1:len(inner)], removed]
             yield pa.RecordBatch.from_arrays(arrays, [*inner, "_removed"])
 
-    return joined.mapInArrow(cut, schema).toDF(*columns, "removed")
+    return joined.mapInArrow(cut, schema).toDF(*columns, spans_name(columns))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

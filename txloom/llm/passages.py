@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import settle
 from .text import Words, mix, slices, text_buffer
@@ -131,8 +131,29 @@ def window_table(rows: DataFrame, size: int = PASSAGE) -> DataFrame:
         cut, "doc_id long, place long, start long, end long, high long, low long")
 
 
+def joined_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, place, spans): the distinct [start, end) of each text in order, overlapping ones as one.
+
+    One exchange by text; equal rows collapse and overlapping ones join in the
+    order of the text, so many thousand spans of one text cost a sort and not
+    a comparison of all pairs.
+    """
+    rows = spans.repartition("doc_id", "place").select("doc_id", "place", "start", "end").distinct()
+    order = Window.partitionBy("doc_id", "place").orderBy("start", "end")
+    reached = rows.withColumn("_reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(F.col("start") < F.col("_reach"), 0).otherwise(1)
+    numbered = reached.withColumn("_run", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = numbered.groupBy("doc_id", "place", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return one.groupBy("doc_id", "place").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def repeated_passages(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
-    """(doc_id, place, spans): the [start, end) bytes under windows that an earlier one equals, per text; spans may overlap.
+    """(doc_id, place, spans): the [start, end) bytes under windows that an earlier one equals, per text."""
+    return joined_spans(passage_spans(docs, size))
+
+
+def passage_spans(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
+    """(doc_id, place, start, end): the bytes under windows that an earlier one equals; spans may overlap and repeat.
 
     As for lines, groups are aggregated before anything is joined.
     """
@@ -163,5 +184,4 @@ def repeated_passages(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
         F.min(F.struct(no_id, "doc_id", "place", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     single = found.join(first.drop("n"), ["high", "low"]).where(~itself).select(
         "doc_id", "place", F.when(same, F.greatest("start", F.col("first.end"))).otherwise(F.col("start")).alias("start"), "end")
-    spans = single.unionByName(later.where("not close").select("doc_id", "place", "start", "end"))
-    return spans.groupBy("doc_id", "place").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return single.unionByName(later.where("not close").select("doc_id", "place", "start", "end"))
