@@ -7,12 +7,12 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from txloom.functions import text
 from txloom.functions.canon import number_text
 from txloom.functions.ratios import ratio
-from txloom.operators import blend, clients, correlation, encoders, folds, groupstats, narrow as narrowing, sampling
+from txloom.operators import blend, clients, correlation, encoders, folds, groupstats, narrow as narrowing, ordered, sampling
 from txloom.operators.folds import group_kfold, kfold, lightest_first, stratified_kfold
 from txloom.operators.impute import fill_constant
 from txloom.operators.metrics import auc, errors
@@ -371,3 +371,29 @@ def test_whole_fold_trains_on_all_rows(spark):
     assert sorted(r["TransactionID"] for r in last) == list(range(14))
     assert {r["role"] for r in last} == {"train"}
     assert sum(folds.EXPANDING_WEIGHTS.values()) == pytest.approx(1) and sorted(folds.EXPANDING_WEIGHTS) == [0, 1, 2, 3]
+
+
+def test_running_totals_exchange_rows_once(rows):
+    """The windows inside chunks use the one exchange that deals out the chunks."""
+    dealt = ordered.chunked(rows, ["g"], ["TransactionDT", "TransactionID"], 6)
+    inside = Window.partitionBy(ordered.CHUNK, "g").orderBy("TransactionDT", "TransactionID")
+    plan = dealt.withColumn("n", F.row_number().over(inside))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" in plan
+    assert dealt.groupBy(F.spark_partition_id()).agg(F.count_distinct(ordered.CHUNK).alias("n")).where("n > 1").isEmpty()
+
+
+@pytest.mark.parametrize("chunks", [2, 9])
+def test_chunks_follow_the_order(spark, chunks):
+    """Nulls first, odd values and repeated keys; every chunk lies before the next one."""
+    data = [(None if i % 9 == 0 else f'k"{i % 4}\n', None if i % 7 == 0 else [float("nan"), float("inf"), -0.0, i / 3][i % 4],
+             i % 5) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, x double, i int")
+    got = ordered.chunked(df, ["g"], ["x", "i"], chunks).groupBy(ordered.CHUNK).agg(
+        F.min(F.struct("g", "x", "i")).alias("low"), F.max(F.struct("g", "x", "i")).alias("high"), F.count("*").alias("n"))
+    pairs = got.alias("a").join(got.alias("b"), F.col(f"a.{ordered.CHUNK}") < F.col(f"b.{ordered.CHUNK}"))
+    assert pairs.where("a.high >= b.low").isEmpty() and got.agg(F.sum("n")).first()[0] == 300 and got.count() > 1
+
+
+def test_running_totals_of_an_empty_table(rows):
+    assert running_totals(rows.where("false"), ["g"], ["TransactionDT"], {"n": F.lit(1)}).collect() == []
+    assert previous_value(rows.where("false"), ["g"], ["TransactionDT"], "v", "p").collect() == []

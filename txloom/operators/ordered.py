@@ -2,11 +2,14 @@
 
 A window partitioned by a client, a column name or nothing at all puts all
 rows of one group into one task, and one group may hold a third of the table.
-Here the rows are range-partitioned on (group, order) instead, so that a large
-group spans many chunks.  A window then works inside each (group, chunk), and
-what the chunks before hold is added from a table of chunk totals.  In this
-placement at most one group per chunk began in an earlier chunk, so the table
-of carried totals has fewer rows than there are chunks.
+Here the rows are cut into chunks of the order (group, order) instead, so that
+a large group spans many chunks.  The borders come from a sample of the keys
+and stand in the plan as a literal, so the chunk number is an expression of
+the row: the rows are exchanged once, by that number, and windows inside
+(chunk, group) need no second exchange.  What the chunks before hold is added
+from a table of chunk totals when the written rows are read.  At most one
+group per chunk began in an earlier chunk, so the table of carried totals has
+fewer rows than there are chunks.
 """
 
 from __future__ import annotations
@@ -16,17 +19,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import settle
 
 CHUNK = "_chunk"
+#: Keys drawn per chunk to find the borders.
+DRAWN = 100
 
 
-def place(df: DataFrame, by, order, chunks: int | None = None) -> DataFrame:
-    """Range-partition on (by, order) and write the rows with their chunk number.
+def _key(names) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
 
-    Writing fixes the chunk numbers: range bounds come from a sample and might
-    differ if the plan ran twice.
+
+def chunked(df: DataFrame, by, order, chunks: int | None = None) -> DataFrame:
+    """``df`` with its chunk number, one partition per chunk of the order (by, order); nulls first.
+
+    ``chunks`` is the number of shuffle partitions if not given, fewer for a
+    table of under ``DRAWN`` rows a chunk.  The keys with the smallest hashes
+    are the sample, so the borders are the same in every run; rows with equal
+    keys share a chunk.
     """
-    keys = [*by, *order]
-    placed = df.repartitionByRange(chunks, *keys) if chunks else df.repartitionByRange(*keys)
-    return settle(placed.withColumn(CHUNK, F.spark_partition_id()), "ordered")
+    spark, names = df.sparkSession, [*by, *order]
+    most = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = []
+    if most > 1:
+        keys = df.select(_key(names).alias("k"))
+        hashed = F.xxhash64(*[F.col(f"k.k{i}") for i in range(len(names))])
+        kind = keys.schema["k"].dataType.simpleString()
+        drawn = [r["j"] for r in keys.orderBy(hashed).limit(DRAWN * most).sortWithinPartitions("k").select(
+            F.to_json("k").alias("j")).collect()]  # bounded by the number of chunks, not by the rows
+    count = most if chunks else min(most, 1 + len(drawn) // DRAWN)
+    cuts = [drawn[len(drawn) * i // count] for i in range(1, count)] if drawn else []
+    if not cuts:
+        return df.withColumn(CHUNK, F.lit(0)).repartitionById(1, CHUNK)
+    borders = F.from_json(F.lit(f"[{','.join(cuts)}]"), f"array<{kind}>")
+    halves = F.array(*[F.lit(1 << j) for j in reversed(range(len(cuts).bit_length()))])
+    # Binary search: the number of borders that are not above the key.
+    number = F.aggregate(halves, F.lit(0), lambda low, step: F.when(
+        F.get(borders, low + step - 1) <= _key(names), low + step).otherwise(low))
+    return df.withColumn(CHUNK, number).repartitionById(count, CHUNK)
 
 
 def _carry(local: DataFrame, carried: DataFrame, by) -> DataFrame:
@@ -47,16 +74,16 @@ def running_totals(df: DataFrame, by, order, sums: dict[str, Column], chunks: in
     ``by`` are the group columns (none = one global order) and ``order`` must
     make the order inside a group total.  The row itself is not included.
     """
-    work = place(df.withColumns({f"_in_{n}": c for n, c in sums.items()}), by, order, chunks)
-    inside = Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = work.withColumns({f"_l_{n}": F.sum(f"_in_{n}").over(inside) for n in sums})
-    totals = work.groupBy(*by, CHUNK).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
+    work = chunked(df.withColumns({f"_in_{n}": c for n, c in sums.items()}), by, order, chunks)
+    inside = Window.partitionBy(CHUNK, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = settle(work.withColumns({f"_l_{n}": F.sum(f"_in_{n}").over(inside) for n in sums}), "ordered")
+    totals = local.groupBy(*by, CHUNK).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *by, CHUNK, F.count(F.lit(1)).over(earlier).alias("_before"),
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
     ).where("_before > 0").drop("_before")
-    zero = {n: F.lit(0).cast(work.schema[f"_in_{n}"].dataType) for n in sums}
+    zero = {n: F.lit(0).cast(local.schema[f"_in_{n}"].dataType) for n in sums}
     return _carry(local, carried, by).select(
         *df.columns,
         *[(F.coalesce(f"_l_{n}", zero[n]) + F.coalesce(f"_c_{n}", zero[n])).alias(n) for n in sums],
@@ -80,11 +107,11 @@ def average_rank(df: DataFrame, by, value: str, name: str = "avg_rank", chunks:
 
 def previous_value(df: DataFrame, by, order, value: str, name: str, chunks: int | None = None) -> DataFrame:
     """``value`` of the row before in the group's order, null on the first row."""
-    work = place(df, by, order, chunks)
-    inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
-    local = work.withColumns({"_pos": F.row_number().over(inside), "_prev": F.lag(value).over(inside)})
+    inside = Window.partitionBy(CHUNK, *by).orderBy(*order)
+    local = settle(chunked(df, by, order, chunks).withColumns(
+        {"_pos": F.row_number().over(inside), "_prev": F.lag(value).over(inside)}), "ordered")
     # Held in a struct: the last row counts even when its value is null.
-    last = work.groupBy(*by, CHUNK).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    last = local.groupBy(*by, CHUNK).agg(F.max_by(F.struct(F.col(value).alias("v")), "_pos").alias("_last"))
     across = Window.partitionBy(*by).orderBy(CHUNK)
     carried = last.select(*by, CHUNK, F.lag("_last").over(across).alias("_carried")).where("_carried is not null")
     return _carry(local, carried, by).select(
