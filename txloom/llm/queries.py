@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, settle
-from . import columns, ledger, lines, minhash, packing, passages, rans, rollup, rules, sketch, viterbi
+from . import columns, ledger, lines, manifest, minhash, negatives, packing, passages, patterns, rans, rollup, rules, sketch, viterbi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,89 @@ def op10(spark, folder):
     """Measurements, base verdict and verdict of the current policy."""
     done = ledger.apply_policy(ledger.rule_ledger(table(spark, folder, "documents")))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(doc_id as varchar), ''),
+  lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295)"""
+_LEAF = " || ".join(f"case when {c} is null then '-' else strlen(cast({v} as varchar)) || ':' || cast({v} as varchar) end"
+                    for c, v in (("doc_id", "doc_id"), ("source", "source"), ("lang", "lang"), ("n_chars", "(n_chars + {0})"), ("text", "text")))
+_MANIFEST = f"""
+with recursive leaf as (
+  select doc_id, lang, sha256({_LEAF.format(0)}) as h,
+         case when {_CRC} % 7 = 0 then sha256({_LEAF.format(1)}) end as tampered,
+         row_number() over (partition by lang order by doc_id nulls first) - 1 as pos, count(*) over (partition by lang) as n
+  from documents),
+tree as (
+  select 0 as lvl, lang, pos, h, n from leaf
+  union all
+  select lvl + 1, lang, pos // 2, sha256(h || coalesce(follows, '')), (n + 1) // 2
+  from (select *, lead(h) over (partition by lang order by pos) as follows from tree) where n > 1 and pos % 2 = 0),
+sub as (
+  select lang, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from tree where n = 1),
+top as (
+  select 0 as lvl, pos, h, n from sub
+  union all
+  select lvl + 1, pos // 2, sha256(h || coalesce(follows, '')), (n + 1) // 2
+  from (select *, lead(h) over (order by pos) as follows from top) where n > 1 and pos % 2 = 0),
+upper as (
+  select s.lang, list(t.pos % 2 || coalesce(b.h, '') order by t.lvl) as steps
+  from sub s join top t on t.n > 1 and t.pos = s.pos >> t.lvl left join top b on b.lvl = t.lvl and b.pos = xor(t.pos, 1)
+  group by s.lang),
+lower as (
+  select l.doc_id, list(t.pos % 2 || coalesce(b.h, '') order by t.lvl) as steps
+  from leaf l join tree t on t.n > 1 and t.lang is not distinct from l.lang and t.pos = l.pos >> t.lvl
+  left join tree b on b.lang is not distinct from l.lang and b.lvl = t.lvl and b.pos = xor(t.pos, 1) group by l.doc_id),
+path as (
+  select l.doc_id, l.h as leaf, l.tampered, s.h as subroot, (select h from top where n = 1) as root,
+         list_concat(coalesce(a.steps, []), coalesce(u.steps, [])) as steps
+  from leaf l join sub s on s.lang is not distinct from l.lang left join lower a using (doc_id)
+  left join upper u on u.lang is not distinct from l.lang),
+done as (
+  select *, list_reduce(list_concat([coalesce(tampered, leaf)], steps),
+                        lambda a, x: sha256(case when x[1] = '1' then x[2:] || a else a || x[2:] end)) as folded_root from path)
+select doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(steps, lambda x: x[2:]), 'string_agg', ''), '')) as proof_sha256,
+       folded_root, folded_root = root as verified from done
+"""
+
+
+@query("op11_merkle_manifest", _MANIFEST)
+def op11(spark, folder):
+    """Proofs of all documents, folded again from a copy in which some rows were tampered with."""
+    return manifest.verified_manifest(table(spark, folder, "documents")).drop("lang", "steps")
+
+
+_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x
+  from embeddings
+  where label is not null and vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.x, b.x) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same
+    and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES)
+def op12(spark, folder):
+    """Negatives between 30 and 90 percent of each positive's score, for every hundredth vector."""
+    rows = negatives.vectors_of(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_pattern_packing")
+def op13(spark, folder):
+    """Whole documents in sequences of 2,048 tokens by fitted length patterns."""
+    return patterns.pack_patterns(table(spark, folder, "documents"))
