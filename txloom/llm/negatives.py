@@ -373,7 +373,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     score first, then the smaller id; a negative positive score has no such
     row.  Rows that share an id are rows of their own, but none is another row
     for an anchor of that id.  An anchor alone in its label, or without rows in
-    the window, has no result; nor has an empty table.
+    the window, has no result; nor has an empty table.  A score beyond 64 bits
+    raises an error.
     """
     mining = Mining(vectors)
     every = lambda n: F.array(F.lit(n).cast("long"))
