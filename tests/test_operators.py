@@ -150,15 +150,18 @@ def holes(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("width", [4, 30, 2048])
-def test_spearman_on_holes(holes, monkeypatch, width):
-    monkeypatch.setattr(correlation, "_class_blocks", lambda classes, w=width, f=correlation._class_blocks: f(classes, w))
-    monkeypatch.setattr(correlation, "HELD_VALUES", 50)
+@pytest.mark.parametrize("block,chunks", [(3, 1), (1, 4), (8, 40)])
+def test_spearman_on_holes(holes, monkeypatch, block, chunks):
+    """Blocks of few columns; one chunk for all, chunks within a column, and values that go on over several chunks."""
+    monkeypatch.setattr(correlation, "BLOCK_COLUMNS", block)
+    monkeypatch.setattr(correlation, "HELD_RANKS", 50)
     pdf, df = holes
     names = list("abcdefgh")
     want = pdf[names].replace([np.inf, -np.inf], np.nan).corr(method="spearman")
-    got = correlation.spearman_pairs(df, names, chunks=4).collect()
+    got = correlation.spearman_pairs(df, names, chunks=chunks).collect()
     assert len(got) == 28
+    assert {(r["col_i"], r["col_j"]): r["n"] for r in got} == {
+        (a, b): int((pdf[a].map(np.isfinite) & pdf[b].map(np.isfinite)).sum()) for i, a in enumerate(names) for b in names[i + 1:]}
     for r in got:
         assert r["rho"] == pytest.approx(want.loc[r["col_i"], r["col_j"]])
 
@@ -175,6 +178,37 @@ def test_spearman_with_target_and_own_ranks(holes):
         assert r["rho"] == pytest.approx(pdf[[r["col_i"], r["col_j"]]].corr(method="spearman").iloc[0, 1])
 
 
+def test_spearman_own_ranks_on_holes_in_blocks(holes, monkeypatch):
+    """Ranks over the own rows of a column, then the correlation of these ranks on the common rows."""
+    monkeypatch.setattr(correlation, "BLOCK_COLUMNS", 3)
+    pdf, df = holes
+    names = list("abcdefgh")
+    ranks = pdf[names].replace([np.inf, -np.inf], np.nan).rank()
+    want = ranks.corr()
+    got = correlation.spearman_pairs(df, names, method="column_ranks", chunks=5).collect()
+    assert len(got) == 28
+    for r in got:
+        assert r["rho"] == pytest.approx(want.loc[r["col_i"], r["col_j"]])
+
+
+def test_spearman_of_columns_apart(holes, spark):
+    """Pairs inside a set are left out; constant columns have no correlation, missing ones no pair."""
+    pdf, df = holes
+    wide = df.withColumns({"k": F.lit(1.5), "m": F.lit(None).cast("double")})
+    got = {(r["col_i"], r["col_j"]): r["rho"] for r in correlation.spearman_pairs(
+        wide, ["a", "b", "c", "h", "k", "m"], apart={"a": 0, "h": 0, "b": 1, "c": 1}).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "h"), ("c", "h"), ("a", "k"), ("b", "k"), ("c", "k"), ("h", "k")}
+    assert all((v is None) == ("k" in pair) for pair, v in got.items())
+    assert correlation.spearman_pairs(wide, ["m"], target="a").collect() == []
+    assert correlation.spearman_pairs(wide.limit(0), ["a", "b"]).collect() == []
+
+
+def test_spearman_leaves_no_row_per_pair_in_tasks(holes):
+    """Tasks hand over a row per block: the plan has no join and no aggregate over pairs."""
+    plan = correlation.spearman_pairs(holes[1], list("abcdefgh"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan
+
+
 def test_later_column_goes_even_if_partner_went(holes):
     pdf, df = holes
     chain = df.withColumns({"i": F.col("h") + 1, "j": -F.col("i") if "i" in df.columns else -F.col("h")})

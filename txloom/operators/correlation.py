@@ -1,8 +1,19 @@
-"""Rank correlation of many columns, and features pruned by it."""
+"""Rank correlation of many columns, and features pruned by it.
+
+Two columns are ranked on the rows where both are present.  Columns present in
+the same rows form a class, so a column needs one rank per class and not one
+per partner.  The values of all columns are dealt out once in the order
+(column, value, row); a sweep over a sorted chunk gives the ranks inside the
+chunk for all classes, and what a chunk holds of a column, a few numbers, gives
+the ranks of the column.  A second exchange brings the values of a row
+together; a task adds up products of ranks as matrices, and the matrices, one
+per block of columns and task, are summed in two steps.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +22,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ratios import amount_ratios, pairwise_ratios
 from ..schema import C_COLS, D_COLS, V_COLS
 from ..session import settle
-from .ordered import running_totals
+from .ordered import CHUNK, DRAWN, chunked, running_totals
 
-SUM_NAMES = ["col_i", "col_j", "n", "si", "sj", "sii", "sjj", "sij"]
-SUMS = "col_i string, col_j string, n double, si double, sj double, sii double, sjj double, sij double"
+# Columns whose sums a task hands over in one row.
+BLOCK_COLUMNS = 512
+# Ranks that a task multiplies at once, and values that it writes at once.
+HELD_RANKS = 4_000_000
+WRITTEN = 20_000
+# First step of the sum: so many parts per block.
+PARTS = 16
+_INSIDE, _FIRST, _LAST, _TOTALS = range(4)
+CELLS = "row bigint, c int, chunk int, edge int, ranks binary"
+SUMS = "block int, part int, sums binary"
+PAIRS = "col_i string, col_j string, n bigint, rho double"
 
 
 def _finite(c: str) -> Column:
@@ -27,210 +47,360 @@ def _parallelism(df: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _stack(columns: dict[str, tuple[int, ...]], names: str) -> Column:
-    """One output row per column: its numbers, then its value."""
-    rows = ", ".join(f"{', '.join(str(n) for n in numbers)}, `{c}`" for c, numbers in columns.items())
-    return F.expr(f"stack({len(columns)}, {rows}) as {names}")
+def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """Rows of values; NaN where one is missing or not finite."""
+    flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
+    return np.where(np.isfinite(flat), flat, np.nan)
 
 
-def _presence_classes(work: DataFrame, columns: list[str]) -> list[list[int]]:
+def _presence_classes(work: DataFrame, width: int) -> list[list[int]]:
     """Columns grouped by the set of rows in which they are present.
 
-    A set is known by its size and two sums of row hashes, counted for all
-    columns in one aggregate.
+    A set is known by its size and two sums of row hashes; a task hands over one
+    row per column.
     """
-    hashes = [F.pmod(F.xxhash64(F.col(ROW), F.lit(seed)), F.lit(1 << 50)).alias(f"_h{seed}") for seed in (1, 2)]
-    long = work.select(*hashes, _stack({c: (i,) for i, c in enumerate(columns)}, "(c, x)")).where("x is not null")
-    sets = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[
-        F.sum(F.col(h).cast("decimal(20,0)")).alias(h) for h in ("_h1", "_h2")]).orderBy("c").collect()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, width), np.int64)
+        for batch in batches:
+            here = np.isfinite(_matrix(batch, width)).astype(np.int64)
+            row = batch.column("row").to_numpy().astype(np.uint64)
+            for k, factor in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
+                mixed = (row + np.uint64(1)) * np.uint64(factor)
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                total[k] += (mixed >> np.uint64(33)).astype(np.int64) @ here
+            total[2] += here.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), *map(pa.array, total)], ["c", "h1", "h2", "n"])
+
+    sums = work.mapInArrow(count, "c bigint, h1 bigint, h2 bigint, n bigint").groupBy("c").agg(
+        *[F.sum(F.col(x).cast("decimal(38,0)")).alias(x) for x in ("n", "h1", "h2")])
     classes: dict[tuple, list[int]] = {}
-    for row in sets:
-        classes.setdefault((row["n"], row["_h1"], row["_h2"]), []).append(row["c"])
+    for r in sums.where("n > 0").orderBy("c").collect():  # one row per column
+        classes.setdefault((r["n"], r["h1"], r["h2"]), []).append(r["c"])
     return list(classes.values())
 
 
-# Number that each row gets for itself: keys may repeat or be missing.
-ROW = "_row"
-# Most rank values of one row that a task holds for one pair of blocks.
-BLOCK_WIDTH = 2048
-# Rank values gathered in a task before they are multiplied.
-HELD_VALUES = 4_000_000
+@dataclass
+class Layout:
+    """Which ranks a column needs (``wanted``: its classes) and what the pairs are."""
+
+    names: list[str]
+    classes: list[list[int]]
+    own_ranks: bool
+    goal: int | None = None
+    block: int = 0
+    held: int = 0
+    home: list[int] = field(default_factory=list)
+    wanted: list[list[int]] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.block, self.held = self.block or BLOCK_COLUMNS, self.held or HELD_RANKS
+        self.home = [0] * len(self.names)
+        for k, members in enumerate(self.classes):
+            for c in members:
+                self.home[c] = k
+        every = list(range(len(self.classes)))
+        if self.goal is not None and not self.own_ranks:  # others meet the target alone
+            self.wanted = [every if c == self.goal else [self.home[self.goal]] for c in range(len(self.names))]
+        else:
+            self.wanted = [every] * len(self.names)
+
+
+def _cells(layout: Layout):
+    """Task side: (c, x, row, bits) of all values; ``bits`` says which classes the row has."""
+    width = len(layout.names)
+    used = np.array(sorted(c for members in layout.classes for c in members), dtype=np.int64)
+    leaders = [members[0] for members in layout.classes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, WRITTEN * 8 // width)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                values, rows = _matrix(part, width), part.column("row").to_numpy()
+                here = np.isfinite(values)
+                flags = np.ones((len(rows), 1), dtype=bool) if layout.own_ranks else here[:, leaders]
+                packed = np.packbits(flags, axis=1, bitorder="little")
+                line, c = np.nonzero(here[:, used])
+                c = used[c]
+                bits = _binary(packed[line])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int32()), pa.array(values[line, c]), pa.array(rows[line]), bits], ["c", "x", "row", "bits"])
+
+    return run
+
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
 
-def _class_blocks(classes: list[list[int]], width: int = BLOCK_WIDTH) -> list[list[int]]:
-    """Classes put into blocks with (columns of the block) * (classes of the block) up to ``width``."""
-    blocks: list[list[int]] = []
-    columns = 0
-    for k, members in enumerate(classes):
-        if not blocks or (columns + len(members)) * (len(blocks[-1]) + 1) > width:
-            blocks.append([])
-            columns = 0
-        blocks[-1].append(k)
-        columns += len(members)
-    return blocks
 
+def _rows_of(column: pa.Array, kind, width: int) -> np.ndarray:
+    """The reverse of :func:`_binary` for cells of equal size."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    return np.frombuffer(raw.tobytes(), kind).reshape(len(column), width)
 
-def _cross(dense: np.ndarray) -> list[np.ndarray]:
-    """n, si, sj, sii, sjj and sij of all pairs of columns that have gaps of their own."""
-    here = (~np.isnan(dense)).astype(float)
-    full = np.nan_to_num(dense)
-    square = full * full
-    return [here.T @ here, full.T @ here, here.T @ full, square.T @ here, here.T @ square, full.T @ full]
 
+def _sweep(layout: Layout):
+    """Task side: twice the ranks inside a sorted chunk, for each class a column needs (0: the row is not in the class).
 
-def _partial_sums(classes: list[list[int]], blocks: list[list[int]], names: list[str], goal: int | None, gaps: bool):
-    """Task side of the correlation: sums over the rows of a partition, one output row per pair of columns.
+    Per column a last row holds what the chunk has of it: rows per class in
+    all, with the first and with the last value, and these two values.
+    """
+    width = (1 if layout.own_ranks else len(layout.classes)) + 7 >> 3
 
-    The input is sorted by (pair of blocks, row).  A row brings the ranks of
-    each column of either block, one per class of the other block: its rank
-    among the rows in which that class is present too.  Two columns have these
-    ranks in the same rows, so only the product of the two is summed per pair.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("c").to_numpy(), b.column("x").to_numpy(), b.column("row").to_numpy(), _rows_of(b.column("bits"), np.uint8, width),
+                  b.column(CHUNK)[0].as_py()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        c, x, row, bits = (np.concatenate(p) for p in list(zip(*parts))[:4])
+        chunk, totals = parts[0][4], []
+        del parts
+        cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            own, value, need = int(c[start]), x[start:end], layout.wanted[int(c[start])]
+            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            last = np.append(first[1:], len(value))
+            group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
+            edge = np.where(group == 0, _FIRST, np.where(group == group[-1], _LAST, _INSIDE))
+            ranks = np.zeros((len(value), len(need)), np.int32)
+            counts = np.zeros((3, len(need)), np.int64)
+            for at, k in enumerate(need):
+                here = (bits[start:end, k >> 3] >> (k & 7) & 1).astype(np.int32)
+                upto = np.concatenate([[0], np.cumsum(here, dtype=np.int64)])
+                ranks[:, at] = np.where(here, (upto[first] + upto[last] + 1)[group], 0)
+                counts[:, at] = upto[-1], upto[last[0]], upto[-1] - upto[first[-1]]
+            totals.append((own, counts.tobytes() + value[[0, -1]].tobytes()))
+            for at in range(0, len(value), WRITTEN):
+                to = min(at + WRITTEN, len(value))
+                n = to - at
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row[start + at:start + to]), pa.array(np.full(n, own), pa.int32()), pa.array(np.full(n, chunk), pa.int32()),
+                     pa.array(edge[at:to], pa.int32()), _binary(ranks[at:to])], ["row", "c", "chunk", "edge", "ranks"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1] * len(totals), pa.int64()), pa.array([t[0] for t in totals], pa.int32()), pa.array([chunk] * len(totals), pa.int32()),
+             pa.array([_TOTALS] * len(totals), pa.int32()), pa.array([t[1] for t in totals], pa.binary())], ["row", "c", "chunk", "edge", "ranks"])
+
+    return run
+
+
+class Carried:
+    """What to add to twice the ranks of a (column, chunk), and twice the ranks of its first and last value.
+
+    Made of one row per column and chunk, so its size depends on columns,
+    classes and chunks and not on rows.
     """
-    depth, count = max(map(len, blocks)), len(blocks)
-    positions = {}
-    for pair in range(count * count):
-        used = {c for k in (*blocks[pair // count], *blocks[pair % count]) for c in classes[k]}
-        positions[pair] = {c: i for i, c in enumerate(sorted(used))}
-
-    def sides(pair: int):
-        one, two = blocks[pair // count], blocks[pair % count]
-        for x, a in enumerate(one):
-            for y, b in enumerate(two):
-                left, right = classes[a], classes[b]
-                if one is two and b < a:
-                    continue
-                if goal is not None:
-                    if goal in right:
-                        left, right = [i for i in left if i != goal], [goal]
-                    elif goal in left:
-                        left = [goal]
-                    else:
-                        continue
-                if left and right:
-                    yield left, y, right, x
-
-    def add(totals: dict, pair: int, line: np.ndarray, c: np.ndarray, r: np.ndarray) -> None:
-        at = positions[pair]
-        order = np.array(sorted(at))
-        dense = np.full((line[-1] + 1, len(at), depth), np.nan)
-        dense[line, np.searchsorted(order, c)] = r
-        if gaps:
-            parts = _cross(dense[:, :, 0])
-        else:
-            full = np.nan_to_num(dense)
-            parts = [(~np.isnan(dense)).sum(axis=0).astype(float), full.sum(axis=0), (full * full).sum(axis=0)]
-            parts += [full[:, [at[i] for i in left], y].T @ full[:, [at[j] for j in right], x]
-                      for left, y, right, x in sides(pair)]
-        old = totals.get(pair)
-        totals[pair] = parts if old is None else [t + q for t, q in zip(old, parts)]
-
-    def pairs(pair: int, parts: list[np.ndarray]) -> Iterator[tuple]:
-        at = positions[pair]
-        for k, (left, y, right, x) in enumerate(sides(pair)):
-            for p, i in enumerate(left):
-                for q, j in enumerate(right):
-                    if i == j or (left == right and j < i):
-                        continue
-                    if gaps:
-                        n, si, sj, sii, sjj, sij = (part[at[i], at[j]] for part in parts)
-                    else:
-                        n, si, sii = (part[at[i], y] for part in parts[:3])
-                        sj, sjj = (part[at[j], x] for part in parts[1:3])
-                        sij = parts[3 + k][p, q]
-                    if i > j:
-                        yield names[j], names[i], n, sj, si, sjj, sii, sij
-                    else:
-                        yield names[i], names[j], n, si, sj, sii, sjj, sij
+
+    def __init__(self, totals, layout: Layout):
+        depth = max(map(len, layout.wanted))
+        rows = sorted((r["c"], r["chunk"], r["ranks"]) for r in totals)
+        self.key = np.array([(c << 32) | chunk for c, chunk, _ in rows], np.int64)
+        self.base, self.first, self.last = np.zeros((3, len(rows), depth))
+        at = 0
+        while at < len(rows):
+            end = at
+            while end < len(rows) and rows[end][0] == rows[at][0]:
+                end += 1
+            wide = len(layout.wanted[rows[at][0]])
+            counts = np.array([np.frombuffer(raw[:24 * wide], np.int64).reshape(3, wide) for _, _, raw in rows[at:end]])
+            values = np.array([np.frombuffer(raw[24 * wide:], np.float64) for _, _, raw in rows[at:end]])
+            before = np.cumsum(counts[:, 0], axis=0) - counts[:, 0]
+            self.base[at:end, :wide] = 2 * before
+            # A value may go on over several chunks: where it begins and how many rows it has in all.
+            starts: dict[float, np.ndarray] = {}
+            sizes: dict[float, np.ndarray] = {}
+            for i in range(end - at):
+                low, high = values[i]
+                starts.setdefault(low, before[i])
+                sizes[low] = sizes.get(low, 0) + counts[i, 1]
+                if high != low:
+                    starts.setdefault(high, before[i] + counts[i, 0] - counts[i, 2])
+                    sizes[high] = sizes.get(high, 0) + counts[i, 2]
+            for i in range(end - at):
+                for out, value in ((self.first, values[i, 0]), (self.last, values[i, 1])):
+                    out[at + i, :wide] = 2 * starts[value] + sizes[value] + 1
+            at = end
+
+    def whole(self, c: np.ndarray, chunk: np.ndarray, edge: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Ranks in the whole column (NaN where the row is not in the class); the cells need equally many classes."""
+        at, wide = np.searchsorted(self.key, (c.astype(np.int64) << 32) | chunk), ranks.shape[1]
+        edge = edge[:, None]
+        twice = np.where(edge == _INSIDE, ranks + self.base[at, :wide], np.where(edge == _FIRST, self.first[at, :wide], self.last[at, :wide]))
+        return np.where(ranks > 0, twice / 2, np.nan)
+
+
+def _products(layout: Layout, carried: Carried):
+    """Task side: sums over the rows of a partition, which is sorted by row; one output row per block of columns."""
+    p, depth = len(layout.names), max(map(len, layout.wanted))
+    classes, goal, home = layout.classes, layout.goal, layout.home
+
+    def add(sums: dict[str, np.ndarray], line: np.ndarray, c: np.ndarray, ranks: np.ndarray) -> None:
+        dense = np.full((line[-1] + 1, p, depth), np.nan)
+        dense[line, c] = ranks
+        here, full = ~np.isnan(dense), np.nan_to_num(dense)
+        if layout.own_ranks:
+            here, full = here[:, :, 0].astype(float), full[:, :, 0]
+            square = full * full
+            for name, product in (("n", here.T @ here), ("s", full.T @ here), ("q", square.T @ here), ("x", full.T @ full)):
+                sums[name] += product
+            return
+        sums["n"] += here.sum(axis=0)
+        sums["s"] += full.sum(axis=0)
+        sums["q"] += np.einsum("rck,rck->ck", full, full)
+        if goal is not None:
+            for b, members in enumerate(classes):
+                sums["x"][goal, members] += full[:, goal, b] @ full[:, members, 0]
+            return
+        for a, one in enumerate(classes):
+            for b in range(a, len(classes)):
+                product = full[:, one, b].T @ full[:, classes[b], a]
+                sums["x"][np.ix_(one, classes[b])] += product
+                if b != a:
+                    sums["x"][np.ix_(classes[b], one)] += product.T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, list[np.ndarray]] = {}
+        square = (p, p) if layout.own_ranks else (p, depth)
+        sums = {"x": np.zeros((p, p)), **{name: np.zeros(square) for name in "nsq"}}
         held: list[tuple] = []
-        size = 0
+        size, part = 0, None
 
         def flush(last: bool) -> None:
             nonlocal held, size
             if not held:
                 return
-            pair, row, c, r = (np.concatenate(parts) for parts in zip(*held))
-            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])
+            row, c, ranks = (np.concatenate(parts) for parts in zip(*held))
+            order = np.argsort(row, kind="stable")
+            row, c, ranks = row[order], c[order], ranks[order]
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             # The last row may go on in the next batch.
             end = len(row) if last else starts[-1]
-            line = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])]) - 1
-            for one in np.unique(pair[:end]):
-                part = np.flatnonzero(pair[:end] == one)
-                add(totals, int(one), line[part] - line[part[0]], c[part], r[part])
-            held = [] if last else [(pair[end:], row[end:], c[end:], r[end:])]
+            if end:
+                line = np.cumsum(np.r_[False, row[1:end] != row[:end - 1]])
+                add(sums, line, c[:end], ranks[:end])
+            held = [] if last else [(row[end:], c[end:], ranks[end:])]
             size = len(row) - end
 
         for batch in batches:
-            ranks = batch.column("r").flatten().to_numpy(zero_copy_only=False).reshape(-1, depth)
-            held.append((batch.column("pair").to_numpy(), batch.column("row").to_numpy(zero_copy_only=False),
-                         batch.column("c").to_numpy(), ranks))
+            row, c, chunk, edge = (batch.column(n).to_numpy() for n in ("row", "c", "chunk", "edge"))
+            part = int(row[0]) % PARTS if part is None and len(row) else part
+            for group in ([np.arange(len(row))] if goal is None or layout.own_ranks else [np.flatnonzero(c != goal), np.flatnonzero(c == goal)]):
+                if len(group):
+                    wide = len(layout.wanted[int(c[group[0]])])
+                    cells = batch.column("ranks") if len(group) == len(row) else batch.column("ranks").take(pa.array(group))
+                    whole = np.full((len(group), depth), np.nan)
+                    whole[:, :wide] = carried.whole(c[group], chunk[group], edge[group], _rows_of(cells, np.int32, wide))
+                    held.append((row[group], c[group], whole))
             size += batch.num_rows
-            if size * depth >= HELD_VALUES:
+            if size * depth >= layout.held:
                 flush(False)
         flush(True)
-        found = [t for pair, parts in totals.items() for t in pairs(pair, parts)]
-        if found:
-            yield pa.RecordBatch.from_pydict(dict(zip(SUM_NAMES, map(list, zip(*found)))))
+        if part is None:
+            return
+        narrow = [] if layout.own_ranks else [sums[n].ravel() for n in "nsq"]
+        for block, at in enumerate(range(0, p, layout.block)):
+            to = at + layout.block
+            own = [sums["x"][at:to].ravel()]
+            if layout.own_ranks:
+                own += [sums[n][at:to].ravel() for n in "nsq"] + [sums[n][:, at:to].T.ravel() for n in "sq"]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()),
+                                              pa.array([np.concatenate([*own, *narrow]).tobytes()], pa.binary())], ["block", "part", "sums"])
+
+    return run
+
+
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The matrices of equal keys added up as they arrive; one of each key is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for block, part, raw in zip(*(batch.column(n).to_pylist() for n in ("block", "part", "sums"))):
+                key = (block, part if "part" in keys else 0)
+                one = np.frombuffer(raw, np.float64)
+                total[key] = total[key] + one if key in total else one
+        for (block, part), sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())],
+                                             ["block", "part", "sums"])
+
+    return parts.repartition(*keys).mapInArrow(run, SUMS)
+
+
+def _pairs(layout: Layout, apart: dict[str, int] | None):
+    """Task side: the pairs of a block of columns; with ``apart`` none of two columns that have one number there."""
+    p, depth, names = len(layout.names), max(map(len, layout.wanted)), np.array(layout.names, dtype=object)
+    home = np.array(layout.home)
+    sets = np.array([(apart or {}).get(n, -1) for n in layout.names])
+    used = np.isin(np.arange(p), [c for members in layout.classes for c in members])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
+                sums = np.frombuffer(raw, np.float64)
+                low = block * layout.block
+                size = min(layout.block, p - low)
+                x, rest = sums[:size * p].reshape(size, p), sums[size * p:]
+                i, j = np.arange(low, low + size), np.arange(p)
+                if layout.own_ranks:
+                    n, si, qi, sj, qj = rest.reshape(5, size, p)
+                else:
+                    full = rest.reshape(3, p, depth)
+                    n, si, qi = (f[low:low + size][:, home] for f in full)
+                    sj, qj = (np.broadcast_to(f[:, 0], (size, p)) if layout.goal is not None else f[:, home[i]].T for f in full[1:])
+                yield from emit(i, j, x, n, si, qi, sj, qj)
+
+    def emit(i, j, x, n, si, qi, sj, qj) -> Iterator[pa.RecordBatch]:
+        keep = (i[:, None] < j[None, :]) if layout.goal is None else (i[:, None] == layout.goal) & (j[None, :] != layout.goal)
+        keep = keep & (n > 0) & used[i][:, None] & used[j][None, :] & ~((sets[i][:, None] == sets[j][None, :]) & (sets[i] >= 0)[:, None])
+        a, b = np.nonzero(keep)
+        if not len(a):
+            return
+        count, s1, s2, q1, q2 = n[a, b], si[a, b], sj[a, b], qi[a, b], qj[a, b]
+        over = count * x[a, b] - s1 * s2
+        spread = np.sqrt(np.maximum((count * q1 - s1 * s1) * (count * q2 - s2 * s2), 0.0))
+        rho = pa.array(np.divide(over, spread, out=np.zeros_like(over), where=spread > 0), mask=spread <= 0)
+        one, two = np.minimum(i[a], j[b]), np.maximum(i[a], j[b])
+        yield pa.RecordBatch.from_arrays([pa.array(names[one], pa.string()), pa.array(names[two], pa.string()),
+                                          pa.array(count.astype(np.int64)), rho], ["col_i", "col_j", "n", "rho"])
 
     return run
 
 
 def spearman_pairs(df: DataFrame, columns, method: str = "pairwise", target: str | None = None,
-                   chunks: int | None = None) -> DataFrame:
+                   chunks: int | None = None, apart: dict[str, int] | None = None) -> DataFrame:
     """(col_i, col_j, n, rho) for every pair i < j of the listed columns.
 
     Only finite values count; every row counts, whatever its key.  ``method='pairwise'`` ranks each pair on the rows
-    where both are present: exact.  Columns present in the same rows form a
-    class; a column is sorted once, with one running count per class, and so
-    gets its ranks among the rows of every class in one pass.
-    ``method='column_ranks'`` ranks a column over its own rows only; it differs
-    from the exact result where the row sets differ.
-    With ``target`` only pairs with that column are returned.
+    where both are present: exact.  ``method='column_ranks'`` ranks a column over its own rows only; it differs
+    from the exact result where the row sets differ.  With ``target`` only pairs with that column are returned, with
+    ``apart`` none of two columns that have the same number there.
     """
     names = list(dict.fromkeys([*columns, *([target] if target else [])]))
-    goal = names.index(target) if target else None
-    # The work per row grows with (columns * classes) from here on: rows that came in few large files are spread first.
-    spread = df.select(*[_finite(c).alias(c) for c in names]).repartition(_parallelism(df))
-    work = settle(spread.withColumn(ROW, F.monotonically_increasing_id()), "finite")
-    if method == "column_ranks":
-        classes, tests = [list(range(len(names)))], ["1L"]
-    elif method == "pairwise":
-        classes = _presence_classes(work, names)
-        tests = [f"if(`{names[members[0]]}` is null, 0L, 1L)" for members in classes]
-    else:
+    if method not in ("pairwise", "column_ranks"):
         raise ValueError("method must be 'pairwise' or 'column_ranks'")
-    home = next((k for k, members in enumerate(classes) if goal in members), None)
-    if not classes or (target and home is None):
-        return df.sparkSession.createDataFrame([], "col_i string, col_j string, n bigint, rho double")
-    blocks = _class_blocks(classes)
-    depth, count = max(map(len, blocks)), len(blocks)
-    block_of = {i: b for b, block in enumerate(blocks) for k in block for i in classes[k]}
-    flags = [f"array({', '.join([tests[k] for k in block] + ['0L'] * (depth - len(block)))})" for block in blocks]
-    cells = work.select(ROW, F.expr(f"array({', '.join(flags)})").alias("flags"),
-                        _stack({names[i]: (i, b) for i, b in block_of.items()}, "(c, own, x)"))
-    long = cells.where("x is not null").select(ROW, "c", "own", "x", F.posexplode("flags").alias("other", "here"))
-    if goal is not None:
-        # Other columns need their ranks among the rows of the target's class only.
-        at = next((b, block.index(home)) for b, block in enumerate(blocks) if home in block)
-        only = F.transform("here", lambda h, i: F.when((F.col("other") == at[0]) & (i == at[1]), h).otherwise(0))
-        long = long.withColumn("here", F.when(F.col("c") == goal, F.col("here")).otherwise(only))
-    counts = long.groupBy("other", "c", "x").agg(*[F.sum(F.get("here", F.lit(k))).alias(f"n{k}") for k in range(depth)])
-    before = running_totals(counts, ["other", "c"], ["x"], {f"b{k}": F.col(f"n{k}") for k in range(depth)}, chunks)
-    ranks = before.select("other", "c", "x", F.array(
-        *[F.col(f"b{k}") + (F.col(f"n{k}") + 1) / 2 for k in range(depth)]).alias("rank"))
-    shown = F.zip_with("here", "rank", lambda h, r: F.when(h > 0, r).otherwise(float("nan"))).alias("r")
-    pair = (F.least("own", "other") * count + F.greatest("own", "other")).alias("pair")
-    # A left join: only the ranks, of known size, may be broadcast, never the much larger exploded rows.
-    cells = long.join(ranks, ["other", "c", "x"], "left").select(pair, F.col(ROW).alias("row"), "c", shown)
-    sums = cells.repartition("row").sortWithinPartitions("pair", "row").mapInArrow(
-        _partial_sums(classes, blocks, names, goal, method == "column_ranks"), SUMS).groupBy("col_i", "col_j").agg(
-        *[F.sum(s).alias(s) for s in SUM_NAMES[2:]])
-    over = F.col("n") * F.col("sij") - F.col("si") * F.col("sj")
-    spread = (F.col("n") * F.col("sii") - F.col("si") ** 2) * (F.col("n") * F.col("sjj") - F.col("sj") ** 2)
-    return sums.where("n > 0").select("col_i", "col_j", F.col("n").cast("bigint").alias("n"),
-                                      F.try_divide(over, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("rho"))
+    # The work per row grows with (columns * classes) from here on: rows that came in few large files are spread first.
+    values = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v")).repartition(_parallelism(df))
+    work = settle(values.withColumn("row", F.monotonically_increasing_id()), "finite")
+    classes = _presence_classes(work, len(names))
+    own_ranks = method == "column_ranks"
+    if own_ranks and classes:
+        classes = [sorted(c for members in classes for c in members)]
+    goal = names.index(target) if target else None
+    if not classes or goal is not None and not any(goal in members for members in classes):
+        return df.sparkSession.createDataFrame([], PAIRS)
+    layout = Layout(names, classes, own_ranks, goal)
+    cells = "c int, x double, row bigint, bits binary"
+    most = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = work.orderBy(F.xxhash64("row")).limit(64 + 2 * DRAWN * most // len(names)).mapInArrow(_cells(layout), cells)
+    placed = chunked(work.mapInArrow(_cells(layout), cells), ["c"], ["x", "row"], chunks, drawn)
+    swept = settle(placed.sortWithinPartitions("c", "x").mapInArrow(_sweep(layout), CELLS), "ranks")
+    carried = Carried(swept.where("row = -1").select("c", "chunk", "ranks").collect(), layout)
+    rows = swept.where("row >= 0").repartition("row").sortWithinPartitions("row")
+    sums = _summed(_summed(rows.mapInArrow(_products(layout, carried), SUMS), ["block", "part"]), ["block"])
+    return sums.mapInArrow(_pairs(layout, apart), PAIRS)
 
 
 def correlated_later(pairs: DataFrame, threshold: float = 0.99) -> DataFrame:
@@ -238,8 +408,9 @@ def correlated_later(pairs: DataFrame, threshold: float = 0.99) -> DataFrame:
     return pairs.where(F.abs("rho") > threshold).select(F.col("col_j").alias("column")).distinct()
 
 
-def correlated_columns(df: DataFrame, columns, threshold: float = 0.99, method: str = "pairwise") -> list[str]:
-    found = {r["column"] for r in correlated_later(spearman_pairs(df, columns, method), threshold).collect()}
+def correlated_columns(df: DataFrame, columns, threshold: float = 0.99, method: str = "pairwise",
+                       apart: dict[str, int] | None = None) -> list[str]:
+    found = {r["column"] for r in correlated_later(spearman_pairs(df, columns, method, apart=apart), threshold).collect()}
     return [c for c in columns if c in found]
 
 
@@ -261,7 +432,7 @@ def pruned_ratios(df: DataFrame, fit_on: Column | None = None, threshold: float
     """Ratio features without those that repeat an earlier one, fitted on the training rows.
 
     Three passes: column / amount; pairwise ratios; then base columns and all
-    survivors together.  Returns the table and the columns dropped per pass.
+    survivors together, where pairs of the first two passes need no second look.  Returns the table and the columns dropped per pass.
     """
     base = [c for c in (base or [*C_COLS, *D_COLS, *V_COLS]) if c in df.columns]
     divided = [c for c in (divided or [*C_COLS, *D_COLS]) if c in df.columns]
@@ -273,7 +444,8 @@ def pruned_ratios(df: DataFrame, fit_on: Column | None = None, threshold: float
     dropped["by_pair"] = correlated_columns(train, list(by_pair), threshold, method)
     gone = {*dropped["by_amount"], *dropped["by_pair"]}
     rest = [c for c in [*base, *by_amount, *by_pair] if c not in gone]
-    dropped["together"] = correlated_columns(train, rest, threshold, method)
+    apart = {c: i for i, made in enumerate((by_amount, by_pair)) for c in made}
+    dropped["together"] = correlated_columns(train, rest, threshold, method, apart)
     return wide.drop(*gone, *dropped["together"]), dropped
 
 

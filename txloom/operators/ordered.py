@@ -27,19 +27,20 @@ def _key(names) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
 
 
-def chunked(df: DataFrame, by, order, chunks: int | None = None) -> DataFrame:
+def chunked(df: DataFrame, by, order, chunks: int | None = None, drawn_from: DataFrame | None = None) -> DataFrame:
     """``df`` with its chunk number, one partition per chunk of the order (by, order); nulls first.
 
     ``chunks`` is the number of shuffle partitions if not given, fewer for a
     table of under ``DRAWN`` rows a chunk.  The keys with the smallest hashes
     are the sample, so the borders are the same in every run; rows with equal
-    keys share a chunk.
+    keys share a chunk.  ``drawn_from`` may give a fair part of the keys by a
+    cheaper plan.
     """
     spark, names = df.sparkSession, [*by, *order]
     most = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = []
     if most > 1:
-        keys = df.select(_key(names).alias("k"))
+        keys = (df if drawn_from is None else drawn_from).select(_key(names).alias("k"))
         hashed = F.xxhash64(*[F.col(f"k.k{i}") for i in range(len(names))])
         kind = keys.schema["k"].dataType.simpleString()
         drawn = [r["j"] for r in keys.orderBy(hashed).limit(DRAWN * most).sortWithinPartitions("k").select(
