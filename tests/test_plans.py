@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txloom.operators.stages import PrunedRatios, SharedDictionary
 from txloom.operators.training import PrunedCV, booster, important_columns
-from txloom.plans.features import FeatureOptions, feature_columns, feature_table
+from txloom.plans.features import FeatureOptions, feature_columns, feature_table, group_features
 from txloom.plans.scoring import make_folds, score_test
 from txloom.plans.search import Range, Study, sample_params
 from txloom.queries.fixtures import joined
@@ -158,3 +158,18 @@ def test_stacked_scores_of_test_rows(spark):
 def test_unknown_metric_fails_before_any_fit(spark):
     with pytest.raises(ValueError):
         PrunedCV(2).cross_val_score(None, spark.range(3), metric="f1")
+
+
+def test_chain_keeps_rows_of_repeated_and_missing_keys(spark):
+    """Group features of 28 rows, five keys repeated and three missing: as many rows, each with the values of its own."""
+    base = joined(spark, FOLDER).limit(20)
+    repeated = base.limit(5).withColumn("TransactionAmt", F.col("TransactionAmt") + 1)
+    missing = base.limit(3).withColumn(KEY, F.lit(None).cast("bigint"))
+    rows = base.unionByName(repeated).unionByName(missing)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    out = group_features(rows)
+    assert out.count() == 28
+    plain = out.groupBy("card1").agg(F.count("*").alias("n"))
+    assert out.join(plain, out["card1"].eqNullSafe(plain["card1"])).where("card1_count_full != n").isEmpty()
+    want = sorted((r[KEY] or -1, r["TransactionAmt"]) for r in rows.collect())
+    assert sorted((r[KEY] or -1, r["TransactionAmt"]) for r in out.collect()) == want

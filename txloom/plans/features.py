@@ -18,6 +18,10 @@ from ..schema import ADDRS, CARDS, KEY, LABEL, SPLIT, TIME, declare_categorical,
 from ..session import settle
 
 
+#: Number that each row gets for itself.
+ROW = "_row"
+
+
 @dataclass(frozen=True)
 class FeatureOptions:
     """``on_null`` / ``on_inf`` are the final fill values.  ``compat`` reproduces the
@@ -49,16 +53,18 @@ def row_features(df: DataFrame, options: FeatureOptions = FeatureOptions(), unco
 def group_features(df: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
     """Statistics over groups of rows, computed on a narrow copy of the table.
 
-    Only the key and the columns these features read take part in the
-    shuffles; the wide rows are joined once, at the end.
+    Only the columns these features read take part in the shuffles; the wide
+    rows are joined once, at the end.  No row is lost or repeated, whatever its key.
     """
     wanted = [KEY, SPLIT, TIME, "TransactionAmt", "D15", *CARDS, *ADDRS,
               *[c for c in df.columns if c.startswith("id_") and c[3:].isdigit()]]
-    slim = settle(df.select(*[c for c in dict.fromkeys(wanted) if c in df.columns]), "slim")
-    made = slim.transform(user_stats).transform(card_counts).transform(
-        lambda d: group_ratios(d, on_zero=options.on_zero))
+    # Keys may repeat or be missing: a number of its own ties a row to its features.
+    numbered = settle(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    slim = numbered.select(ROW, *[c for c in dict.fromkeys(wanted) if c in df.columns])
+    made = slim.transform(user_stats).transform(lambda d: card_counts(d, slim)).transform(
+        lambda d: group_ratios(d, on_zero=options.on_zero, counted=slim))
     added = [c for c in made.columns if c not in slim.columns]
-    return df.join(made.select(KEY, *added), KEY)
+    return numbered.join(made.select(ROW, *added), ROW, "left").drop(ROW)
 
 
 def encoded_features(df: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
