@@ -1,11 +1,16 @@
 """Sources, pruned cross-validation, search and the feature chain."""
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
+from txloom.operators.folds import TIME_SCHEMES, kfold, time_folds
 from txloom.operators.stages import PrunedRatios, SharedDictionary
-from txloom.operators.training import PrunedCV, booster, important_columns
+from txloom.operators.training import (
+    PrunedCV, assemble, booster, cross_validate, important_columns, more_rounds, predict, predict_all, second_stage,
+)
 from txloom.plans.features import FeatureOptions, feature_columns, feature_table, group_features
 from txloom.plans.scoring import make_folds, score_test
 from txloom.plans.search import Range, Study, sample_params
@@ -173,3 +178,62 @@ def test_chain_keeps_rows_of_repeated_and_missing_keys(spark):
     assert out.join(plain, out["card1"].eqNullSafe(plain["card1"])).where("card1_count_full != n").isEmpty()
     want = sorted((r[KEY] or -1, r["TransactionAmt"]) for r in rows.collect())
     assert sorted((r[KEY] or -1, r["TransactionAmt"]) for r in out.collect()) == want
+
+
+def _plain_rows(spark, n=240):
+    rows = [(None if i % 40 == 7 else i // 2 if i % 9 == 0 else i, i % 7, float(i % 5), float((i * i) % 3), int((i % 5) + (i % 3) > 3)) for i in range(n)]
+    return spark.createDataFrame(rows, "TransactionID bigint, period int, a double, b double, isFraud int")
+
+
+def test_role_aware_folds_train_what_they_name(spark):
+    """Every fold's model sees exactly its training rows; a fold without validation has no score; rows outside a fold take no part."""
+    rows = spark.createDataFrame([(i, i % 8, float(i % 5), float((i * i) % 3), int((i % 5) + (i % 3) > 3)) for i in range(400)],
+                                 "TransactionID bigint, period int, a double, b double, isFraud int")
+    folds = time_folds(rows, "period", TIME_SCHEMES["expanding"], whole=True)
+    seen = []
+
+    class Watched(NaiveBayes):
+        def _fit(self, dataset):
+            seen.append(sorted(r[KEY] for r in dataset.select(KEY).collect()))
+            return super()._fit(dataset)
+
+    oof, scores, tested = cross_validate({"m": Watched(labelCol="isFraud")}, assemble(rows, ["a", "b"], [KEY, "isFraud"]), folds,
+                                         assemble(rows, ["a", "b"], [KEY]))
+    spans = [(0, 1, 2, 3), (0, 1, 2, 3, 4), (0, 1, 2, 3, 4, 5), range(8)]
+    assert sorted(seen) == sorted(sorted(i for i in range(400) if i % 8 in span) for span in spans)
+    got = {(r["fold"], r["role"]): r["n"] for r in oof.groupBy("fold", "role").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, "train"): 200, (0, "valid"): 50, (1, "train"): 250, (1, "valid"): 50, (2, "train"): 300, (2, "valid"): 50, (3, "train"): 400}
+    assert {r["fold"]: r["valid_auc"] is None for r in scores.collect()} == {0: False, 1: False, 2: False, 3: True}
+    assert tested.count() == 1600
+
+
+def test_cross_validation_keeps_rows_of_repeated_and_missing_keys(spark):
+    rows = _plain_rows(spark)
+    train = assemble(rows, ["a", "b"], [KEY, "isFraud"])
+    oof, _, _ = cross_validate({"m": NaiveBayes(labelCol="isFraud")}, train, kfold(rows, 3))
+    assert oof.count() == 3 * 240 and oof.where("role = 'valid'").count() == 240
+    both = oof.where("role = 'valid'").groupBy(KEY).agg(F.count_distinct("fold").alias("n"))
+    assert both.agg(F.max("n")).first()[0] == 1
+    more = second_stage(train, oof)
+    assert more.count() == 240 and more.first()["features"].size == 3
+
+
+def test_models_score_in_one_pass(spark):
+    """The number of scans does not depend on the number of models."""
+    rows = assemble(_plain_rows(spark), ["a", "b"], [KEY, "isFraud"])
+    path = scratch_path(spark, "rows")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    models = [NaiveBayes(labelCol="isFraud", smoothing=float(k + 1)).fit(rows) for k in range(6)]
+    scored = predict_all(models, rows, [KEY])
+    assert scored._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    one = sorted((r[KEY] or -1, r["prediction"]) for r in predict(models[4], rows).collect())
+    same = sorted((r[KEY] or -1, r["predictions"][4]) for r in scored.collect())
+    assert np.allclose(one, same, rtol=0, atol=1e-12)
+
+
+def test_more_rounds_in_later_folds():
+    change = more_rounds(1.1, 3)
+    assert [change(booster("gbdt", maxIter=20), f).getMaxIter() for f in (0, 2, 3, 4)] == [20, 20, 22, 22]
+    assert change(booster("forest", numTrees=10), 3).getNumTrees() == 11
+    assert change(NaiveBayes(), 3).getSmoothing() == 1.0

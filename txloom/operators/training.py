@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler, VectorSlicer
@@ -48,37 +50,99 @@ def predict(model, df: DataFrame, keep=(KEY,)) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("prediction"))
 
 
-def cross_validate(models: dict, train: DataFrame, folds: DataFrame, test: DataFrame | None = None,
-                   label: str = LABEL, key: str = KEY) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Fit every model on every fold's rest.
+def fold_members(folds: DataFrame, key: str = KEY) -> tuple[DataFrame, list[int]]:
+    """((key, train, valid), folds): per key the folds that train on its rows and those that validate on them.
+
+    ``folds`` is (key, fold): validated in that fold, trained on in all others,
+    keys given several folds in the smallest of them; or (key, fold, role) with
+    a row for every fold that uses the key, and any others leave it out.
+    """
+    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # one row per fold
+    if "role" in folds.columns:
+        at = {role: F.collect_set(F.when(F.col("role") == role, F.col("fold").cast("int"))).alias(role) for role in ("train", "valid")}
+        return folds.groupBy(key).agg(*at.values()), numbers
+    own = folds.groupBy(key).agg(F.array(F.min("fold").cast("int")).alias("valid"))
+    return own.select(key, F.array_except(F.array(*[F.lit(f).cast("int") for f in numbers]), "valid").alias("train"), "valid"), numbers
+
+
+def more_rounds(factor: float = 1.1, from_fold: int = 3) -> Callable:
+    """For ``by_fold``: more rounds of boosting in the folds from ``from_fold`` on, which train on more rows."""
+    def change(estimator, fold: int):
+        for name in ("maxIter", "numTrees"):
+            if fold >= from_fold and estimator.hasParam(name):
+                param = estimator.getParam(name)
+                return estimator.copy({param: int(np.ceil(round(factor * estimator.getOrDefault(param), 6)))})
+        return estimator
+
+    return change
+
 
-    ``train`` holds key, label and ``features``; ``folds`` is (key, fold).
-    Returns out-of-fold rows (model, fold, role, key, label, prediction),
-    scores (model, fold, train_auc, valid_auc), and, if ``test`` is given, the
-    test predictions (model, fold, key, prediction).
+def fit_all(jobs: list[tuple], rows_of: Callable, parallelism: int, spark) -> list:
+    """Models of (estimator, fold) jobs, at most ``parallelism`` fits at a time, each in a scheduler pool of its fold."""
+    def fit(job):
+        estimator, fold = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{fold}")
+        return estimator.fit(rows_of(fold))
+
+    pool = ThreadPool(processes=max(1, min(parallelism, len(jobs))))
+    try:
+        return pool.map(inheritable_thread_target(spark)(fit), jobs, chunksize=1) if jobs else []
+    finally:
+        pool.close()
+
+
+def predict_all(models: list, rows: DataFrame, keep) -> DataFrame:
+    """``keep`` and ``predictions``, an array with one probability per model; one pass over the rows for all models."""
+    names, scored = rows.columns, rows
+    for i, model in enumerate(models):
+        scored = model.transform(scored).select(
+            *names, *[f"_p{k}" for k in range(i)], vector_to_array("probability")[1].alias(f"_p{i}"))
+    return scored.select(*keep, F.array(*[F.col(f"_p{i}") for i in range(len(models))]).alias("predictions"))
+
+
+def cross_validate(models: dict, train: DataFrame, folds: DataFrame, test: DataFrame | None = None,
+                   label: str = LABEL, key: str = KEY, parallelism: int = 4,
+                   by_fold: Callable | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Fit every model on the training rows of every fold.
+
+    ``train`` holds key, label and ``features``; ``folds`` is (key, fold), or
+    (key, fold, role) where a row may train several folds and a fold may have
+    no row to validate (see :func:`fold_members`).  Rows whose key has no fold
+    take no part; rows with equal or missing keys are rows of their own.
+    ``by_fold`` may change an estimator for a fold.
+
+    Fits run side by side; all fitted models score the rows in one pass, so the
+    number of scans does not depend on folds or models.  Returns rows (model,
+    fold, role, key, label, prediction), scores (model, fold, train_auc,
+    valid_auc), and, if ``test`` is given, the test predictions (model, fold,
+    key, prediction).
     """
-    data = settle(train.join(folds, key), "folds")
-    numbers = [r["fold"] for r in data.select("fold").distinct().orderBy("fold").collect()]
-    held, tested = None, None
-    for name, estimator in models.items():
-        for f in numbers:
-            fitted = estimator.fit(data.where(F.col("fold") != f))
-            role = F.when(F.col("fold") == f, "valid").otherwise("train")
-            rows = predict(fitted, data, [key, label, "fold"]).select(
-                F.lit(name).alias("model"), F.lit(f).alias("at"), role.alias("role"), key,
-                F.col(label).cast("double").alias("label"), "prediction").withColumnRenamed("at", "fold")
-            held = rows if held is None else held.unionByName(rows)
-            if test is not None:
-                part = predict(fitted, test, [key]).select(
-                    F.lit(name).alias("model"), F.lit(f).alias("fold"), key, "prediction")
-                tested = part if tested is None else tested.unionByName(part)
-    oof = settle(held, "oof")
+    spark = train.sparkSession
+    members, numbers = fold_members(folds, key)
+    members = members.select(F.col(key).alias("_member"), F.col("train").alias("_train"), F.col("valid").alias("_valid"))
+    data = settle(train.join(members, F.col(key).eqNullSafe(F.col("_member"))).drop("_member"), "folds")
+    jobs = [(name, f, by_fold(e, f) if by_fold else e) for name, e in models.items() for f in numbers]
+    fitted = fit_all([(e, f) for _, f, e in jobs], lambda f: data.where(F.array_contains("_train", f)).drop("_train", "_valid"),
+                     parallelism, spark)
+
+    def long(rows: DataFrame, keep: list, more: Callable) -> DataFrame:
+        each = [F.struct(F.lit(name).alias("model"), F.lit(f).alias("fold"), *more(f), F.col("predictions")[i].alias("prediction"))
+                for i, (name, f, _) in enumerate(jobs)]
+        return rows.select(*keep, F.explode(F.array(*each)).alias("_s"))
+
+    def role(f: int) -> list:
+        return [F.when(F.array_contains("_valid", f), "valid").when(F.array_contains("_train", f), "train").alias("role")]
+
+    rows = long(predict_all(fitted, data, [key, label, "_train", "_valid"]), [key, label], role)
+    oof = settle(rows.where("_s.role is not null").select(
+        "_s.model", "_s.fold", "_s.role", key, F.col(label).cast("double").alias("label"), "_s.prediction"), "oof")
     scores = auc(oof, by=["model", "fold", "role"]).groupBy("model", "fold").agg(
         F.max(F.when(F.col("role") == "train", F.col("auc"))).alias("train_auc"),
         F.max(F.when(F.col("role") == "valid", F.col("auc"))).alias("valid_auc"))
-    if tested is not None:
-        tested = settle(tested, "tested")
-    return oof, scores, tested
+    if test is None:
+        return oof, scores, None
+    tested = long(predict_all(fitted, test, [key]), [key], lambda f: [])
+    return oof, scores, settle(tested.select("_s.model", "_s.fold", key, "_s.prediction"), "tested")
 
 
 def mean_score(scores: DataFrame) -> DataFrame:
@@ -149,7 +213,8 @@ class PrunedCV:
             folds = stratified_kfold(data, self.cv, label, key, shuffle, seed)
         elif folds is None:
             folds = kfold(data, self.cv, key, shuffle, seed)
-        joined = settle(data.join(folds, key), "pruned")
+        own = folds.groupBy(key).agg(F.min("fold").alias("fold")).withColumnRenamed(key, "_member")
+        joined = settle(data.join(own, F.col(key).eqNullSafe(F.col("_member"))).drop("_member"), "pruned")
         if weight is not None:
             estimator = estimator.copy({estimator.getParam("weightCol"): weight})
 
@@ -231,8 +296,10 @@ def second_stage_test(test: DataFrame, tested: DataFrame, key: str = KEY, name:
 
 
 def _appended(rows: DataFrame, first: DataFrame, key: str, name: str) -> DataFrame:
-    joined = rows.join(first, key)
-    return VectorAssembler(inputCols=[FEATURES, name], outputCol="_more").transform(joined).drop(
+    """No row is lost or repeated: equal keys share the mean of their predictions, a row without one gets NaN."""
+    one = first.groupBy(F.col(key).alias("_first")).agg(F.avg(name).alias(name))
+    joined = rows.join(one, F.col(key).eqNullSafe(F.col("_first")), "left").drop("_first").fillna(float("nan"), [name])
+    return VectorAssembler(inputCols=[FEATURES, name], outputCol="_more", handleInvalid="keep").transform(joined).drop(
         FEATURES, name).withColumnRenamed("_more", FEATURES)
 
 

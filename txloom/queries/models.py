@@ -7,10 +7,11 @@ predictions or scores for all rows and are checked for rows only.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from ..operators import blend
-from ..operators.folds import group_kfold, kfold, stratified_kfold
+from ..operators.folds import EXPANDING_WEIGHTS, TIME_SCHEMES, group_kfold, kfold, stratified_kfold
 from ..operators.groupstats import card_counts
 from ..operators.impute import fill_constant
 from ..operators.metrics import auc_value
@@ -22,7 +23,7 @@ from ..operators.training import (
     second_stage_test,
     seed_average, selection_stages, with_stage_params,
 )
-from ..plans.scoring import score_test
+from ..plans.scoring import score_expanding, score_test
 from ..plans.search import Range, Study
 from ..schema import KEY
 from ..session import scratch_path, settle
@@ -95,6 +96,84 @@ def i4(spark, folder):
     return tidy(done.scores.withColumns({"mean_prediction": F.lit(mean["m"]), "test_rows": F.lit(mean["n"])}))
 
 
+# A model with a closed form lets SQL follow a whole cross-validation: fits, scores and test predictions.
+_FLAGS = {"f1": "C1 > 3", "f2": "card6 = 'credit'", "f3": "D1 > 20", "f4": "C3 > 5", "f5": "C2 > 1"}
+_SPAN = "cast(floor((TransactionDT - 86400) / 259200) as bigint)"
+
+
+def flag_rows(spark, folder):
+    """Five flags per row, its split, label and span of three days."""
+    return tx(spark, folder).selectExpr(KEY, "split", "isFraud", f"{_SPAN} as period", *[
+        f"cast({e} as double) as {n}" for n, e in _FLAGS.items()])
+
+
+def bayes():
+    return NaiveBayes(modelType="bernoulli", smoothing=1.0, featuresCol="features", labelCol="isFraud")
+
+
+def _bayes_sql(folds: str) -> str:
+    """CTEs ``fit`` (a row per fold) and ``scored`` (every row and fold), for (TransactionID, fold, role) rows ``folds``."""
+    flags = ", ".join(f"cast({e} as double) as {n}" for n, e in _FLAGS.items())
+    sums = ", ".join(f"sum({n} * isFraud) as s1_{n}, sum({n} * (1 - isFraud)) as s0_{n}" for n in _FLAGS)
+    side = {y: f"ln((n{y} + 1) / (n + 2)) + " + " + ".join(
+        f"case when {n} = 1 then ln((s{y}_{n} + 1) / (n{y} + 2)) else ln(1 - (s{y}_{n} + 1) / (n{y} + 2)) end" for n in _FLAGS) for y in (0, 1)}
+    return f"""+ b as (select TransactionID, split, isFraud, {_SPAN} as period, {flags} from tx),
+      m as ({folds}),
+      fit as (select fold, cast(count(*) as double) as n, cast(sum(isFraud) as double) as n1,
+                     cast(sum(1 - isFraud) as double) as n0, {sums} from b join m using (TransactionID) where role = 'train' group by fold),
+      scored as (select TransactionID, split, fold, role, isFraud as label, 1 / (1 + exp(({side[0]}) - ({side[1]}))) as prediction
+                 from b cross join fit left join m using (TransactionID, fold)),
+      s as (select 'bayes' as model, * from scored where role is not null),
+      a as ({auc_sql('s', 'model, fold, role')}),
+      """
+
+
+_SCORES = """sc as (select model, fold, max(auc) filter (role = 'train') as train_auc, max(auc) filter (role = 'valid') as valid_auc
+                    from a group by all)
+      select model, cast(fold as bigint) as fold, round(train_auc, 6) as train_auc, round(valid_auc, 6) as valid_auc from sc"""
+_STRATIFIED = f"""select TransactionID, g.fold, case when own = g.fold then 'valid' else 'train' end as role
+  from (select TransactionID, {block_sql('r', 'n', 5)} as own from (
+    select TransactionID, row_number() over (partition by isFraud order by TransactionID) - 1 as r,
+           count(*) over (partition by isFraud) as n from b where split = 'train')), (select unnest(range(5)) as fold) g"""
+_EXPANDING = " union all ".join(
+    [f"select TransactionID, {i} as fold, case when period in ({', '.join(map(str, t))}) then 'train' else 'valid' end as role from b "
+     f"where split = 'train' and period in ({', '.join(map(str, [*t, *v]))})" for i, (t, v) in enumerate(TIME_SCHEMES["expanding"])]
+    + [f"select TransactionID, {len(TIME_SCHEMES['expanding'])} as fold, 'train' as role from b where split = 'train'"])
+
+
+@query("i4_closed_form_scores", sql(_bayes_sql(_STRATIFIED) + _SCORES, "tx"))
+def i4_closed_form(spark, folder):
+    """Scores per fold of a model whose fit SQL can repeat, over stratified folds."""
+    rows = flag_rows(spark, folder).where("split = 'train'")
+    folds = stratified_kfold(rows, 5)
+    _, scores, _ = cross_validate({"bayes": bayes()}, assemble(rows, list(_FLAGS), [KEY, "isFraud"]), folds)
+    return tidy(scores)
+
+
+@query("i4_closed_form_predictions", sql(
+    _bayes_sql(_STRATIFIED) + "t as (select TransactionID, avg(prediction) as p from scored where split = 'test' group by TransactionID) "
+    "select TransactionID, round(p, 6) as prediction from t", "tx"))
+def i4_closed_form_predictions(spark, folder):
+    """Test predictions of the same models, averaged over the folds."""
+    done = score_test(flag_rows(spark, folder), list(_FLAGS), {"bayes": bayes()}, k=5, shuffle=False)
+    return tidy(done.predictions)
+
+
+@query("k18_expanding_scores", sql(_bayes_sql(_EXPANDING) + _SCORES, "tx"))
+def k18_scores(spark, folder):
+    """Growing spans of time, each validated on the span that follows; the last fold trains on all rows and validates none."""
+    return tidy(score_expanding(flag_rows(spark, folder), list(_FLAGS), {"bayes": bayes()}, "period").scores)
+
+
+@query("k18_expanding_predictions", sql(
+    _bayes_sql(_EXPANDING) + "t as (select TransactionID, sum(prediction * case fold " + " ".join(
+        f"when {f} then {w}" for f, w in EXPANDING_WEIGHTS.items()) + " end) as p from scored where split = 'test' group by TransactionID) "
+    "select TransactionID, round(p, 6) as prediction from t", "tx"))
+def k18_predictions(spark, folder):
+    """Test predictions weighted by fold."""
+    return tidy(score_expanding(flag_rows(spark, folder), list(_FLAGS), {"bayes": bayes()}, "period").predictions)
+
+
 @query("i5_mean_blend", sql("select TransactionID, round(avg(prediction), 6) as prediction from oof group by TransactionID",
                             "oof"))
 def i5(spark, folder):
