@@ -3,11 +3,12 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from txloom.operators.folds import TIME_SCHEMES, kfold, time_folds
-from txloom.operators.stages import PrunedRatios, SharedDictionary
+from txloom.operators.stages import ImportanceSelector, ModelFeature, PrunedRatios, SharedDictionary
 from txloom.operators.training import (
     PrunedCV, assemble, booster, cross_validate, important_columns, more_rounds, predict, predict_all, second_stage,
 )
@@ -237,3 +238,29 @@ def test_more_rounds_in_later_folds():
     assert [change(booster("gbdt", maxIter=20), f).getMaxIter() for f in (0, 2, 3, 4)] == [20, 20, 22, 22]
     assert change(booster("forest", numTrees=10), 3).getNumTrees() == 11
     assert change(NaiveBayes(), 3).getSmoothing() == 1.0
+
+
+def test_selector_is_fitted_anew_in_every_fit(spark, tmp_path):
+    """Two fits of one pipeline choose by their own rows; saved before and after the fit it stays the same."""
+    first = spark.createDataFrame([(i, float(i % 2), float(i % 3 == 0), i % 2) for i in range(120)], "id int, a double, b double, isFraud int")
+    second = first.withColumn("isFraud", F.col("b").cast("int"))
+    stages = [VectorAssembler(inputCols=["a", "b"], outputCol="features"), ImportanceSelector(DecisionTreeClassifier(maxDepth=1), 0.5),
+              ModelFeature(booster("forest", numTrees=3), "again", "probability", featuresCol="chosen")]
+    Pipeline(stages=stages).write().save(f"{tmp_path}/before")
+    loaded = Pipeline.load(f"{tmp_path}/before")
+    for rows, place in ((first, 0), (second, 1)):
+        fitted = loaded.fit(rows)
+        assert fitted.stages[1].getOrDefault("chosen") == [place]
+        fitted.write().save(f"{tmp_path}/{place}")
+        one, two = (m.transform(rows).orderBy("id").collect() for m in (fitted, PipelineModel.load(f"{tmp_path}/{place}")))
+        assert one == two and all(abs(r["again"] - r["isFraud"]) < 0.5 for r in one)
+        assert set(one[0].asDict()) == {"id", "a", "b", "isFraud", "features", "chosen", "again"}
+    with pytest.raises(ValueError):
+        ImportanceSelector(DecisionTreeClassifier(maxDepth=1), 1.5, labelCol="isFraud").fit(stages[0].transform(first))
+
+
+def test_params_of_the_stage_inside_are_reached():
+    tree = DecisionTreeClassifier(maxDepth=1)
+    stage = ImportanceSelector(tree)
+    assert stage.copy({tree.maxDepth: 4}).inner.getMaxDepth() == 4 and stage.inner.getMaxDepth() == 1
+    assert stage.copy({stage.threshold: 0.3}).getThreshold() == 0.3

@@ -11,18 +11,19 @@ import json
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasThreshold
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasLabelCol, HasOutputCol, HasThreshold
 from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
     MLWritable, MLWriter,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ratios import amount_ratios, pairwise_ratios
 from ..schema import LABEL
 from ..session import settle
-from . import encoders
+from . import encoders, impute
 from .correlation import pruned_ratios
 from .groupstats import COLUMN
 from .narrow import constant_columns
@@ -233,3 +234,134 @@ class PrunedRatios(Estimator, HasInputCols, HasThreshold, DefaultParamsReadable,
         _, dropped = pruned_ratios(dataset, None, self.getThreshold(), names, names)
         return self._copyValues(RatiosModel(sorted({c for cs in dropped.values() for c in cs})))
 
+
+
+class _NestedWriter(MLWriter):
+    """Params as usual, and the stage inside in a folder of its own."""
+
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path):
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.inner.write().save(f"{path}/inner")
+
+
+class _NestedReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        stage = self.cls()
+        stage._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(stage, metadata)
+        stage.inner = DefaultParamsReader.loadParamsInstance(f"{path}/inner", self.sparkSession)
+        return stage
+
+
+class _Nested(Params, MLReadable, MLWritable):
+    """A stage that holds another one: an estimator before, a model after the fit."""
+
+    inner = None
+
+    def write(self):
+        return _NestedWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _NestedReader(cls)
+
+    def copy(self, extra=None):
+        """Params of the stage inside may be among ``extra``, so that a search reaches them."""
+        that = Params.copy(self, {p: v for p, v in (extra or {}).items() if self.hasParam(p.name) and p.parent == self.uid})
+        own = {p: v for p, v in (extra or {}).items() if self.inner is not None and p.parent == self.inner.uid}
+        that.inner = self.inner.copy(own) if self.inner is not None else None
+        return that
+
+
+class ImportanceSelectorModel(Model, HasFeaturesCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Keeps the chosen places of the input vector."""
+
+    chosen = Param(Params._dummy(), "chosen", "places to keep", TypeConverters.toListInt)
+    shares = Param(Params._dummy(), "shares", "importance of every place", TypeConverters.toListFloat)
+
+    def __init__(self, chosen=(), shares=()):
+        super().__init__()
+        self._set(chosen=list(chosen), shares=list(shares))
+
+    def _transform(self, dataset):
+        values = vector_to_array(self.getFeaturesCol())
+        picked = F.array(*[F.get(values, F.lit(i)) for i in self.getOrDefault("chosen")])
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(picked))
+
+
+class ImportanceSelector(_Nested, Estimator, HasFeaturesCol, HasOutputCol, HasLabelCol, HasThreshold):
+    """Columns whose share of a model's importance reaches ``threshold`` (the mean share, if not set).
+
+    The model is fitted together with the stage, so inside a pipeline and under
+    cross-validation the choice is made anew on the rows of each fit.
+    """
+
+    def __init__(self, estimator=None, threshold=None, outputCol="chosen", featuresCol="features", labelCol=LABEL):
+        super().__init__()
+        self.inner = estimator
+        self._set(outputCol=outputCol, featuresCol=featuresCol, labelCol=labelCol)
+        if threshold is not None:
+            self._set(threshold=threshold)
+
+    def _fit(self, dataset):
+        inner = self.inner.copy({self.inner.featuresCol: self.getFeaturesCol(), self.inner.labelCol: self.getLabelCol()})
+        shares = [float(v) for v in inner.fit(dataset).featureImportances.toArray()]
+        limit = self.getThreshold() if self.isSet("threshold") else 1.0 / len(shares)
+        chosen = [i for i, v in enumerate(shares) if v >= limit]
+        if not chosen:
+            raise ValueError(f"no column reaches the importance {limit}")
+        return ImportanceSelectorModel(chosen, shares)._set(featuresCol=self.getFeaturesCol(), outputCol=self.getOutputCol())
+
+
+class HasKind(Params):
+    kind = Param(Params._dummy(), "kind", "'class' or 'probability' (of class 1)", TypeConverters.toString)
+
+
+class ModelFeatureModel(_Nested, Model, HasFeaturesCol, HasOutputCol, HasKind):
+    """Adds what a fitted model predicts; no other column changes."""
+
+    def _transform(self, dataset):
+        scored = self.inner.transform(dataset)
+        value = F.col("prediction") if self.getOrDefault("kind") == "class" else vector_to_array("probability")[1]
+        return scored.select(*[f"`{c}`" for c in dataset.columns], value.alias(self.getOutputCol()))
+
+
+class ModelFeature(_Nested, Estimator, HasFeaturesCol, HasOutputCol, HasLabelCol, HasKind):
+    """A classifier as a feature: fitted with the pipeline, its hard class or probability becomes a column."""
+
+    def __init__(self, estimator=None, outputCol="model_class", kind="class", featuresCol="features", labelCol=LABEL):
+        super().__init__()
+        if kind not in ("class", "probability"):
+            raise ValueError("kind must be 'class' or 'probability'")
+        self.inner = estimator
+        self._set(outputCol=outputCol, kind=kind, featuresCol=featuresCol, labelCol=labelCol)
+
+    def _fit(self, dataset):
+        inner = self.inner.copy({self.inner.featuresCol: self.getFeaturesCol(), self.inner.labelCol: self.getLabelCol()})
+        model = ModelFeatureModel()._set(featuresCol=self.getFeaturesCol(), outputCol=self.getOutputCol(), kind=self.getOrDefault("kind"))
+        model.inner = inner.fit(dataset)
+        return model
+
+
+class FillMissing(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Nulls, NaN and infinities of the listed columns become constants."""
+
+    onNull = Param(Params._dummy(), "onNull", "value for null and NaN", TypeConverters.toFloat)
+    onInf = Param(Params._dummy(), "onInf", "value for infinities", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, onNull=-999.0, onInf=-999.0):
+        super().__init__()
+        self._set(**{k: v for k, v in {"onNull": -999.0, "onInf": -999.0, **self._input_kwargs}.items() if v is not None})
+
+    def _transform(self, dataset):
+        return impute.fill_constant(dataset, self.getOrDefault("onNull"), self.getOrDefault("onInf"), self.getInputCols())

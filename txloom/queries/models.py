@@ -6,8 +6,10 @@ predictions or scores for all rows and are checked for rows only.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, NaiveBayes
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import blend
@@ -16,7 +18,7 @@ from ..operators.groupstats import card_counts
 from ..operators.impute import fill_constant
 from ..operators.metrics import auc_value
 from ..operators.stages import (
-    CategoryLimit, DropConstant, FrequencyEncoder, SelectColumns, TargetEncoder,
+    CategoryLimit, DropConstant, FillMissing, FrequencyEncoder, ImportanceSelector, ModelFeature, SelectColumns, TargetEncoder,
 )
 from ..operators.training import (
     PrunedCV, assemble, booster, class_feature, cross_validate, eliminate, predict, reduced, second_stage,
@@ -310,7 +312,6 @@ def j2(spark, folder):
     fitted = Pipeline(stages=stages).fit(rows)
     path = scratch_path(spark, "stages")
     fitted.write().save(path)
-    from pyspark.ml import PipelineModel
     return tidy(PipelineModel.load(path).transform(rows))
 
 
@@ -372,3 +373,47 @@ def k30(spark, folder):
     train = settle(assemble(rows.where("split = 'train'"), _NAMES, ["isFraud"]))
     test = assemble(rows.where("split = 'test'"), _NAMES, [KEY])
     return tidy(seed_average(small("forest"), train, test, [1, 2]))
+
+
+# A label that two of the flags decide: a tree of depth two takes these two and no other.
+_BOTH = "case when C1 > 3 and card6 = 'credit' then 1 else 0 end"
+_TWO = " + ".join(f"case when {n} = 1 then ln((s{{0}}_{n} + 1) / (n{{0}} + 2)) else ln(1 - (s{{0}}_{n} + 1) / (n{{0}} + 2)) end" for n in ("f1", "f2"))
+
+
+def _reloaded(spark, stages, train):
+    """The fitted pipeline, saved and loaded again."""
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=stages).fit(train).write().save(path)
+    return PipelineModel.load(path)
+
+
+def both_rows(spark, folder):
+    return tx(spark, folder).selectExpr(KEY, "split", f"{_BOTH} as y", *[f"cast({e} as double) as {n}" for n, e in _FLAGS.items()])
+
+
+@query("g14_importance_stage", sql(
+    "+ b as (select TransactionID, split, " + _BOTH + " as y, " + ", ".join(f"cast({e} as double) as {n}" for n, e in _FLAGS.items())
+    + " from tx), fit as (select cast(count(*) as double) as n, cast(sum(y) as double) as n1, cast(sum(1 - y) as double) as n0, "
+    + ", ".join(f"sum({n} * y) as s1_{n}, sum({n} * (1 - y)) as s0_{n}" for n in ("f1", "f2"))
+    + " from b where split = 'train') select TransactionID, f1, f2, round(1 / (1 + exp((ln((n0 + 1) / (n + 2)) + " + _TWO.format(0)
+    + ") - (ln((n1 + 1) / (n + 2)) + " + _TWO.format(1) + "))), 6) as prediction from b, fit", "tx"))
+def g14_stage(spark, folder):
+    """Selector by importance inside a saved pipeline: the classifier behind it sees the two columns that decide the label."""
+    rows = both_rows(spark, folder)
+    stages = [VectorAssembler(inputCols=list(_FLAGS), outputCol="features"),
+              ImportanceSelector(DecisionTreeClassifier(maxDepth=2), labelCol="y"),
+              NaiveBayes(modelType="bernoulli", featuresCol="chosen", labelCol="y")]
+    scored = _reloaded(spark, stages, rows.where("split = 'train'")).transform(rows)
+    chosen = vector_to_array("chosen")
+    return tidy(scored.select(KEY, chosen[0].alias("f1"), chosen[1].alias("f2"), vector_to_array("probability")[1].alias("prediction")))
+
+
+@query("i12_model_stage", sql(
+    f"select TransactionID, cast({_BOTH} as double) as boosted, coalesce(dist1, -1.0) as dist1 from tx", "tx"))
+def i12_stage(spark, folder):
+    """A boosted model as a feature stage behind an imputer, in a saved pipeline; its class is the label that two flags decide."""
+    rows = both_rows(spark, folder).join(tx(spark, folder).select(KEY, "dist1"), KEY)
+    stages = [FillMissing(inputCols=["dist1"], onNull=-1.0), VectorAssembler(inputCols=list(_FLAGS), outputCol="features"),
+              ModelFeature(GBTClassifier(maxIter=1, maxDepth=2), "boosted", labelCol="y"),
+              SelectColumns(inputCols=[KEY, "boosted", "dist1"])]
+    return tidy(_reloaded(spark, stages, rows.where("split = 'train'")).transform(rows))
