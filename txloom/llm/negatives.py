@@ -312,7 +312,8 @@ class Mining:
                         size = len(held[0][0])
             yield from closed()
 
-        pairs = blocks.join(self.units, "leaf")
+        # Sorted on the leaf: a block meets all units of its leaf in a row, and neither side, both growing, is broadcast.
+        pairs = blocks.hint("merge").join(self.units, "leaf")
         found = pairs.mapInArrow(scan, "anchor long, w long, score long, vec_id long")
         order = Window.partitionBy("anchor", "w").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
