@@ -96,6 +96,18 @@ def op8(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), loss=packing.SEQUENCE_TOKENS)
 
 
+def _cut_summary(cut: DataFrame, *more: str) -> DataFrame:
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", *more, F.size("removed").cast("long").alias("n_removed"), removed.alias("removed_bytes"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op9_passage_dedup")
+def op9_passages(spark, folder):
+    """Repeated lines of any length and repeated runs of more than 50 words removed, as in the pipeline; ``text`` is what is left."""
+    return _cut_summary(lines.drop_repeated_units(table(spark, folder, "documents"), min_words=1, passage=passages.PASSAGE), "text")
+
+
 _UNITS = """
 with cut as (
   select doc_id, text, unnest(string_split(text, chr(10))) as line,
@@ -129,18 +141,6 @@ def op9(spark, folder):
     return _cut_summary(lines.drop_repeated_units(table(spark, folder, "documents")))
 
 
-def _cut_summary(cut: DataFrame) -> DataFrame:
-    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return cut.select("doc_id", F.size("removed").cast("long").alias("n_removed"), removed.alias("removed_bytes"),
-                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-@query("op9_passage_dedup")
-def op9_passages(spark, folder):
-    """Repeated lines of any length and repeated runs of more than 50 words removed, as in the pipeline."""
-    return _cut_summary(lines.drop_repeated_units(table(spark, folder, "documents"), min_words=1, passage=passages.PASSAGE))
-
-
 _LEDGER = r"""
 with base as (
   select doc_id, coalesce(text, '') as text from documents),
