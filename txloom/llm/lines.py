@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import settle
 from .passages import joined_spans, passage_spans
 from .text import Words, mix, runs, slices, text_buffer
 
@@ -75,7 +74,7 @@ def unit_spans(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = F
     documents share is one row per task; its occurrences are joined back on
     the digest, which adaptive execution splits.
     """
-    units = settle(unit_table(docs, paragraphs).where(F.col("words") >= min_words), "units")
+    units = unit_table(docs, paragraphs).where(F.col("words") >= min_words)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place", "start")
     first = units.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = units.join(first.drop("n"), ["high", "low"]).where(

@@ -163,7 +163,8 @@ def passage_spans(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     itself = same & (F.col("start") == F.col("first.start"))
     no_id = F.col("doc_id").isNull().alias("no_id")
 
-    stretches = settle(stretch_table(docs, size), "stretches")
+    # Cut twice rather than written: the rows of all stretches take more room than the texts.
+    stretches = stretch_table(docs, size)
     rank = F.struct(no_id, "doc_id", "place", "start", "until", "at")
     classes = settle(stretches.groupBy("anchor", "high", "low").agg(
         F.min(rank).alias("first"), F.max("again").alias("again"), F.count(F.lit(1)).alias("n")), "classes")
