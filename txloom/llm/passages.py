@@ -69,7 +69,7 @@ def _digests(words: Words, at: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def stretch_table(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
-    """One row per stretch: digests, place in the text in bytes and words, windows, whether windows repeat in it.
+    """One row per stretch: anchor and digest (128 bits in all), place in the text in bytes and words, windows, whether windows repeat in it.
 
     ``until`` is the end of the first window.
     """
@@ -86,24 +86,23 @@ def stretch_table(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
                 begin, own = np.flatnonzero(new), np.cumsum(new) - 1
                 n = np.diff(np.append(begin, len(at)))
                 inside = (np.arange(len(at)) - begin[own]).astype(np.uint64)
-                digests = _digests(words, at, size)
-                whole = [mix(np.add.reduceat(mix(d ^ mix(inside * seed + seed)), begin) + n.astype(np.uint64))
-                         for d, seed in zip(digests, _SEEDS)]
-                keys = mix(digests[0] ^ mix(own.astype(np.uint64) + np.uint64(1)))
+                digest, seed = run_hashes(words.hashes, size, _SEEDS[1])[at], _SEEDS[1]
+                whole = mix(np.add.reduceat(mix(digest ^ mix(inside * seed + seed)), begin) + n.astype(np.uint64))
+                keys = mix(digest ^ mix(own.astype(np.uint64) + np.uint64(1)))
                 order = np.argsort(keys)
                 again = np.zeros(len(begin), dtype=bool)
                 again[own[order[1:]][keys[order[1:]] == keys[order[:-1]]]] = True
                 at, doc = at[begin], doc[begin]
                 base, row = words.offsets[doc], pa.array(doc)
-                numbers = [anchor[begin].view(np.int64), *(w.view(np.int64) for w in whole), words.starts[at] - base,
+                numbers = [anchor[begin].view(np.int64), whole.view(np.int64), words.starts[at] - base,
                            words.ends[at + n + size - 2] - base, words.ends[at + size - 1] - base,
                            ((at - words.first[doc]) << 32) | n]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0).take(row), piece.column(1).take(row), *(pa.array(x.astype(np.int64)) for x in numbers),
                      pa.array(again)],
-                    ["doc_id", "place", "anchor", "high", "low", "start", "end", "until", "at", "again"])
+                    ["doc_id", "place", "anchor", "whole", "start", "end", "until", "at", "again"])
 
-    return _text_rows(docs).mapInArrow(cut, "doc_id long, place long, anchor long, high long, low long, start long, end long, "
+    return _text_rows(docs).mapInArrow(cut, "doc_id long, place long, anchor long, whole long, start long, end long, "
                                             "until long, at long, again boolean")
 
 
@@ -166,10 +165,10 @@ def passage_spans(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     # Cut twice rather than written: the rows of all stretches take more room than the texts.
     stretches = stretch_table(docs, size)
     rank = F.struct(no_id, "doc_id", "place", "start", "until", "at")
-    classes = settle(stretches.groupBy("anchor", "high", "low").agg(
+    classes = settle(stretches.groupBy("anchor", "whole").agg(
         F.min(rank).alias("first"), F.max("again").alias("again"), F.count(F.lit(1)).alias("n")), "classes")
-    later = settle(stretches.select("doc_id", "place", "high", "low", "start", "end", "at").join(
-        classes.where("n > 1").select("high", "low", "first"), ["high", "low"]).where(~itself).select(
+    later = settle(stretches.select("doc_id", "place", "anchor", "whole", "start", "end", "at").join(
+        classes.where("n > 1").select("anchor", "whole", "first"), ["anchor", "whole"]).where(~itself).select(
         "doc_id", "place", "start", "end", "at", (same & (F.col("start") < F.col("first.until"))).alias("close")), "later")
 
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.max("again").alias("some")).where(
