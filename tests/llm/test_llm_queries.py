@@ -13,7 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{FOLDER}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"create view {name_} as select * from '{FOLDER}/{name_}.parquet'")
     found = con.execute(ORACLES[name])
     order = [c[0] for c in found.description]
     df = QUERIES[name](spark, FOLDER)
