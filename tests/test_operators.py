@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with several chunks and a hot group."""
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -312,6 +313,72 @@ def test_narrowing_loses_nothing(spark):
     assert narrowing_profile(odd).first()["to_type"] == "float"
 
 
+def brute_type(values, whole, max_loss=0.001, avg_loss=0.001, na_loss=0, unique_loss=0):
+    """The narrowest type, tried value by value."""
+    import numpy as np
+    filled, nulls = [v for v in values if v is not None], values.count(None)
+    for kind, bits in [*([("tinyint", 8), ("smallint", 16), ("int", 32)] if nulls <= na_loss else []), ("float", 0)]:
+        if bits:
+            tried = [None if abs(v) >= 2.0 ** 62 else int(Decimal(v).quantize(0, ROUND_HALF_UP)) for v in filled]
+            tried = [None if t is None or not -2 ** (bits - 1) <= t < 2 ** (bits - 1) else t for t in tried]
+        else:
+            with np.errstate(over="ignore"):
+                tried = [float(np.float32(v)) for v in filled]
+        gaps = [abs(t - v) for t, v in zip(tried, filled) if t is not None]
+        fine = not gaps or (max(gaps) <= max_loss and sum(gaps) / len(gaps) <= avg_loss)
+        lost = len({*values}) - len({*tried, *([None] if nulls else [])})
+        if fine and tried.count(None) <= na_loss and abs(lost) <= unique_loss:
+            return kind
+    return "bigint" if whole else "double"
+
+
+@pytest.mark.parametrize("limits", [{}, {"na_loss": 2}, {"unique_loss": 1}, {"max_loss": 0.6, "avg_loss": 0.3, "unique_loss": 2}])
+def test_narrowing_against_every_value(spark, limits):
+    rng = random.Random(7)
+    wide = [100, 127, 128, -129, 40_000, 2 ** 24 + 1, 2 ** 31, 2 ** 53 + 1, None]
+    real = [1.0, 1.0004, 1.0005, 0.1, 2.5, 3.0, -0.0, 0.0, 300.0, 16777217.0, 1e9 + 0.5, 1e300, None]
+    columns = {f"w{k}": [rng.choice(wide[:rng.randrange(1, 10)] + wide[-1:] * (k % 2)) for _ in range(12)] for k in range(14)}
+    columns |= {f"r{k}": [rng.choice(rng.sample(real, 3)) for _ in range(12)] for k in range(30)}
+    columns |= {"none": [None] * 12, "rwhole": [1.0, 2.0] * 6}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(
+        f"{c} {'double' if c.startswith('r') else 'bigint'}" for c in columns))
+    want = {c: brute_type(v, not c.startswith("r"), **limits) for c, v in columns.items()}
+    rows = narrowing_profile(df, **limits).collect()
+    assert {r["column"]: r["to_type"] for r in rows} == want
+    assert {r["column"]: (r["nulls"], r["distincts"]) for r in rows} == {c: (v.count(None), len(set(v))) for c, v in columns.items()}
+    assert {c: k for c, k in narrowing.narrowed_types(df, **limits).items()} == {
+        c: k for c, k in want.items() if k != ("double" if c.startswith("r") else "bigint")}
+    assert len(set(want.values())) >= 5
+
+
+def test_narrowing_without_rows_or_numbers(spark):
+    df = spark.createDataFrame([], "a bigint, b double, s string")
+    assert narrowing_profile(df).collect() == [] and narrow(df).schema == df.schema
+    assert narrowing.narrowing_report(df).collect() == [] and narrowing_profile(df.select("s")).collect() == []
+
+
+def test_whole_types_need_one_aggregate(spark):
+    """Exact types are settled without a shuffle of rows, and counting distinct values multiplies no row by types."""
+    df = spark.range(1000).selectExpr("id as a", "id * 0.5d as b", "cast(id as double) as c")
+    assert narrowing.narrowed_types(df) == {"a": "smallint", "b": "float", "c": "smallint"}
+    plan = narrowing_profile(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "count(distinct" not in plan
+
+
+def test_text_categories(spark):
+    rows = [(1, "b", None, 1.0), (2, "a", "x", 2.0), (3, "B", None, 3.0), (4, "b", "", 4.0)]
+    df = spark.createDataFrame(rows, "k bigint, s string, t string, v double")
+    made, words = narrowing.reduce_table(df, text_codes=True)
+    assert dict(made.dtypes) == {"k": "tinyint", "s": "tinyint", "t": "tinyint", "v": "tinyint"}
+    assert sorted(map(tuple, made.collect())) == [(1, 2, None, 1), (2, 1, 1, 2), (3, 0, None, 3), (4, 2, 0, 4)]
+    assert sorted(map(tuple, words.collect())) == [("s", "B", 0), ("s", "a", 1), ("s", "b", 2), ("t", "", 0), ("t", "x", 1)]
+    many = spark.range(200).selectExpr("cast(id as string) as s", "cast(null as string) as t")
+    made, words = narrowing.text_categories(many)
+    assert dict(made.dtypes) == {"s": "smallint", "t": "tinyint"} and words.count() == 200
+    plain, words = narrowing.reduce_table(df)
+    assert dict(plain.dtypes)["s"] == "string" and words.count() == 0
+
+
 def test_constant_columns_ignore_null(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, None)], "a int, b int, c string")
     assert constant_columns(df) == ["a", "c"]

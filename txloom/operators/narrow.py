@@ -1,77 +1,152 @@
-"""Lossless type narrowing, column profiles and column drops."""
+"""Lossless type narrowing, category codes, column profiles and column drops."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from ..schema import is_floating, is_integral
 from ..session import settle
 
-# Candidates in the order they are tried; the first that loses nothing is taken.
-WHOLE = [("byte", "tinyint"), ("short", "smallint"), ("int", "int"), ("float", "float")]
-WITH_NULLS = [("float", "float")]
+# Whole types in the order they are tried, with their ranges; float comes after them.
+RANGES = {"tinyint": (-2**7, 2**7 - 1), "smallint": (-2**15, 2**15 - 1), "int": (-2**31, 2**31 - 1)}
 BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
 
 
-def _distinct_values(df: DataFrame, names, kind: str) -> DataFrame | None:
-    if not names:
-        return None
-    return df.select(*[F.col(c).cast(kind).alias(c) for c in names]).unpivot([], list(names), "column", "v").groupBy(
-        "column", "v").agg(F.count(F.lit(1)).alias("n"))
+@dataclass(frozen=True)
+class Limits:
+    """What a narrower type may lose: largest and mean gap, nulls, distinct values."""
+
+    max_loss: float = 0.001
+    avg_loss: float = 0.001
+    na_loss: int = 0
+    unique_loss: int = 0
+
+    def close(self, largest: float | None, total: float | None, count: int) -> bool:
+        """Whether the gaps of a column stay within the limits; a column without values has none."""
+        return not count or (largest is not None and largest <= self.max_loss and total / count <= self.avg_loss)
+
+
+def _value(df: DataFrame, c: str) -> Column:
+    return F.col(f"`{c}`").cast("double" if is_floating(df.schema[c].dataType) else "bigint")
+
+
+def _single(v: Column) -> Column:
+    """The value that a float would hold, as double; by way of double, since whole -> float -> double is optimized to whole -> double."""
+    return v.cast("double").cast("float").cast("double")
 
 
-def _losses(values: DataFrame, whole_numbers: bool) -> DataFrame:
-    """Per column: rows, nulls, distinct values and what each candidate type would lose.
+def _gaps(v: Column, whole: bool) -> dict[str, Column]:
+    """Aggregates of one column that settle its type; partial results merge, so no row is shuffled.
 
-    Works on distinct values with their counts, so a value that fills most of
-    a column is looked at once.
+    Per target type ``t`` of :data:`RANGES` and float: ``n_t`` values that it can hold,
+    largest gap ``max_t`` and sum of the gaps ``sum_t`` to the value it would hold.
     """
-    v = F.col("v")
-    aggs = [F.sum("n").alias("rows"), F.sum(F.when(v.isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-            F.count(F.lit(1)).alias("distincts")]
-    for name, kind in WHOLE:
-        tried = v.try_cast(kind) if whole_numbers or kind == "float" else F.round(v).try_cast(kind)
-        gap = F.abs(tried.cast("double") - v)
-        aggs += [
-            F.max(gap).alias(f"{name}_max"),
-            F.try_divide(F.sum(gap * F.col("n")), F.sum(F.when(gap.isNotNull(), F.col("n")))).alias(f"{name}_avg"),
-            F.sum(F.when(tried.isNull(), F.col("n")).otherwise(0)).alias(f"{name}_nulls"),
-            (F.count_distinct(tried) + F.max(tried.isNull().cast("int"))).alias(f"{name}_distincts"),
-        ]
-    return values.groupBy("column").agg(*aggs)
-
-
-def narrowing_profile(df: DataFrame, columns=None, max_loss: float = 0.001, avg_loss: float = 0.001,
-                      na_loss: int = 0, unique_loss: int = 0) -> DataFrame:
-    """(column, from_type, to_type, nulls, distincts): the narrowest type that loses nothing.
-
-    Whole types are tried for columns without nulls only.
+    nearest = v if whole else F.round(v)
+    out = {"rows": F.count(F.lit(1)), "filled": F.count(v)}
+    for kind, (low, high) in RANGES.items():
+        held = F.when(nearest.between(low, high), nearest)
+        out[f"n_{kind}"] = F.count(held)
+        if not whole:
+            gap = F.abs(held - v)
+            out |= {f"max_{kind}": F.max(gap), f"sum_{kind}": F.sum(gap)}
+    gap = F.abs(_single(v) - v)
+    # a double, and with it the gap, is exact for whole numbers up to 2**53 only
+    safe = F.count_if(v.between(-2**53, 2**53)) if whole else F.count(v)
+    return out | {"n_float": F.count(v), "max_float": F.max(gap), "sum_float": F.sum(gap), "safe": safe}
+
+
+def _settled(stats: dict, whole: bool, started: str, limits: Limits) -> list[str]:
+    """Types that a column may take, in order.
+
+    The last is certain: it holds every value without a gap, or is the type the
+    column has.  Those before it move values a little, so they are taken only
+    if the distinct values, still to be counted, stay apart.
     """
+    nulls, out = stats["rows"] - stats["filled"], []
+    for kind in [*(RANGES if nulls <= limits.na_loss else ()), "float"]:
+        held, exact = stats[f"n_{kind}"], whole and kind != "float"
+        largest, total = (0.0, 0.0) if exact else (stats[f"max_{kind}"], stats[f"sum_{kind}"])
+        if stats["filled"] - held > limits.na_loss or not limits.close(largest, total, held):
+            continue
+        out.append(kind)
+        if held == stats["filled"] and not largest and (exact or stats["safe"] == held):
+            return out
+    return [*out, started]
+
+
+def _kept_distincts(df: DataFrame, names, open_kinds: dict[str, list[str]]) -> DataFrame:
+    """(column, nulls, distincts, left): distinct values before and, per open type, after narrowing.
+
+    Rows become distinct values with counts first, combined before the shuffle;
+    values that the nearest whole number or float cannot tell apart meet in one
+    more aggregate of those.  Columns without an open type skip it.
+    """
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), _value(df, c).cast("double").alias("real"),
+                 (F.lit(None) if is_floating(df.schema[c].dataType) else _value(df, c)).cast("bigint").alias("whole"))
+        for c in names])).alias("x")).select("x.*")
+    values = long.groupBy("column", "real", "whole").agg(F.count(F.lit(1)).alias("n"))
+    is_null = F.col("real").isNull()
+    counts = values.groupBy("column").agg(
+        F.sum(F.when(is_null, F.col("n")).otherwise(0)).alias("nulls"), F.count(F.lit(1)).alias("distincts"))
+    if not open_kinds:
+        return counts.withColumn("left", F.create_map().cast("map<string,bigint>"))
+    kinds = F.create_map(*[x for c, ks in open_kinds.items() for x in (F.lit(c), F.array(*map(F.lit, ks)))])
+    met = F.lit(None).cast("double")
+    for kind, (low, high) in RANGES.items():
+        nearest = F.round("real")
+        met = F.when((F.col("kind") == kind) & nearest.between(low, high), nearest).otherwise(met)
+    met = F.when(F.col("kind") == "float", _single(F.col("real"))).otherwise(met)
+    after = values.where(F.col("column").isin(list(open_kinds))).select("column", "real", F.explode(
+        F.try_element_at(kinds, F.col("column"))).alias("kind")).select("column", "kind", met.alias("met")).distinct().groupBy(
+        "column", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(
+        F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("left"))  # at most four entries a column
+    return counts.join(after, "column", "left")
+
+
+def _candidates(df: DataFrame, columns, limits: Limits) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Started type and candidate types per numeric column, from one aggregate over the table (one row to the driver)."""
     fields = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, NumericType)}
-    names = [c for c in (columns or fields) if c in fields]
-    parts = []
-    for test, kind in ((is_integral, "bigint"), (is_floating, "double")):
-        values = _distinct_values(df, [c for c in names if test(fields[c])], kind)
-        if values is not None:
-            parts.append(_losses(values, kind == "bigint"))
-    losses = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    started = F.create_map(*[F.lit(x) for c in names for x in (c, fields[c].simpleString())])
-
-    def accepted(name):
-        none = F.coalesce(F.col(f"{name}_max"), F.lit(0.0)) <= max_loss
-        return none & (F.coalesce(F.col(f"{name}_avg"), F.lit(0.0)) <= avg_loss) & (
-            F.abs(F.col(f"{name}_nulls") - F.col("nulls")) <= na_loss) & (
-            F.abs(F.col(f"{name}_distincts") - F.col("distincts")) <= unique_loss)
-
-    def first_of(candidates):
-        return F.coalesce(*[F.when(accepted(n), F.lit(k)) for n, k in candidates], F.try_element_at(
-            started, F.col("column")))
-
-    chosen = F.when(F.col("nulls") <= na_loss, first_of(WHOLE)).otherwise(first_of(WITH_NULLS))
-    return losses.select("column", F.try_element_at(started, F.col("column")).alias("from_type"),
-                         chosen.alias("to_type"), F.col("nulls").cast("bigint").alias("nulls"),
-                         F.col("distincts").cast("bigint").alias("distincts"))
+    names = [c for c in (columns or fields) if c in fields and (is_integral(fields[c]) or is_floating(fields[c]))]
+    if not names:
+        return {}, {}
+    made = {c: _gaps(_value(df, c), is_integral(fields[c])) for c in names}
+    row = df.agg(*[F.struct(*[e.alias(n) for n, e in aggs.items()]).alias(f"c{i}") for i, aggs in enumerate(made.values())]).first()
+    started = {c: fields[c].simpleString() for c in names}
+    tried = {c: _settled(row[f"c{i}"].asDict(), is_integral(fields[c]), started[c], limits) for i, c in enumerate(names)}
+    return started, {c: t for c, t in tried.items() if row[f"c{names.index(c)}"]["rows"]}
+
+
+def _profiled(df: DataFrame, started: dict[str, str], tried: dict[str, list[str]], limits: Limits) -> DataFrame:
+    counted = _kept_distincts(df, list(tried), {c: kinds[:-1] for c, kinds in tried.items() if len(kinds) > 1})
+
+    def per_column(values: dict[str, str]) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("column"))
+
+    chosen = per_column({c: kinds[-1] for c, kinds in tried.items()})
+    for kind in reversed([*RANGES, "float"]):
+        asked = [c for c, kinds in tried.items() if kind in kinds[:-1]]
+        lost = F.abs(F.col("distincts") - F.try_element_at("left", F.lit(kind)))
+        chosen = F.when(F.col("column").isin(asked) & (lost <= limits.unique_loss), F.lit(kind)).otherwise(chosen)
+    return counted.select("column", per_column(started).alias("from_type"), chosen.alias("to_type"),
+                          F.col("nulls").cast("bigint").alias("nulls"), F.col("distincts").cast("bigint").alias("distincts"))
+
+
+def narrowing_profile(df: DataFrame, columns=None, **limits) -> DataFrame:
+    """(column, from_type, to_type, nulls, distincts): the narrowest type that loses no more than :class:`Limits` allows.
+
+    Whole types are tried for columns without nulls only.  One aggregate settles
+    every type that holds its values exactly; distinct values are counted
+    afterwards, and compared only where a type moves values a little.
+    """
+    allowed = Limits(**limits)
+    started, tried = _candidates(df, columns, allowed)
+    if not tried:
+        return df.sparkSession.createDataFrame([], "column string, from_type string, to_type string, nulls bigint, distincts bigint")
+    return _profiled(df, started, tried, allowed)
 
 
 def cast_to(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -83,18 +158,65 @@ def cast_to(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def narrowed_types(df: DataFrame, columns=None, **limits) -> dict[str, str]:
+    """Column to new type, for the columns whose type changes; only columns with open types are read a second time."""
+    allowed = Limits(**limits)
+    started, tried = _candidates(df, columns, allowed)
+    types = {c: kinds[0] for c, kinds in tried.items() if len(kinds) == 1}
+    left = {c: kinds for c, kinds in tried.items() if c not in types}
+    if left:
+        types |= {r["column"]: r["to_type"] for r in _profiled(df, started, left, allowed).collect()}
+    return {c: types[c] for c in started if c in types and types[c] != started[c]}
+
+
 def narrow(df: DataFrame, columns=None, **limits) -> DataFrame:
-    """Cast every numeric column to its narrowest lossless type (one row per column reaches the driver)."""
-    rows = narrowing_profile(df, columns, **limits).collect()
-    return cast_to(df, {r["column"]: r["to_type"] for r in rows if r["to_type"] != r["from_type"]})
+    """Cast every numeric column to its narrowest type within the limits (one row reaches the driver)."""
+    return cast_to(df, narrowed_types(df, columns, **limits))
+
+
+def text_categories(df: DataFrame, columns=None) -> tuple[DataFrame, DataFrame]:
+    """Text columns as codes of the narrowest whole type, and the dictionary (column, value, code).
+
+    Codes number the sorted distinct texts of a column from 0; null stays null.
+    The dictionary is written once and joined part by part (:func:`encoders.apply_codes`).
+    """
+    from .encoders import apply_codes, label_codes
+    from .groupstats import COLUMN
+    names = list(columns) if columns is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    empty = "column string, value string, code bigint"
+    if not names:
+        return df, df.sparkSession.createDataFrame([], empty)
+    table = settle(label_codes(df, names).withColumn("code", F.col("code").cast("bigint")), "categories", COLUMN)
+    most = {r[COLUMN]: r["most"] for r in table.groupBy(COLUMN).agg(F.max("code").alias("most")).collect()}
+    kinds = {c: next((k for k, (_, high) in RANGES.items() if most.get(c, 0) <= high), "bigint") for c in names}
+    coded = apply_codes(df, table, names, None)
+    return coded.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}), table.select(COLUMN, "value", "code")
+
+
+def category_texts(coded: DataFrame, words: DataFrame, columns, suffix: str = "_text") -> DataFrame:
+    """The texts behind the codes of :func:`text_categories`, as columns ``<c><suffix>``."""
+    from .groupstats import COLUMN, VALUE, attach_long, key_text
+    by_code = settle(words.select(COLUMN, key_text(words, "code").alias(VALUE), F.col("value").alias("text")), "texts", COLUMN)
+    return attach_long(coded, by_code, {c: {f"{c}{suffix}": "text"} for c in columns}, null_safe=False)
+
+
+def reduce_table(df: DataFrame, columns=None, text_codes: bool = False, **limits) -> tuple[DataFrame, DataFrame]:
+    """Narrowed numbers and, with ``text_codes``, texts as codes; returned with their dictionary (empty without)."""
+    texts = [f.name for f in df.schema.fields if text_codes and isinstance(f.dataType, StringType) and (
+        columns is None or f.name in columns)]
+    return text_categories(narrow(df, columns, **limits), texts)
 
 
 def narrowing_report(df: DataFrame, columns=None, **limits) -> DataFrame:
     """Per numeric column: types, bytes per value, nulls and distinct values before and after."""
     before = settle(narrowing_profile(df, columns, **limits), "profile")
     rows = before.collect()
+    if not rows:
+        return before.selectExpr("column", "from_type", "to_type", "0 as bytes_before", "0 as bytes_after", "nulls",
+                                 "nulls as nulls_after", "distincts", "distincts as distincts_after",
+                                 "false as lost_nulls", "false as lost_values")
     after = cast_to(df, {r["column"]: r["to_type"] for r in rows})
-    counted = column_counts(after, [r["column"] for r in rows]).select(
+    counted = _kept_distincts(after, [r["column"] for r in rows], {}).select(
         F.col("column"), F.col("nulls").alias("nulls_after"), F.col("distincts").alias("distincts_after"))
     size = F.create_map(*[F.lit(x) for kv in BYTES.items() for x in kv])
     return before.join(counted, "column").select(

@@ -10,7 +10,9 @@ from ..operators.groupstats import fingerprint, frequency_table, attach_long
 from ..operators.blend import mean_blend
 from ..operators.lookup import append_block, attach, join_identity, members, select_keys
 from ..operators.metrics import auc_value
-from ..operators.narrow import column_counts, drop_constant, drop_empty, narrowing_profile, narrowing_report, select_columns
+from ..operators.narrow import (
+    category_texts, column_counts, drop_constant, drop_empty, narrowing_profile, narrowing_report, select_columns, text_categories,
+)
 from ..functions.emails import email_provider
 from ..operators.sampling import downsample_negatives
 from ..schema import KEY, SUBMISSION_SCHEMA, codes_to_int, declare_categorical, drop_label
@@ -158,6 +160,19 @@ def b3(spark, folder):
     return tidy(narrowing_report(tx(spark, folder), [c for c, _ in _NARROWED]))
 
 
+_TEXTS = ["ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain"]
+
+
+@query("b3_text_categories", sql("select TransactionID, " + ", ".join(
+    f"case when {c} is not null then dense_rank() over (order by {c} nulls last) - 1 end as {c}, {c} as {c}_text" for c in _TEXTS)
+    + ", 'tinyint' as kinds from tx", "tx"))
+def b3_texts(spark, folder):
+    """Texts as narrow codes, next to the texts that the dictionary gives back."""
+    coded, words = text_categories(tx(spark, folder).select(KEY, *_TEXTS))
+    kinds = F.lit(",".join(sorted({kind for c, kind in coded.dtypes if c != KEY})))
+    return tidy(category_texts(coded, words, _TEXTS).withColumn("kinds", kinds))
+
+
 @query("b4_selector", sql("select TransactionID, card1, D15 from tx", "tx"))
 def b4(spark, folder):
     return select_columns(tx(spark, folder), [KEY, "card1", "D15"])
