@@ -29,36 +29,40 @@ class Limits:
         return not count or (largest is not None and largest <= self.max_loss and total / count <= self.avg_loss)
 
 
-def _value(df: DataFrame, c: str) -> Column:
-    return F.col(f"`{c}`").cast("double" if is_floating(df.schema[c].dataType) else "bigint")
+def _long_numbers(df: DataFrame, names) -> DataFrame:
+    """(column, real, whole) of every row and listed column; ``whole`` is null in floating columns and has all digits elsewhere."""
+    def entry(c: str) -> str:
+        name, quoted = c.replace("\\", "\\\\").replace("'", "\\'"), c.replace("`", "``")
+        whole = "null" if is_floating(df.schema[c].dataType) else f"`{quoted}`"
+        return f"struct('{name}' as column, cast(`{quoted}` as double) as real, cast({whole} as bigint) as whole)"
+
+    return df.selectExpr(f"inline(array({', '.join(map(entry, names))}))")
 
 
 def _single(v: Column) -> Column:
-    """The value that a float would hold, as double; by way of double, since whole -> float -> double is optimized to whole -> double."""
-    return v.cast("double").cast("float").cast("double")
+    """The value that a float would hold, as double; from a double, since whole -> float -> double is optimized to whole -> double."""
+    return v.cast("float").cast("double")
 
 
-def _gaps(v: Column, whole: bool) -> dict[str, Column]:
-    """Aggregates of one column that settle its type; partial results merge, so no row is shuffled.
+def _gaps() -> dict[str, Column]:
+    """Aggregates that settle a column's type; a task sends one row per column, whatever the number of rows.
 
     Per target type ``t`` of :data:`RANGES` and float: ``n_t`` values that it can hold,
     largest gap ``max_t`` and sum of the gaps ``sum_t`` to the value it would hold.
     """
-    nearest = v if whole else F.round(v)
+    v = F.col("real")
+    nearest = F.when(F.col("whole").isNull(), F.round(v)).otherwise(v)
     out = {"rows": F.count(F.lit(1)), "filled": F.count(v)}
     for kind, (low, high) in RANGES.items():
         held = F.when(nearest.between(low, high), nearest)
-        out[f"n_{kind}"] = F.count(held)
-        if not whole:
-            gap = F.abs(held - v)
-            out |= {f"max_{kind}": F.max(gap), f"sum_{kind}": F.sum(gap)}
+        out |= {f"n_{kind}": F.count(held), f"max_{kind}": F.max(F.abs(held - v)), f"sum_{kind}": F.sum(F.abs(held - v))}
     gap = F.abs(_single(v) - v)
-    # a double, and with it the gap, is exact for whole numbers up to 2**53 only
-    safe = F.count_if(v.between(-2**53, 2**53)) if whole else F.count(v)
+    # a double, and with it the gap, is exact for whole numbers below 2**53 only
+    safe = F.count_if(v.isNotNull() & (F.col("whole").isNull() | (F.abs(v) < 2.0**53)))
     return out | {"n_float": F.count(v), "max_float": F.max(gap), "sum_float": F.sum(gap), "safe": safe}
 
 
-def _settled(stats: dict, whole: bool, started: str, limits: Limits) -> list[str]:
+def _settled(stats, started: str, limits: Limits) -> list[str]:
     """Types that a column may take, in order.
 
     The last is certain: it holds every value without a gap, or is the type the
@@ -67,12 +71,11 @@ def _settled(stats: dict, whole: bool, started: str, limits: Limits) -> list[str
     """
     nulls, out = stats["rows"] - stats["filled"], []
     for kind in [*(RANGES if nulls <= limits.na_loss else ()), "float"]:
-        held, exact = stats[f"n_{kind}"], whole and kind != "float"
-        largest, total = (0.0, 0.0) if exact else (stats[f"max_{kind}"], stats[f"sum_{kind}"])
+        held, largest, total = (stats[f"{what}_{kind}"] for what in ("n", "max", "sum"))
         if stats["filled"] - held > limits.na_loss or not limits.close(largest, total, held):
             continue
         out.append(kind)
-        if held == stats["filled"] and not largest and (exact or stats["safe"] == held):
+        if held == stats["filled"] and not largest and (kind != "float" or stats["safe"] == held):
             return out
     return [*out, started]
 
@@ -84,11 +87,7 @@ def _kept_distincts(df: DataFrame, names, open_kinds: dict[str, list[str]]) -> D
     values that the nearest whole number or float cannot tell apart meet in one
     more aggregate of those.  Columns without an open type skip it.
     """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _value(df, c).cast("double").alias("real"),
-                 (F.lit(None) if is_floating(df.schema[c].dataType) else _value(df, c)).cast("bigint").alias("whole"))
-        for c in names])).alias("x")).select("x.*")
-    values = long.groupBy("column", "real", "whole").agg(F.count(F.lit(1)).alias("n"))
+    values = _long_numbers(df, names).groupBy("column", "real", "whole").agg(F.count(F.lit(1)).alias("n"))
     is_null = F.col("real").isNull()
     counts = values.groupBy("column").agg(
         F.sum(F.when(is_null, F.col("n")).otherwise(0)).alias("nulls"), F.count(F.lit(1)).alias("distincts"))
@@ -108,16 +107,14 @@ def _kept_distincts(df: DataFrame, names, open_kinds: dict[str, list[str]]) -> D
 
 
 def _candidates(df: DataFrame, columns, limits: Limits) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """Started type and candidate types per numeric column, from one aggregate over the table (one row to the driver)."""
+    """Started type and candidate types per numeric column, from one aggregate over the table (a row per column to the driver)."""
     fields = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, NumericType)}
     names = [c for c in (columns or fields) if c in fields and (is_integral(fields[c]) or is_floating(fields[c]))]
     if not names:
         return {}, {}
-    made = {c: _gaps(_value(df, c), is_integral(fields[c])) for c in names}
-    row = df.agg(*[F.struct(*[e.alias(n) for n, e in aggs.items()]).alias(f"c{i}") for i, aggs in enumerate(made.values())]).first()
+    stats = _long_numbers(df, names).groupBy("column").agg(*[e.alias(n) for n, e in _gaps().items()]).collect()
     started = {c: fields[c].simpleString() for c in names}
-    tried = {c: _settled(row[f"c{i}"].asDict(), is_integral(fields[c]), started[c], limits) for i, c in enumerate(names)}
-    return started, {c: t for c, t in tried.items() if row[f"c{names.index(c)}"]["rows"]}
+    return started, {r["column"]: _settled(r, started[r["column"]], limits) for r in stats}
 
 
 def _profiled(df: DataFrame, started: dict[str, str], tried: dict[str, list[str]], limits: Limits) -> DataFrame:
@@ -170,7 +167,7 @@ def narrowed_types(df: DataFrame, columns=None, **limits) -> dict[str, str]:
 
 
 def narrow(df: DataFrame, columns=None, **limits) -> DataFrame:
-    """Cast every numeric column to its narrowest type within the limits (one row reaches the driver)."""
+    """Cast every numeric column to its narrowest type within the limits (a row per column reaches the driver)."""
     return cast_to(df, narrowed_types(df, columns, **limits))
 
 
