@@ -20,7 +20,7 @@ from ..operators.folds import TIME_SCHEMES, time_folds
 from ..operators.groupstats import count_encode
 from ..operators.impute import impute
 from ..schema import KEY
-from .fixtures import MODELS, oof, sql, tx
+from .fixtures import MODELS, joined, oof, sql, tx
 from .groups import auc_sql, long_sql, spearman_sql
 from .registry import query
 from .tools import tidy
@@ -391,12 +391,12 @@ def k27(spark, folder):
 
 
 @query("k28_other_client_keys", sql(
-    f"select TransactionID, {text_sql('TransactionAmt', 'day', 'addr1')} as by_amount, {text_sql('card6', 'addr1', 'TransactionAmt')} "
-    "as by_device from (select *, cast(floor(TransactionDT / 86400) as bigint) as day from tx) t", "tx"))
+    f"select TransactionID, {text_sql('TransactionAmt', 'day', 'addr1')} as by_amount, {text_sql('DeviceInfo', 'addr1', 'TransactionAmt')} "
+    "as by_device from (select *, cast(floor(TransactionDT / 86400) as bigint) as day from joined) t", "joined"))
 def k28(spark, folder):
-    rows = tx(spark, folder).withColumn("day", day_number())
+    rows = joined(spark, folder).withColumn("day", day_number())
     return rows.select(KEY, client_id(rows, CLIENT_KEYS["amount_day_address"]).alias("by_amount"),
-                       client_id(rows, ["card6", "addr1", "TransactionAmt"]).alias("by_device"))
+                       client_id(rows, CLIENT_KEYS["device_address_amount"]).alias("by_device"))
 
 
 @query("k18_months", sql(

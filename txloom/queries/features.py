@@ -223,16 +223,30 @@ def g14(spark, folder):
     return tx(spark, folder).select(KEY, *chosen)
 
 
-@query("g15_fingerprint_groups", sql(
-    f"select count(*) as n, min(TransactionID) as first_row from joined where coalesce("
-    f"{', '.join(f'cast({c} as varchar)' for c in IDENTITY if c != 'id_01')}) is not null group by "
-    f"{', '.join(c for c in IDENTITY if c != 'id_01')}", "joined"))
-def g15(spark, folder):
-    ids = [c for c in IDENTITY if c != "id_01"]
+def _fingerprint_sql(ids) -> str:
+    some = f"coalesce({', '.join(f'cast({c} as varchar)' for c in ids)}) is not null"
+    return sql(f"select count(*) as n, min(TransactionID) as first_row from joined where {some} group by {', '.join(ids)}", "joined")
+
+
+def _fingerprint_groups(spark, folder, ids):
     rows = joined(spark, folder).select(KEY, fingerprint(ids).alias("user_id")).where("user_id is not null")
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min(KEY).alias("first_row")).drop("user_id")
 
 
+@query("g15_fingerprint_groups", _fingerprint_sql(IDENTITY))
+def g15(spark, folder):
+    return _fingerprint_groups(spark, folder, IDENTITY)
+
+
+# Without the account column many rows share a fingerprint.
+_WITHOUT_ACCOUNT = [c for c in IDENTITY if c != "id_01"]
+
+
+@query("g15_shared_fingerprint_groups", _fingerprint_sql(_WITHOUT_ACCOUNT))
+def g15_shared(spark, folder):
+    return _fingerprint_groups(spark, folder, _WITHOUT_ACCOUNT)
+
+
 # -- scalar features -----------------------------------------------------------------
 
 def last_match_sql(c: str, rules) -> str:
