@@ -9,7 +9,7 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import PCA, Imputer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -319,7 +319,7 @@ def _upright(loadings: np.ndarray) -> list[float]:
 
 
 def reduced(df: DataFrame, columns, k: int, prefix: str = "pc", center: bool = True) -> DataFrame:
-    """Principal components of a column group as columns; nulls take the column mean.
+    """Principal components of a column group as columns, with mean 0; nulls take the column mean.
 
     ``center=False`` gives the truncated singular value decomposition.  The
     largest loading of a component is positive.
@@ -331,6 +331,9 @@ def reduced(df: DataFrame, columns, k: int, prefix: str = "pc", center: bool = T
     vector = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_v")
     ready = vector.transform(values).drop(*[f"_f_{c}" for c in columns])
     if center:
+        # the fitted PCA turns vectors without moving them, so they are centered before
+        ready = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(ready).transform(
+            ready).drop("_v").withColumnRenamed("_c", "_v")
         fitted = PCA(k=k, inputCol="_v", outputCol="_pc").fit(ready)
         out, signs = fitted.transform(ready), _upright(fitted.pc.toArray())
     else:

@@ -6,10 +6,14 @@ predictions or scores for all rows and are checked for rows only.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import functions as F
 
 from ..operators import blend
@@ -347,6 +351,38 @@ def k8_svd(spark, folder):
         "vec_id", "sv1", "sv2", "sv3"))
 
 
+_ALL = [*[f"V{i}" for i in range(1, 65)], "V67"]
+
+
+def _all_components(spark, folder, names, center, prefix):
+    """Every component of a column group: squared length per row, and the largest product of two components."""
+    made = reduced(vmat(spark, folder).select("vec_id", *names), names, len(names), prefix, center)
+    parts = settle(made.select("vec_id", F.array(*[c for c in made.columns if c.startswith(prefix)]).alias("parts")), "parts")
+    vectors = MLUtils.convertVectorColumnsFromML(parts.select(array_to_vector("parts").alias("v")), "v")
+    cross = np.abs(np.triu(RowMatrix(vectors).computeGramianMatrix().toArray(), 1)).max()
+    squares = F.aggregate("parts", F.lit(0.0), lambda t, x: t + x * x)
+    return parts, parts.select("vec_id", squares.alias("squares"), F.lit(float(cross)).alias("largest_cross"))
+
+
+@query("k8_all_components", sql(
+    "+ m as (select " + ", ".join(f"avg({c}) as m_{c}" for c in _ALL) + " from vmat) select vec_id, round("
+    + " + ".join(f"coalesce(power({c} - m_{c}, 2), 0)" for c in _ALL) + ", 6) as squares, cast(0 as double) as largest_cross, "
+    "cast(0 as double) as largest_mean from vmat cross join m", "vmat"))
+def k8_all(spark, folder):
+    """All principal components: a rotation, so rows keep their distance from the mean; components have mean 0 and do not correlate."""
+    parts, rows = _all_components(spark, folder, _ALL, True, "pc")
+    mean = parts.select(Summarizer.mean(array_to_vector("parts")).alias("mean")).first()["mean"]
+    return tidy(rows.withColumn("largest_mean", F.lit(float(np.abs(mean.toArray()).max()))))
+
+
+@query("k8_all_singular", sql(
+    "select vec_id, round(" + " + ".join(f"power({c}, 2)" for c in _ALL[:64]) + ", 6) as squares, "
+    "cast(0 as double) as largest_cross from vmat", "vmat"))
+def k8_all_svd(spark, folder):
+    """All singular directions: rows keep their length, and the products of two directions add up to 0."""
+    return tidy(_all_components(spark, folder, _ALL[:64], False, "sv")[1])
+
+
 @query("k26_two_stages")
 def k26(spark, folder):
     """Training rows carry the out-of-fold score of the first model, test rows its mean over the folds."""
