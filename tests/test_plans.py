@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from txloom.operators.folds import TIME_SCHEMES, kfold, time_folds
 from txloom.operators.stages import ImportanceSelector, ModelFeature, PrunedRatios, SharedDictionary
 from txloom.operators.training import (
-    PrunedCV, assemble, booster, cross_validate, important_columns, more_rounds, predict, predict_all, second_stage,
+    PrunedCV, assemble, booster, cross_validate, eliminate_models, important_columns, more_rounds, predict, predict_all, second_stage,
+    stacked_vectors,
 )
 from txloom.plans.features import FeatureOptions, feature_columns, feature_table, group_features
 from txloom.plans.scoring import make_folds, score_test
-from txloom.plans.search import Range, Study, sample_params
+from txloom.plans.search import SPACES, Range, Study, sample_params, tree_params
 from txloom.queries.fixtures import joined
 from txloom.schema import KEY, identity_schema, transaction_schema
 from txloom.session import scratch_path, shared_dir
+from txloom.sources.sinks import append_trials, claim_trial, read_trials
 from txloom.sources.tables import import_data, reuse_or_build
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,6 +77,60 @@ def test_search_resumes(spark):
     assert best["x"] == min(r["params"]["x"] for r in history) and isinstance(best["n"], int)
 
 
+def test_runs_share_a_history(spark):
+    path, space = scratch_path(spark, "study"), {"x": Range(0.0, 1.0)}
+    one, two = (Study(spark, path, "a/b c", space) for _ in range(2))
+
+    def meanwhile(params):
+        if len(two.open_trials()) == 1:  # while a trial of the first run is open, the second does two
+            two.optimize(lambda p: p["x"], trials=2)
+        return params["x"]
+
+    one.optimize(meanwhile, trials=1)
+    one.optimize(lambda p: p["x"], trials=3, parallelism=3)
+    found = {r["trial"]: r["params"]["x"] for r in one.history.collect()}
+    assert one.history.count() == 6 and found == {t: sample_params(space, t)["x"] for t in range(6)}
+    assert Study(spark, path, "other", space).history.count() == 0
+
+
+def test_lost_trials_are_done_once(spark):
+    path, space = scratch_path(spark, "study"), {"x": Range(0.0, 1.0)}
+    study = Study(spark, path, "s", space)
+    assert [claim_trial(spark, path, "s") for _ in range(2)] == [0, 1]  # a run that claimed two and died
+    study.optimize(lambda p: p["x"], trials=1)
+    assert study.open_trials() == [0, 1]
+    study.optimize(lambda p: p["x"], trials=3, finish_open=True)
+    assert study.open_trials() == [] and sorted(r["trial"] for r in study.history.collect()) == [0, 1, 2, 3]
+    append_trials(spark, path, [("s", 0, {"x": 0.5}, 0.5)])
+    assert read_trials(spark, path, "s").count() == 4
+    with pytest.raises(ValueError):
+        append_trials(spark, path, [("", 0, {}, 0.0)])
+
+
+def test_spaces_make_boosters(spark):
+    assert set(SPACES) == {"gbdt", "dart", "goss", "xgb", "cat"}
+    for kind, space in SPACES.items():
+        for trial in range(50):
+            drawn = sample_params(space, trial)
+            assert all(space[n].low <= v <= space[n].high for n, v in drawn.items())
+            booster(kind, **tree_params(drawn))
+    assert tree_params({"num_leaves": 1500, "max_depth": 1000, "learning_rate": 2.0}) == {"maxDepth": 11, "stepSize": 1.0}
+
+
+def test_model_elimination_edges(spark):
+    rows = [("good", k % 2, k, float(k % 4 < 2), float(k % 4 < 2)) for k in range(40)]
+    rows += [("same", k % 2, k, float(k % 4 < 2), 0.3) for k in range(40)]
+    rows += [("rare", 0, 0, 1.0, 0.9), ("rare", 0, 0, 1.0, 0.7), ("rare", 0, None, 1.0, 0.9)]
+    oof = spark.createDataFrame(rows, f"model string, fold int, {KEY} long, label double, prediction double")
+    vectors = {r[KEY]: r["features"].toArray().tolist() for r in stacked_vectors(oof, ["good", "rare", "same"]).collect()}
+    assert len(vectors) == 40 and vectors[2] == [0.0, 0.5, 0.3]
+    assert vectors[0] == pytest.approx([1.0, 0.8, 0.3])
+    left, report = eliminate_models(oof, 1, step=1, estimator=DecisionTreeClassifier(maxDepth=1, labelCol="label"))
+    assert left == ["good"]
+    assert {r["model"]: r["round"] for r in report.collect()} == {"good": None, "same": 0, "rare": 1}
+    assert eliminate_models(oof, 3)[0] == ["good", "rare", "same"]
+
+
 def test_reuse_builds_once(spark):
     path, calls = scratch_path(spark, "table"), []
 

@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import KEY, LABEL
@@ -261,6 +261,50 @@ def eliminate(data: DataFrame, columns, keep: int, step: int = 1, estimator=None
     return left
 
 
+def stacked_vectors(oof: DataFrame, models, key: str = KEY, label: str = "label") -> DataFrame:
+    """(key, fold, label, features): the predictions of the models on one row as a dense vector, in the order of ``models``.
+
+    ``oof`` is in long form, a row per model and key, so its width does not
+    grow with the models; predictions of a model on one key are averaged, a
+    missing one is 0.5.  Rows with a missing key take no part.
+    """
+    once = oof.where(F.col(key).isNotNull()).groupBy(key, "model").agg(
+        F.min("fold").alias("fold"), F.max(label).alias("label"), F.avg("prediction").alias("prediction"))
+    rows = once.groupBy(key).agg(F.min("fold").alias("fold"), F.max("label").cast("double").alias("label"),
+                                 F.map_from_entries(F.collect_list(F.struct("model", "prediction"))).alias("found"))
+    values = F.transform(F.array(*[F.lit(m) for m in models]), lambda m: F.coalesce(F.try_element_at("found", m), F.lit(0.5)))
+    return rows.select(key, "fold", "label", array_to_vector(values).alias(FEATURES))
+
+
+def eliminate_models(oof: DataFrame, keep: int, step: int = 1, estimator=None, key: str = KEY, label: str = "label",
+                     parallelism: int = 4) -> tuple[list[str], DataFrame]:
+    """Recursive elimination over the out-of-fold predictions of many models.
+
+    In each round the estimator is fitted once per fold, on the rows of the
+    other folds, and the ``step`` models with the smallest importance, averaged
+    over the folds, go (of equal ones the last by name), until ``keep`` remain.
+    Returns their names and (model, round, importance): the round that a model
+    was dropped in, null for the ones that remain, and its last importance.
+    """
+    spark = oof.sparkSession
+    models = [r["model"] for r in oof.select("model").distinct().orderBy("model").collect()]  # one name per model
+    data = settle(stacked_vectors(oof, models, key, label), "stacked")
+    folds = [r["fold"] for r in data.select("fold").distinct().orderBy("fold").collect()]  # one row per fold
+    estimator = estimator or booster("gbdt", "label", maxIter=3, maxDepth=3)
+    left, last, dropped, turn = list(models), {m: 0.0 for m in models}, {}, 0
+    while len(left) > keep:
+        part = sliced(models, left, "_left").transform(data).drop(FEATURES).withColumnRenamed("_left", FEATURES)
+        fitted = fit_all([(estimator, f) for f in folds], lambda f: part.where(F.col("fold") != f), parallelism, spark)
+        each = [importances(m, left) for m in fitted]
+        last.update({m: sum(e[m] for e in each) / len(each) for m in left})
+        worst = sorted(left, key=lambda m: (last[m], -left.index(m)))[:min(step, len(left) - keep)]
+        dropped.update({m: turn for m in worst})
+        left, turn = [m for m in left if m not in dropped], turn + 1
+    report = spark.createDataFrame([(m, dropped.get(m), float(last[m])) for m in models],
+                                   "model string, round int, importance double")
+    return left, report
+
+
 def selection_stages(columns, data: DataFrame, threshold: float | None, selector, classifier) -> Pipeline:
     """Selector fitted on ``data``, then slicer and classifier as one Spark ML pipeline."""
     chosen = important_columns(data, columns, threshold, selector, classifier.getLabelCol())

@@ -6,7 +6,10 @@ predictions or scores for all rows and are checked for rows only.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
@@ -20,17 +23,17 @@ from ..operators import blend
 from ..operators.folds import EXPANDING_WEIGHTS, TIME_SCHEMES, group_kfold, kfold, stratified_kfold
 from ..operators.groupstats import card_counts
 from ..operators.impute import fill_constant
-from ..operators.metrics import auc_value
+from ..operators.metrics import auc, auc_value
 from ..operators.stages import (
     CategoryLimit, DropConstant, FillMissing, FrequencyEncoder, ImportanceSelector, ModelFeature, SelectColumns, TargetEncoder,
 )
 from ..operators.training import (
-    PrunedCV, assemble, booster, class_feature, cross_validate, eliminate, predict, reduced, second_stage,
+    PrunedCV, assemble, booster, class_feature, cross_validate, eliminate, eliminate_models, predict, reduced, second_stage,
     second_stage_test,
     seed_average, selection_stages, with_stage_params,
 )
 from ..plans.scoring import score_expanding, score_test
-from ..plans.search import Range, Study
+from ..plans.search import SPACES, Range, Study, tree_params
 from ..schema import KEY
 from ..session import scratch_path, settle
 from .fixtures import MODELS, oof, sql, tx, vmat
@@ -255,19 +258,59 @@ def i8_training(spark, folder):
 
 @query("i9_parameter_search")
 def i9(spark, folder):
+    """Two runs, each with two trials at once, over the declared ranges; rounds are few, so that a trial takes seconds."""
     train = train_part(spark, folder)
     folds = settle(stratified_kfold(train, 3, shuffle=True, seed=1), "folds")
-    space = {"maxDepth": Range(2, 4, "int"), "stepSize": Range(0.05, 0.5, "loguniform")}
-    cv = PrunedCV(3, 0.02, splits_to_start_pruning=1, minimize=False)
 
     def objective(params):
-        return cv.cross_val_score(small(**params), train, folds, "auc")
+        model = booster("goss", **{**tree_params(params), "maxIter": 3})
+        return PrunedCV(3, 0.02, splits_to_start_pruning=1, minimize=False).cross_val_score(model, train, folds, "auc")
+
+    path = scratch_path(spark, "trials")
+    Study(spark, path, "goss", SPACES["goss"]).optimize(objective, trials=3, parallelism=2)
+    study = Study(spark, path, "goss", SPACES["goss"])
+    study.optimize(objective, trials=2, parallelism=2)
+    return study.history.select("study", "trial", "score", F.col("params")["num_leaves"].alias("num_leaves"))
+
+
+# The share of a range that a trial draws, and the value there.
+_SHARE = "cast('0x' || substr(md5(concat({seed}, ':', trial, ':{name}')), 1, 8) as bigint) / 4294967296.0"
+
+
+def draw_sql(space: dict, seed: int) -> str:
+    """One expression per parameter, over rows with ``trial``."""
+    def value(name: str, r: Range) -> str:
+        share = _SHARE.format(seed=seed, name=name)
+        if r.kind == "int":
+            return f"{int(r.low)} + floor({share} * {int(r.high) - int(r.low) + 1})"
+        return f"{r.low} * power({r.high / r.low!r}::double, {share})" if r.kind == "loguniform" else f"{r.low} + ({share}) * {r.high - r.low!r}"
+
+    return ", ".join(f"cast({value(n, r)} as double) as {n}" for n, r in space.items())
+
+
+_BLENDS = {"w1": Range(0.0, 1.0), "w2": Range(0.01, 1.0, "loguniform"), "w3": Range(1, 9, "int")}
+
+
+@query("i9_shared_search", sql(
+    f"+ t as (select unnest(range(8)) as trial), d as (select trial, {draw_sql(_BLENDS, 3)} from t), w as (select TransactionID, "
+    "max(label) as label, max(prediction) filter (model = 'm1') as m1, max(prediction) filter (model = 'm2') as m2, "
+    "max(prediction) filter (model = 'm3') as m3 from oof group by TransactionID), p as (select trial, label, w1 * m1 + w2 * m2 + "
+    f"w3 * m3 as prediction from w cross join d), a as ({auc_sql('p', 'trial')}) select 'blend' as study, cast(trial as bigint) as trial, "
+    "round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(auc, 6) as score from d join a using (trial)", "oof"))
+def i9_shared(spark, folder):
+    """Two runs at the same time, with two trials each at once, search blend weights and share one history."""
+    wide = settle(blend.wide_predictions(oof(spark, folder), MODELS, [KEY, "label"]), "wide")
+
+    def objective(params):
+        mixed = sum(F.col(m) * params[w] for m, w in zip(MODELS, ("w1", "w2", "w3")))
+        return auc_value(wide.select("label", mixed.alias("prediction")))
 
     path = scratch_path(spark, "trials")
-    Study(spark, path, "gbdt", space).optimize(objective, trials=3)
-    study = Study(spark, path, "gbdt", space)
-    study.optimize(objective, trials=2)
-    return study.history.select("study", "trial", "score", F.col("params")["maxDepth"].alias("max_depth"))
+    runs = [Study(spark, path, "blend", _BLENDS, seed=3, minimize=False) for _ in range(2)]
+    with ThreadPool(2) as pool:
+        pool.map(inheritable_thread_target(spark)(lambda run: run.optimize(objective, trials=4, parallelism=2)), runs, chunksize=1)
+    history = runs[0].history
+    return tidy(history.select("study", F.col("trial").cast("long").alias("trial"), *[F.col("params")[w].alias(w) for w in _BLENDS], "score"))
 
 
 @query("i10_boosters")
@@ -403,6 +446,33 @@ def k29(spark, folder):
     return rows.select(KEY, *eliminate(train, _NAMES, 4, step=3))
 
 
+# A label that two of the flags decide: a tree of depth two takes these two and no other.
+_BOTH = "case when C1 > 3 and card6 = 'credit' then 1 else 0 end"
+_NOISE = 97
+
+
+def _planted(spark, folder):
+    """Long predictions of 100 models: three flags, the first two of which decide the label, and 97 without information."""
+    rows = tx(spark, folder).where("split = 'train'").selectExpr(KEY, f"{_BOTH} as label", f"{KEY} % 3 as fold", *[
+        f"cast({_FLAGS[n]} as double) as {n}" for n in ("f1", "f2", "f3")])
+    noise = f"transform(sequence(1, {_NOISE}), i -> struct(concat('n', i) as model, ({KEY} % 10007 * (7919 + i)) % 10007 / 10007D as prediction))"
+    flags = ", ".join(f"struct('{n}' as model, coalesce({n}, 0D) as prediction)" for n in ("f1", "f2", "f3"))
+    return rows.select(KEY, "label", "fold", F.inline(F.expr(f"concat(array({flags}), {noise})")))
+
+
+@query("k29_model_elimination", sql(
+    f"+ b as (select TransactionID, {_BOTH} as label, coalesce(cast({_FLAGS['f1']} as double), 0) as f1, "
+    f"coalesce(cast({_FLAGS['f2']} as double), 0) as f2 from tx where split = 'train'), l as (select 'f1' as model, label, f1 as prediction "
+    f"from b union all select 'f2', label, f2 from b), a as ({auc_sql('l', 'model')}) select model, round(auc, 6) as auc, "
+    f"cast({_NOISE + 3} as bigint) as models from a", "tx"))
+def k29_models(spark, folder):
+    """Of 100 models the two that decide the label remain; each is scored over all rows."""
+    rows = settle(_planted(spark, folder), "planted")
+    left, report = eliminate_models(rows, 2, step=49, estimator=DecisionTreeClassifier(maxDepth=2, labelCol="label"))
+    scored = auc(rows.where(F.col("model").isin(left)), by=["model"])
+    return tidy(scored.select("model", "auc", F.lit(report.count()).alias("models")))
+
+
 @query("k30_seed_average")
 def k30(spark, folder):
     rows = model_rows(spark, folder)
@@ -411,8 +481,6 @@ def k30(spark, folder):
     return tidy(seed_average(small("forest"), train, test, [1, 2]))
 
 
-# A label that two of the flags decide: a tree of depth two takes these two and no other.
-_BOTH = "case when C1 > 3 and card6 = 'credit' then 1 else 0 end"
 _TWO = " + ".join(f"case when {n} = 1 then ln((s{{0}}_{n} + 1) / (n{{0}} + 2)) else ln(1 - (s{{0}}_{n} + 1) / (n{{0}} + 2)) end" for n in ("f1", "f2"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,18 +36,54 @@ def write_oof(oof: DataFrame, path: str, mode: str = "append") -> None:
     oof.hint("rebalance", "model", "fold").write.mode(mode).partitionBy("model", "fold").parquet(path)
 
 
+def _trial_path(path: str, study: str, trial: int) -> str:
+    if not study:
+        raise ValueError("a study needs a name")
+    return f"{path.rstrip('/')}/study={quote(study, safe='')}/trial={trial}"
+
+
 def append_trials(spark: SparkSession, path: str, rows) -> None:
-    """Append (study, trial, params, score) rows to the history."""
-    spark.createDataFrame(rows, TRIALS).coalesce(1).write.mode("append").parquet(path)
+    """Put (study, trial, params, score) rows into the history.
+
+    Every trial is a folder of its own, so runs that write at the same time do
+    not meet, and a trial that is put twice is there once.
+    """
+    for study, trial, params, score in rows:
+        row = spark.createDataFrame([(params, score)], "params map<string,double>, score double")
+        row.coalesce(1).write.mode("overwrite").parquet(_trial_path(path, study, trial))
 
 
 def read_trials(spark: SparkSession, path: str, study: str | None = None) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], TRIALS)
-    history = spark.read.schema(TRIALS).parquet(path)
+    history = spark.read.schema(TRIALS).parquet(path).select("study", "trial", "params", "score")
     return history if study is None else history.where(F.col("study") == study)
 
 
 def next_trial(history: DataFrame) -> int:
     last = history.agg(F.max("trial")).first()[0]
     return 0 if last is None else last + 1
+
+
+def _claims(spark: SparkSession, path: str, study: str):
+    """(file system, folder) of the claimed numbers; readers of the history pass over folders with an underscore."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_claims/{quote(study, safe='')}")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def claimed_trials(spark: SparkSession, path: str, study: str) -> list[int]:
+    files, place = _claims(spark, path, study)
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def claim_trial(spark: SparkSession, path: str, study: str) -> int:
+    """A trial number that no other run has or gets: the one that creates its file owns it.
+
+    That holds where the store creates a file only if it is not there in one
+    step, as HDFS does.  Numbers of the history count as taken.
+    """
+    files, place = _claims(spark, path, study)
+    number = max([next_trial(read_trials(spark, path, study)) - 1, *claimed_trials(spark, path, study)]) + 1
+    while not files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(place, str(number))):
+        number += 1
+    return number
