@@ -45,8 +45,13 @@ def email_provider(c: str | Column) -> Column:
     return mapped(c, PROVIDERS)
 
 
+def last_part(c: str | Column) -> Column:
+    """The text behind the last dot; a missing value is the text nan."""
+    return F.element_at(F.split(F.coalesce(col(c), F.lit("nan")), r"\."), -1)
+
+
 def email_suffix(c: str | Column) -> Column:
-    last = F.element_at(F.split(F.coalesce(col(c), F.lit("nan")), r"\."), -1)
+    last = last_part(c)
     return F.when(last.isin(US_SUFFIXES), "us").otherwise(last)
 
 

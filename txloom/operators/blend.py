@@ -171,7 +171,8 @@ def hill_climb(oof: DataFrame, models, steps: int = 10, key: str = KEY, label: s
     """Models picked one at a time (with repetition) so that the mean of the picks has the best AUC.
 
     Each step is one aggregate that scores every candidate; it stops when no
-    candidate improves the score.
+    candidate improves the score.  Rows of one class alone have no score, so
+    nothing is picked.
     """
     rows = oof.where(where) if where is not None else oof
     wide = settle(wide_predictions(rows, models, [key, label]), "climb")
@@ -181,6 +182,9 @@ def hill_climb(oof: DataFrame, models, steps: int = 10, key: str = KEY, label: s
         trial = [F.struct(F.lit(m).alias("model"), ((total + F.col(m)) / (len(picked) + 1)).alias("prediction"))
                  for m in models]
         found = auc(wide.select(label, F.inline(F.array(*trial))), label=label, by=["model"]).collect()
+        found = [r for r in found if r["auc"] is not None]
+        if not found:
+            break
         best = max(found, key=lambda r: (r["auc"], r["model"]))
         if scores and best["auc"] <= scores[-1]:
             break

@@ -20,6 +20,7 @@ from ..operators.folds import TIME_SCHEMES, time_folds
 from ..operators.groupstats import count_encode
 from ..operators.impute import impute
 from ..schema import KEY
+from ..session import settle
 from .fixtures import MODELS, joined, oof, sql, tx
 from .groups import auc_sql, long_sql, spearman_sql
 from .registry import query
@@ -390,6 +391,43 @@ def k27(spark, folder):
     return tidy(made.select("step", "best.model", "best.auc"))
 
 
+_CLIMB = 10
+
+
+def climb_sql(part: str) -> str:
+    """CTEs and rows of a climb over the rows of one part, all its steps."""
+    w = f"w_{part}"
+    out = [f"{w} as (select model, TransactionID, label, prediction from oof join part using (TransactionID) where part = '{part}'), "
+           f"total_{part}_0 as (select TransactionID, cast(0 as double) as total from {w} where model = 'm1')"]
+    for k in range(1, _CLIMB + 1):
+        before = "where isfinite(auc)" if k == 1 else f"where auc > (select auc from step_{part}_{k - 1})"
+        out.append(
+            f"tried_{part}_{k} as (select model, label, (total + prediction) / {k} as prediction from {w} join total_{part}_{k - 1} using (TransactionID)), "
+            f"step_{part}_{k} as (select model, auc from (select * from ({auc_sql(f'tried_{part}_{k}', 'model')}) order by auc desc, model desc limit 1) "
+            f"{before}), "
+            f"total_{part}_{k} as (select TransactionID, total + prediction as total from {w} join total_{part}_{k - 1} using (TransactionID) "
+            f"where model = (select model from step_{part}_{k}))")
+    return ", ".join(out)
+
+
+@query("k27_climb_by_part", sql(
+    _RARE + ", part as (select TransactionID, case when client in (select client from t where split = 'train') then 'seen' else 'new' end as part "
+    "from t where split = 'test'), " + ", ".join(climb_sql(p) for p in ("seen", "new")) + " "
+    + " union all ".join(f"select '{p}' as part, {k - 1}::bigint as step, model, round(auc, 6) as auc from step_{p}_{k}"
+                         for p in ("seen", "new") for k in range(1, _CLIMB + 1)), "oof", "tx"))
+def k27_parts(spark, folder):
+    """Rows of clients that training has seen and rows of new ones get weights of their own; both climbs run to their end."""
+    rows = with_rare_client(spark, folder)
+    parts = settle(seen_rows(rows, "client").select(KEY, F.lit("seen").alias("part")).unionByName(
+        seen_rows(rows, "client", False).select(KEY, F.lit("new").alias("part"))), "parts")
+    scored = oof(spark, folder).join(parts, KEY)
+    out = []
+    for part in ("seen", "new"):
+        picked, scores = blend.hill_climb(scored, MODELS, steps=_CLIMB, where=F.col("part") == part)
+        out += [(part, k, m, s) for k, (m, s) in enumerate(zip(picked, scores))]
+    return tidy(spark.createDataFrame(out, "part string, step bigint, model string, auc double"))
+
+
 @query("k28_other_client_keys", sql(
     f"select TransactionID, {text_sql('TransactionAmt', 'day', 'addr1')} as by_amount, {text_sql('DeviceInfo', 'addr1', 'TransactionAmt')} "
     "as by_device from (select *, cast(floor(TransactionDT / 86400) as bigint) as day from joined) t", "joined"))

@@ -19,6 +19,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import functions as F
 
+from ..functions.emails import last_part
 from ..operators import blend
 from ..operators.folds import EXPANDING_WEIGHTS, TIME_SCHEMES, group_kfold, kfold, stratified_kfold
 from ..operators.groupstats import card_counts
@@ -375,8 +376,7 @@ def j3(spark, folder):
 @query("j1_row_functions", sql("select TransactionID, split_part(coalesce(R_emaildomain, 'nan'), '.', -1) as last_part from "
                                "tx", "tx"))
 def j1(spark, folder):
-    return tx(spark, folder).select(KEY, F.element_at(F.split(F.coalesce("R_emaildomain", F.lit("nan")), r"\."), -1).alias(
-        "last_part"))
+    return tx(spark, folder).select(KEY, last_part("R_emaildomain").alias("last_part"))
 
 
 _GROUP = [f"V{i}" for i in range(1, 65)]
