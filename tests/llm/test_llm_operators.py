@@ -272,6 +272,35 @@ def test_shared_prefix_search_is_the_plain_one(words):
     assert model.solve(ordered) == [best_score(pieces, w)[1] for w in ordered]
 
 
+def library_ids(texts):
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(viterbi.MODEL)).encode(texts, num_threads=1)
+
+
+def own_ids(texts):
+    ids, offsets = viterbi.piece_encoder().encode(pa.array(texts))
+    return [ids[s:e].tolist() for s, e in zip(offsets.tolist(), offsets.tolist()[1:])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="the aeiornst \n.", max_size=60),
+                          st.text(alphabet="\u4e00\u68a6\U0001f600\u00e9 ax\t", max_size=20)), min_size=1, max_size=5))
+def test_pieces_are_those_of_the_library(texts):
+    assert own_ids(texts) == library_ids(texts)
+
+
+def test_long_words_and_all_documents_have_the_ids_of_the_library(spark):
+    rng = random.Random(5)
+    texts = ["a" * 20000, "the " + "".join(rng.choices("etaoinshr", k=9000)) + " end", "=" * 5000 + "x", "ab" * 3000 + " ab", " " * 300 + "x"]
+    assert own_ids(texts) == library_ids(texts)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    found = {r.doc_id: list(r.ids) for r in viterbi.encode_pieces(docs).collect()}
+    assert [found[r.doc_id] for r in rows] == library_ids([r.text or "" for r in rows])
+
+
 def test_pieces_round_trip(spark, mixed):
     docs = table(spark, mixed)
     encoded = viterbi.encode_pieces(docs)

@@ -9,9 +9,15 @@ in a bounded cache of the worker.
 
 The best segmentation has the largest sum of piece scores; of equal sums the
 one with the longer last piece wins, at every prefix.  Signs without a piece
-become their byte pieces at the price of the worst score less ten.  (The public
-model carries merge ranks as scores, so its library, which merges pairs
-greedily, may cut a word differently; texts decode to the same either way.)
+become their byte pieces at the price of the worst score less ten.
+
+A model of merges carries merge ranks as scores, which do not add up to
+anything.  There, a piece may only follow one that it stays apart from: two
+pieces may be neighbours if merging their joined text gives these two again.
+Exactly one segmentation of a text has only such neighbours, the one that the
+merges lead to, and each of its prefixes has the same property, so the search
+along shared prefixes finds it and the ids are those of the model's library.
+Whether two pieces may be neighbours is worked out once per pair.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from .tokens import CACHE_SEGMENTS, SegmentCache
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+LONG = 4096
+CACHE_PAIRS = 1 << 20
 _SPACE = 32
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
@@ -36,9 +44,12 @@ _FIRST = np.uint64(0x5851F42D4C957F2D)
 class Pieces:
     """The vocabulary as a trie for encoding and as a byte table for decoding."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], skipped: set[int] = frozenset()):
+    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], skipped: set[int] = frozenset(),
+                 merges: bool = False):
         self.trie: dict = {}
         self.byte_ids = byte_ids
+        self.rank = {p: s for i, (p, s) in enumerate(pieces) if i not in skipped and i not in byte_ids.values()} if merges else None
+        self.apart: dict[tuple[str, str], bool] = {}
         raw, scores = [], []
         by_id = {i: b for b, i in byte_ids.items()}
         for i, (piece, score) in enumerate(pieces):
@@ -56,7 +67,8 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
     @classmethod
-    def load(cls, name: str = MODEL) -> "Pieces":
+    def load(cls, name: str = MODEL, merges: bool = True) -> "Pieces":
+        """The pieces of a model file; ``merges`` says whether it is a model of merges (as the public one is) or of likelihoods."""
         import public_tokenizers
         import sentencepiece
 
@@ -64,10 +76,34 @@ class Pieces:
         size = model.vocab_size()
         byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         skipped = {i for i in range(size) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        return cls([(model.id_to_piece(i), model.get_score(i)) for i in range(size)], byte_ids, skipped)
+        return cls([(model.id_to_piece(i), model.get_score(i)) for i in range(size)], byte_ids, skipped, merges)
+
+    def merged(self, text: str) -> list[str]:
+        """The text's signs, merged pair by pair: the best-scoring piece first, of equal ones the leftmost."""
+        parts = list(text)
+        while len(parts) > 1:
+            found = [(-self.rank[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in self.rank]
+            if not found:
+                break
+            i = min(found)[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def may_follow(self, before: str, piece: str) -> bool:
+        """Whether merging leaves the two apart and whole; ``before`` is empty in front of a word."""
+        known = self.apart.get((before, piece))
+        if known is None:
+            if len(self.apart) >= CACHE_PAIRS:
+                self.apart.clear()
+            known = self.apart[before, piece] = self.merged(before + piece) == [p for p in (before, piece) if p]
+        return known
 
     def solve(self, words: list[str]) -> list[list[int]]:
-        """Ids of each marked word; the words are distinct and sorted."""
+        """Ids of each marked word; the words are distinct and sorted.
+
+        A word of more than ``LONG`` signs keeps no scores for the next one,
+        so its open pieces are held for one place only.
+        """
         out = []
         score, back, ids, active = [0.0], [0], [None], [[(0, self.trie)]]
         before = ""
@@ -76,10 +112,11 @@ class Pieces:
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del score[shared + 1:], back[shared + 1:], ids[shared + 1:], active[shared + 1:]
+            long = len(word) > LONG
             for i in range(shared, len(word)):
                 sign, alive = word[i], []
                 best, origin, piece, single = None, i, None, False
-                for start, node in active[i]:  # earlier starts, so longer last pieces, come first
+                for start, node in active[-1]:  # earlier starts, so longer last pieces, come first
                     child = node.get(sign)
                     if child is None:
                         continue
@@ -89,19 +126,28 @@ class Pieces:
                         continue
                     single = single or start == i
                     total = score[start] + end[1]
-                    if best is None or total > best:
+                    if (best is None or total > best) and self._allowed(word, back, start, i + 1):
                         best, origin, piece = total, start, end[0]
-                if not single and (best is None or score[i] + self.unknown > best):
+                if best is None or (not single and self.rank is None and score[i] + self.unknown > best):
                     best, origin, piece = score[i] + self.unknown, i, None
                 alive.append((i + 1, self.trie))
                 score.append(best)
                 back.append(origin)
                 ids.append(piece)
                 active.append(alive)
+                if long:
+                    active[-2] = None
             out.append(self._path(word, back, ids))
             before = word
+            if long:
+                del score[1:], back[1:], ids[1:], active[:]
+                active.append([(0, self.trie)])
+                before = ""
         return out
 
+    def _allowed(self, word: str, back: list[int], start: int, end: int) -> bool:
+        return self.rank is None or self.may_follow(word[back[start]:start], word[start:end])
+
     def _path(self, word: str, back: list[int], ids: list) -> list[int]:
         path, at = [], len(word)
         while at:
