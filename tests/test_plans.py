@@ -1,5 +1,7 @@
 """Sources, pruned cross-validation, search and the feature chain."""
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel, Pipeline
@@ -19,6 +21,7 @@ from txloom.plans.search import SPACES, Range, Study, sample_params, tree_params
 from txloom.queries.fixtures import joined
 from txloom.schema import KEY, identity_schema, transaction_schema
 from txloom.session import scratch_path, shared_dir
+from txloom.sources import sinks
 from txloom.sources.sinks import append_trials, claim_trial, read_trials
 from txloom.sources.tables import import_data, reuse_or_build
 
@@ -93,6 +96,14 @@ def test_runs_share_a_history(spark):
     assert Study(spark, path, "other", space).history.count() == 0
 
 
+def test_claims_of_many_threads_differ(spark):
+    path = scratch_path(spark, "study")
+    with ThreadPool(6) as pool:
+        assert sorted(pool.map(lambda _: claim_trial(spark, path, "s"), range(12), chunksize=1)) == list(range(12))
+    files, place = sinks._claims(spark, path, "s")
+    assert not sinks._created(files, spark._jvm.org.apache.hadoop.fs.Path(place, "3"))
+
+
 def test_lost_trials_are_done_once(spark):
     path, space = scratch_path(spark, "study"), {"x": Range(0.0, 1.0)}
     study = Study(spark, path, "s", space)

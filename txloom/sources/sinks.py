@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import KEY, LABEL
@@ -76,14 +78,30 @@ def claimed_trials(spark: SparkSession, path: str, study: str) -> list[int]:
     return sorted(int(f.getPath().getName()) for f in files.listStatus(place)) if files.exists(place) else []
 
 
+_CLAIMING = threading.Lock()
+
+
+def _created(files, place) -> bool:
+    """Whether this call made the file; False where it was there."""
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def claim_trial(spark: SparkSession, path: str, study: str) -> int:
     """A trial number that no other run has or gets: the one that creates its file owns it.
 
-    That holds where the store creates a file only if it is not there in one
-    step, as HDFS does.  Numbers of the history count as taken.
+    Between processes that holds where the store refuses to create a file
+    twice in one step, as HDFS does; threads of a process take turns.  Numbers
+    of the history count as taken.
     """
     files, place = _claims(spark, path, study)
-    number = max([next_trial(read_trials(spark, path, study)) - 1, *claimed_trials(spark, path, study)]) + 1
-    while not files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(place, str(number))):
-        number += 1
+    with _CLAIMING:
+        number = max([next_trial(read_trials(spark, path, study)) - 1, *claimed_trials(spark, path, study)]) + 1
+        while not _created(files, spark._jvm.org.apache.hadoop.fs.Path(place, str(number))):
+            number += 1
     return number
