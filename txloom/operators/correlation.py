@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ratios import amount_ratios, pairwise_ratios
 from ..schema import C_COLS, D_COLS, V_COLS
-from ..session import settle
+from ..session import parallelism, settle
 from .ordered import CHUNK, DRAWN, chunked, running_totals
 
 # Columns whose sums a task hands over in one row.
@@ -42,11 +42,6 @@ def _finite(c: str) -> Column:
     return F.expr(f"case when abs(cast(`{c}` as double)) < double('infinity') then cast(`{c}` as double) end")
 
 
-def _parallelism(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     """Rows of values; NaN where one is missing or not finite."""
     flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
@@ -382,7 +377,7 @@ def spearman_pairs(df: DataFrame, columns, method: str = "pairwise", target: str
     if method not in ("pairwise", "column_ranks"):
         raise ValueError("method must be 'pairwise' or 'column_ranks'")
     # The work per row grows with (columns * classes) from here on: rows that came in few large files are spread first.
-    values = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v")).repartition(_parallelism(df))
+    values = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v")).repartition(parallelism(df.sparkSession))
     work = settle(values.withColumn("row", F.monotonically_increasing_id()), "finite")
     classes = _presence_classes(work, len(names))
     own_ranks = method == "column_ranks"

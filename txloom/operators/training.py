@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -261,19 +263,41 @@ def eliminate(data: DataFrame, columns, keep: int, step: int = 1, estimator=None
     return left
 
 
+def _means(width: int, kinds: dict):
+    """Task side: the (at, prediction) entries of a row as one list of ``width`` means, 0.5 where there is none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, found = batch.num_rows * width, batch.column("found")
+            at, prediction = found.flatten().flatten()
+            place = np.repeat(np.arange(batch.num_rows), pc.list_value_length(found).to_numpy()) * width + at.to_numpy()
+            n = np.bincount(place, minlength=size)
+            sums = np.bincount(place, prediction.to_numpy(), size)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()),
+                                            pa.array(np.where(n > 0, sums / np.maximum(n, 1), 0.5)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kinds], made], [*kinds, "values"])
+
+    return run
+
+
 def stacked_vectors(oof: DataFrame, models, key: str = KEY, label: str = "label") -> DataFrame:
     """(key, fold, label, features): the predictions of the models on one row as a dense vector, in the order of ``models``.
 
     ``oof`` is in long form, a row per model and key, so its width does not
     grow with the models; predictions of a model on one key are averaged, a
-    missing one is 0.5.  Rows with a missing key take no part.
+    missing one is 0.5.  Rows with a missing key take no part.  The long rows
+    are grouped once, by key, with the place of their model in the vector
+    instead of its name, so the work per row does not grow with the models.
     """
-    once = oof.where(F.col(key).isNotNull()).groupBy(key, "model").agg(
-        F.min("fold").alias("fold"), F.max(label).alias("label"), F.avg("prediction").alias("prediction"))
-    rows = once.groupBy(key).agg(F.min("fold").alias("fold"), F.max("label").cast("double").alias("label"),
-                                 F.map_from_entries(F.collect_list(F.struct("model", "prediction"))).alias("found"))
-    values = F.transform(F.array(*[F.lit(m) for m in models]), lambda m: F.coalesce(F.try_element_at("found", m), F.lit(0.5)))
-    return rows.select(key, "fold", "label", array_to_vector(values).alias(FEATURES))
+    places = settle(oof.sparkSession.createDataFrame([(m, i) for i, m in enumerate(models)], "_name string, _at int"), "places")
+    placed = oof.where(F.col(key).isNotNull()).join(places, F.col("model") == F.col("_name"), "left")
+    entry = F.struct(F.col("_at").alias("at"), F.col("prediction").cast("double").alias("prediction"))
+    rows = placed.groupBy(key).agg(
+        F.min("fold").alias("fold"), F.max(label).cast("double").alias("label"),
+        F.collect_list(F.when(F.col("_at").isNotNull() & F.col("prediction").isNotNull(), entry)).alias("found"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, "fold", "label")}
+    kept = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+    return rows.mapInArrow(_means(len(models), kinds), f"{kept}, values array<double>").select(
+        key, "fold", "label", array_to_vector("values").alias(FEATURES))
 
 
 def eliminate_models(oof: DataFrame, keep: int, step: int = 1, estimator=None, key: str = KEY, label: str = "label",
