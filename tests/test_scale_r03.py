@@ -2,6 +2,7 @@
 
 import re
 
+from txloom.operators import blend
 from txloom.operators.training import stacked_vectors
 from txloom.schema import KEY
 
@@ -18,3 +19,14 @@ def test_predictions_are_grouped_once(spark):
     assert exchanges(made) == 1
     found = {r[KEY]: (r["fold"], r["label"], r["features"].toArray().tolist()) for r in made.collect()}
     assert found == {1: (0, 1.0, [0.75, 0.25]), 2: (0, 0.0, [0.5, 0.75]), 3: (1, 1.0, [0.5, 0.5])}
+
+
+def test_tuning_puts_predictions_side_by_side_once(spark, monkeypatch):
+    rows = [(m, f, "valid" if k % 2 == f else "train", k, k % 3 % 2, (k * s % 11) / 11) for m, s in (("a", 3), ("b", 5))
+            for f in (0, 1) for k in range(24)]
+    oof = spark.createDataFrame(rows, f"model string, fold int, role string, {KEY} long, label int, prediction double")
+    single = {c: blend.stacking_score(oof, ["a", "b"], c) for c in (0.1, 1.0)}
+    calls, wide = [], blend.wide_predictions
+    monkeypatch.setattr(blend, "wide_predictions", lambda *a: calls.append(1) or wide(*a))
+    assert blend.tune_stacking(oof, ["a", "b"], (0.1, 1.0)) == single
+    assert len(calls) == 1

@@ -131,15 +131,26 @@ def stack_models(oof: DataFrame, models, c: float = 0.01,
     holds (model, fold, key, prediction).  Returns (fold, role, key, label,
     prediction) and, of the test rows, (fold, key, prediction).
     """
-    gather = VectorAssembler(inputCols=list(models), outputCol="_models")
+    vectors, counts = stack_input(oof, models)
+    unseen = None if tested is None else _gathered(settle(wide_predictions(tested, models, ["fold", KEY]), "stack-test"), models)
+    return _stacked(vectors, counts, c, unseen)
+
+
+def _gathered(wide: DataFrame, models) -> DataFrame:
+    return VectorAssembler(inputCols=list(models), outputCol="_models").transform(wide)
+
+
+def stack_input(oof: DataFrame, models) -> tuple[DataFrame, dict]:
+    """Rows (fold, role, key, label, vector of the models' predictions) and the training rows per fold."""
     wide = settle(wide_predictions(oof, models, ["fold", "role", KEY, "label"]), "stack")
-    vectors = gather.transform(wide.withColumn("label", F.col("label").cast("double")))
-    unseen = None if tested is None else gather.transform(
-        settle(wide_predictions(tested, models, ["fold", KEY]), "stack-test"))
-    score = vector_to_array("probability")[1].alias("prediction")
-    out = out_test = None
     counts = {r["fold"]: r["n"] for r in wide.where("role = 'train'").groupBy("fold").agg(
         F.count(F.lit(1)).alias("n")).collect()}
+    return _gathered(wide.withColumn("label", F.col("label").cast("double")), models), counts
+
+
+def _stacked(vectors: DataFrame, counts: dict, c: float, unseen: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    score = vector_to_array("probability")[1].alias("prediction")
+    out = out_test = None
     for fold, n in sorted(counts.items()):
         rows = vectors.where(F.col("fold") == fold)
         model = stacker(c, n).fit(rows.where("role = 'train'"))
@@ -156,14 +167,19 @@ def stack_folds(oof: DataFrame, models, c: float = 0.01) -> DataFrame:
     return stack_models(oof, models, c)[0]
 
 
+def _valid_score(scored: DataFrame) -> float:
+    return auc(scored.where("role = 'valid'"), by=["fold"]).agg(F.avg("auc")).first()[0]
+
+
 def stacking_score(oof: DataFrame, models, c: float) -> float:
     """Mean over folds of the validation AUC of the stacker."""
-    scored = stack_folds(oof, models, c).where("role = 'valid'")
-    return auc(scored, by=["fold"]).agg(F.avg("auc")).first()[0]
+    return _valid_score(stack_folds(oof, models, c))
 
 
 def tune_stacking(oof: DataFrame, models, grid=(0.01, 0.1, 1.0)) -> dict[float, float]:
-    return {c: stacking_score(oof, models, c) for c in grid}
+    """The score of :func:`stacking_score` for each strength; the predictions are put side by side once for all of them."""
+    vectors, counts = stack_input(oof, models)
+    return {c: _valid_score(_stacked(vectors, counts, c)[0]) for c in grid}
 
 
 def hill_climb(oof: DataFrame, models, steps: int = 10, key: str = KEY, label: str = "label",
