@@ -2,7 +2,7 @@
 
 import re
 
-from txloom.operators import blend
+from txloom.operators import blend, groupstats
 from txloom.operators.training import stacked_vectors
 from txloom.schema import KEY
 
@@ -30,3 +30,27 @@ def test_tuning_puts_predictions_side_by_side_once(spark, monkeypatch):
     monkeypatch.setattr(blend, "wide_predictions", lambda *a: calls.append(1) or wide(*a))
     assert blend.tune_stacking(oof, ["a", "b"], (0.1, 1.0)) == single
     assert len(calls) == 1
+
+
+def test_small_tables_are_looked_up_without_joins(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1, "x", None), ("b", None, None, 2.5), (None, 1, "x", 0.0), ("a", 3, None, 2.5), ("a", 3, None, 2.5)],
+                                 "split string, a int, b string, c double")
+    none = rows.where("split = 'z'")
+
+    def made() -> list:
+        stats = [groupstats.settle(groupstats.group_stats(rows, ["a", "b"], ["c"], ("mean", "std"), w), "stats", "column") for w in ((), ("split",))]
+        wanted = {"a": {"m": "c_mean"}, "b": {"n": "c_mean", "o": "c_std"}}
+        return [groupstats.count_encode(rows, ["a", "b", "c"]), groupstats.count_encode(rows, ["a", "b", "c"], within=["split"]),
+                groupstats.count_encode(rows, ["a", "b"], counted=none), groupstats.count_encode(none, ["a", "b"]),
+                groupstats.attach_long(rows, stats[0], wanted, null_safe=False), groupstats.attach_long(rows, stats[1], wanted, ["split"], null_safe=False)]
+
+    def found(frames: list) -> list:
+        return [(df.schema, sorted(map(str, df.collect()))) for df in frames]
+
+    looked = made()
+    assert not any("Join" in df._jdf.queryExecution().executedPlan().toString() for df in looked)
+    monkeypatch.setattr(groupstats, "FEW", 3)
+    some = made()
+    monkeypatch.setattr(groupstats, "FEW", -1)
+    joined = made()
+    assert found(looked) == found(joined) == found(some)

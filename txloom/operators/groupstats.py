@@ -9,15 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.canon import canonical
 from ..functions.ratios import ratio
-from ..schema import ADDRS, AMOUNT, CARDS, ID_COLS, KEY, SPLIT, TIME
+from ..schema import ADDRS, AMOUNT, CARDS, ID_COLS, KEY, SPLIT, TIME, is_floating
 from ..session import settle
 from .lookup import attach
 
 COLUMN, VALUE = "column", "value"
+#: Rows of a key column's table up to which values are looked up inside the task.
+FEW = 10_000
 
 
 def key_text(df: DataFrame, name: str) -> Column:
@@ -53,19 +58,65 @@ def _joined(keyed: DataFrame, table: DataFrame, outputs: dict, places: dict, wit
     return keyed
 
 
+def _found(parts: list, width: int):
+    """Task side: the values that the keys of whole Arrow batches have in small tables, as one struct per row.
+
+    A part is (place of its key, columns of its table, values, whether null is a
+    key); the first ``width`` columns, and arguments, are the ``within`` ones.
+    """
+    def run(*args: pa.Array) -> pa.Array:
+        made = []
+        for at, keys, values, null_safe in parts:
+            row, entry = pa.scalar(0, pa.int64()), pa.scalar(0, pa.int64())
+            for mine, theirs in zip([*args[:width], args[at]], keys):
+                distinct = theirs.unique()
+                row, entry = (pc.add(pc.multiply(place, max(len(distinct), 1)), pc.cast(
+                    pc.index_in(each, distinct, skip_nulls=not null_safe), pa.int64())) for place, each in ((row, mine), (entry, theirs)))
+            here = pc.index_in(row, entry, skip_nulls=True)
+            made += [v.take(here) for v in values]
+        return pa.StructArray.from_arrays(made, [f"f{i}" for i in range(len(made))])
+
+    return run
+
+
+def _looked_up(keyed: DataFrame, table: DataFrame, few: list, outputs: dict, places: dict, within, null_safe: bool) -> DataFrame:
+    """The parts of at most ``FEW`` rows: one pass over the rows for all of them."""
+    kinds = {f.name: f.dataType for f in table.schema.fields}
+    sources = list(dict.fromkeys(src for c in few for src in outputs[c].values()))
+    small = table.where(F.col(COLUMN).isin(few)).select(COLUMN, *within, VALUE, *sources).toArrow()  # bounded by FEW and the columns
+    parts, fields, names = [], [], []
+    for i, c in enumerate(few):
+        part = small.filter(pc.equal(small[COLUMN], c)).combine_chunks()
+        column = {n: pa.concat_arrays(part[n].chunks) if part[n].num_chunks else pa.array([], part[n].type) for n in part.column_names}
+        parts.append((len(within) + i, [column[w] for w in [*within, VALUE]], [column[src] for src in outputs[c].values()], null_safe))
+        for dst, src in outputs[c].items():
+            fields.append(StructField(f"f{len(fields)}", kinds[src]))
+            names.append(dst)
+    look = F.arrow_udf(_found(parts, len(within)), StructType(fields))
+    rows = keyed.withColumn("_found", look(*[F.col(w) for w in within], *[F.col(f"_key_{places[c]}") for c in few]))
+    return rows.select(*keyed.columns, *[F.col(f"_found.f{i}").alias(dst) for i, dst in enumerate(names)])
+
+
 def attach_long(df: DataFrame, table: DataFrame, outputs: dict[str, dict[str, str]], within=(),
                 null_safe: bool = True) -> DataFrame:
     """Join a (within, column, value, ...) table, once for each key column.
 
     ``outputs`` names, per key column of ``df``, the new columns and the table
     columns they come from.  The key texts are made in one projection before
-    the joins and left out in one after them.  Every part is joined in the same
-    way whatever its size; Catalyst broadcasts the parts that are small.
+    the joins and left out in one after them.  Key columns with at most ``FEW``
+    rows in the table are looked up together, batch by batch, so that the rows
+    do not pass a join for each of them; the others are joined, and Catalyst
+    broadcasts the parts that are small enough.  A key must be in the table once.
     """
     names = df.columns
     places = {c: i for i, c in enumerate(outputs)}
     keyed = df.select("*", *[key_text(df, c).alias(f"_key_{i}") for c, i in places.items()])
-    wide = _joined(keyed, table, outputs, places, within, null_safe)
+    sizes = {r[COLUMN]: r["n"] for r in table.groupBy(COLUMN).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per key column
+    plain = not any(is_floating(table.schema[w].dataType) for w in within)  # 0.0 and -0.0 are one key of a join
+    few = [c for c in outputs if plain and sizes.get(c, 0) <= FEW]
+    wide = _joined(keyed, table, {c: o for c, o in outputs.items() if c not in few}, places, within, null_safe)
+    if few:
+        wide = _looked_up(wide, table, few, outputs, places, within, null_safe)
     return wide.select(*names, *[dst for wanted in outputs.values() for dst in wanted])
 
 
