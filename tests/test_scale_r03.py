@@ -2,6 +2,7 @@
 
 import re
 
+from txloom.llm import passages
 from txloom.operators import blend, groupstats
 from txloom.operators.training import stacked_vectors
 from txloom.schema import KEY
@@ -54,3 +55,21 @@ def test_small_tables_are_looked_up_without_joins(spark, monkeypatch):
     monkeypatch.setattr(groupstats, "FEW", -1)
     joined = made()
     assert found(looked) == found(joined) == found(some)
+
+
+def test_passage_classes_hold_no_more_than_is_read(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, words), (2, f"other {words}"), (None, words), (3, f"{words} {words}")], "doc_id long, text string")
+    written, plain = {}, passages.settle
+
+    def settle(df, name, **options):
+        written[name] = plain(df, name, **options)
+        return written[name]
+
+    monkeypatch.setattr(passages, "settle", settle)
+    found = {(r["doc_id"], s["start"], s["end"]) for r in passages.repeated_passages(docs).collect() for s in r["spans"]}
+    whole, size = len(words), len(words) + 1
+    assert found == {(2, 6, 6 + whole), (None, 0, whole), (3, 0, whole), (3, size, size + whole)}
+    classes = written["classes"]
+    assert classes.schema["first"].dataType.names == ["no_id", "doc_id", "place", "at"]
+    assert classes.where("n = 1").count() > 0 and classes.where("n = 1 and whole is not null").count() == 0

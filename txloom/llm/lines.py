@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .passages import joined_spans, passage_spans
+from .passages import joined_spans, packed_span, passage_spans, span_end, span_start
 from .text import Words, mix, runs, slices, text_buffer
 
 MIN_WORDS = 5
@@ -77,10 +77,10 @@ def unit_spans(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = F
     units = unit_table(docs, paragraphs).where(F.col("words") >= min_words)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place", "start")
     first = units.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = units.join(first.drop("n"), ["high", "low"]).where(
+    later = units.select("high", "low", "doc_id", "place", packed_span()).join(first.drop("n"), ["high", "low"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
-          & (F.col("start") == F.col("first.start"))))
-    return later.select("doc_id", "place", "start", "end")
+          & (span_start() == F.col("first.start"))))
+    return later.select("doc_id", "place", span_start(), span_end())
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
