@@ -2,9 +2,16 @@
 
 import re
 
+import pytest
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
 from txloom.llm import passages
-from txloom.operators import blend, groupstats
-from txloom.operators.training import stacked_vectors
+from txloom.operators import blend, groupstats, training
+from txloom.operators.folds import kfold
+from txloom.operators.training import assemble, cross_validate, stacked_vectors
 from txloom.schema import KEY
 
 
@@ -73,3 +80,53 @@ def test_passage_classes_hold_no_more_than_is_read(spark, monkeypatch):
     classes = written["classes"]
     assert classes.schema["first"].dataType.names == ["no_id", "doc_id", "place", "at"]
     assert classes.where("n = 1").count() > 0 and classes.where("n = 1 and whole is not null").count() == 0
+
+
+def _predictions(spark):
+    """Two models, three folds, many equal predictions, keys of several rows or missing."""
+    rows = [(m, f, "valid" if k % 3 == f else "train", None if k == 50 else k // 2 if k < 20 else k, k % 7 % 2, (k * s % 5) / 5)
+            for m, s in (("a", 3), ("b", 4)) for f in range(3) for k in range(60)]
+    return spark.createDataFrame(rows, f"model string, fold int, role string, {KEY} long, label int, prediction double")
+
+
+def test_stackers_fit_what_differs_and_read_their_own_fold(spark, monkeypatch):
+    oof, seen = _predictions(spark), []
+    wide = oof.groupBy("fold", "role", KEY, "label").pivot("model", ["a", "b"]).agg(F.max("prediction"))
+    plain = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(wide)
+    want, distinct = {}, []
+    for f in range(3):
+        train = plain.where(f"fold = {f} and role = 'train'").cache()
+        distinct.append(train.select("label", "a", "b").distinct().count())
+        assert distinct[-1] < train.count()
+        model = LogisticRegression(regParam=1 / (0.5 * train.count()), elasticNetParam=0.0, standardization=False, tol=1e-8).fit(train)
+        scored = model.transform(plain.where(f"fold = {f}"))
+        want.update({(f, r["role"], r[KEY], r["label"]): r["p"] for r in scored.select(
+            "role", KEY, "label", vector_to_array("probability")[1].alias("p")).collect()})
+    fit = LogisticRegression._fit
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    done, tested = blend.stack_models(oof, ["a", "b"], 0.5, oof.where("role = 'valid'").drop("role", "label"))
+    assert sorted(seen) == sorted(distinct)
+    got = {(r["fold"], r["role"], r[KEY], r["label"]): r["prediction"] for r in done.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-4
+    for made in (done.where("role = 'valid'"), tested):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"PartitionFilters: \[[^\]]*fold", plan)) == 3
+    monkeypatch.undo()
+    holed = oof.withColumn("prediction", F.when((F.col("model") == "b") & (F.col(KEY) == 30), None).otherwise(F.col("prediction")))
+    with pytest.raises(Exception, match="no prediction of model b"):
+        blend.stack_folds(holed, ["a", "b"]).collect()
+
+
+def test_cross_validation_writes_a_row_once(spark, monkeypatch):
+    rows = spark.range(90).selectExpr(f"if(id = 7, null, id div 2) as {KEY}", "cast(id % 2 as int) as isFraud", "id % 3 as a", "id % 5 as b")
+    written, plain = {}, training.settle
+
+    def settle(df, name, **options):
+        written[name] = plain(df, name, **options)
+        return written[name]
+
+    monkeypatch.setattr(training, "settle", settle)
+    train, models = assemble(rows, ["a", "b"], [KEY, "isFraud"]), {n: NaiveBayes(labelCol="isFraud", smoothing=s) for n, s in (("x", 1.0), ("y", 2.0))}
+    oof, _, tested = cross_validate(models, train, kfold(rows, 3), train.drop("isFraud"))
+    assert oof.count() == tested.count() == 90 * 3 * 2
+    assert written["oof"].count() == written["tested"].count() == 90

@@ -7,8 +7,7 @@ with fold, role and label.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import KEY, LABEL, SPLIT
@@ -16,6 +15,7 @@ from ..session import settle
 from .lookup import attach
 from .metrics import auc
 from .ordered import average_rank, group_quantile, row_index
+from .training import fit_all
 
 
 def mean_blend(predictions: DataFrame, by=(KEY,), compat: bool = False) -> DataFrame:
@@ -116,10 +116,10 @@ def wide_predictions(oof: DataFrame, models, by) -> DataFrame:
     return oof.groupBy(*by).agg(*[F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(m) for m in models])
 
 
-def stacker(c: float, n: int) -> LogisticRegression:
-    """Logistic regression with the penalty of inverse strength ``c`` (summed loss) on ``n`` rows."""
-    return LogisticRegression(featuresCol="_models", labelCol="label", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                              standardization=False, maxIter=100, tol=1e-8)
+def stacker(c: float, n: int, weight: str = "_rows") -> LogisticRegression:
+    """Logistic regression with the penalty of inverse strength ``c`` (summed loss) on ``n`` rows, ``weight`` equal ones in each."""
+    return LogisticRegression(featuresCol="_models", labelCol="label", weightCol=weight, regParam=1.0 / (c * n),
+                              elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8)
 
 
 def stack_models(oof: DataFrame, models, c: float = 0.01,
@@ -131,30 +131,47 @@ def stack_models(oof: DataFrame, models, c: float = 0.01,
     holds (model, fold, key, prediction).  Returns (fold, role, key, label,
     prediction) and, of the test rows, (fold, key, prediction).
     """
-    vectors, counts = stack_input(oof, models)
-    unseen = None if tested is None else _gathered(settle(wide_predictions(tested, models, ["fold", KEY]), "stack-test"), models)
-    return _stacked(vectors, counts, c, unseen)
+    unseen = None if tested is None else _by_fold(wide_predictions(tested, models, ["fold", KEY]), models, "stack-test")
+    return _stacked(*stack_input(oof, models), c, unseen)
 
 
-def _gathered(wide: DataFrame, models) -> DataFrame:
-    return VectorAssembler(inputCols=list(models), outputCol="_models").transform(wide)
+def _by_fold(wide: DataFrame, models, name: str) -> DataFrame:
+    """``wide`` written with files per fold, and the vector of the models' predictions; one that is missing or NaN is an error.
+
+    The vector is made by expressions that filters pass, so a fold reads its
+    own rows only; ``VectorAssembler`` would make vectors of all rows first.
+    """
+    def known(m: str) -> Column:
+        unknown = F.raise_error(F.lit(f"a row has no prediction of model {m}")).cast("double")
+        return F.when(F.col(m).isNull() | F.isnan(m), unknown).otherwise(F.col(m).cast("double"))
+
+    written = settle(wide, name, "fold", rebalance=False)
+    return written.withColumn("_models", array_to_vector(F.array(*[known(m) for m in models])))
 
 
-def stack_input(oof: DataFrame, models) -> tuple[DataFrame, dict]:
-    """Rows (fold, role, key, label, vector of the models' predictions) and the training rows per fold."""
-    wide = settle(wide_predictions(oof, models, ["fold", "role", KEY, "label"]), "stack")
-    counts = {r["fold"]: r["n"] for r in wide.where("role = 'train'").groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    return _gathered(wide.withColumn("label", F.col("label").cast("double")), models), counts
+def stack_input(oof: DataFrame, models) -> tuple[DataFrame, DataFrame, dict]:
+    """Rows (fold, role, key, label, vector of the models' predictions), the training rows and their number per fold.
+
+    Training rows of a fold with the same label and predictions are one row
+    with their number, which a fit takes as weight: its steps read what
+    differs, never more than the rows.
+    """
+    wide = wide_predictions(oof, models, ["fold", "role", KEY, "label"]).withColumn("label", F.col("label").cast("double"))
+    vectors = _by_fold(wide, models, "stack")
+    train = _by_fold(vectors.where("role = 'train'").groupBy("fold", "label", *models).agg(
+        F.count(F.lit(1)).cast("double").alias("_rows")), models, "stack-train")
+    counts = {r["fold"]: int(r["n"]) for r in train.groupBy("fold").agg(F.sum("_rows").alias("n")).collect()}  # one row per fold
+    return vectors, train, counts
 
 
-def _stacked(vectors: DataFrame, counts: dict, c: float, unseen: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _stacked(vectors: DataFrame, train: DataFrame, counts: dict, c: float,
+             unseen: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     score = vector_to_array("probability")[1].alias("prediction")
     out = out_test = None
-    for fold, n in sorted(counts.items()):
-        rows = vectors.where(F.col("fold") == fold)
-        model = stacker(c, n).fit(rows.where("role = 'train'"))
-        scored = model.transform(rows).select("fold", "role", KEY, "label", score)
+    folds = sorted(counts)
+    fitted = fit_all([(stacker(c, counts[f]), f) for f in folds], lambda f: train.where(F.col("fold") == f), 4, vectors.sparkSession)
+    for fold, model in zip(folds, fitted):
+        scored = model.transform(vectors.where(F.col("fold") == fold)).select("fold", "role", KEY, "label", score)
         out = scored if out is None else out.unionByName(scored)
         if unseen is not None:
             part = model.transform(unseen.where(F.col("fold") == fold)).select("fold", KEY, score)
@@ -178,8 +195,8 @@ def stacking_score(oof: DataFrame, models, c: float) -> float:
 
 def tune_stacking(oof: DataFrame, models, grid=(0.01, 0.1, 1.0)) -> dict[float, float]:
     """The score of :func:`stacking_score` for each strength; the predictions are put side by side once for all of them."""
-    vectors, counts = stack_input(oof, models)
-    return {c: _valid_score(_stacked(vectors, counts, c)[0]) for c in grid}
+    made = stack_input(oof, models)
+    return {c: _valid_score(_stacked(*made, c)[0]) for c in grid}
 
 
 def hill_climb(oof: DataFrame, models, steps: int = 10, key: str = KEY, label: str = "label",

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import KEY, LABEL
-from ..session import settle
+from ..session import parallelism as session_parallelism, settle
 from .folds import kfold, stratified_kfold
 from .metrics import METRICS, auc, metric_value
 
@@ -114,10 +114,11 @@ def cross_validate(models: dict, train: DataFrame, folds: DataFrame, test: DataF
     ``by_fold`` may change an estimator for a fold.
 
     Fits run side by side; all fitted models score the rows in one pass, so the
-    number of scans does not depend on folds or models.  Returns rows (model,
-    fold, role, key, label, prediction), scores (model, fold, train_auc,
-    valid_auc), and, if ``test`` is given, the test predictions (model, fold,
-    key, prediction).
+    number of scans does not depend on folds or models.  What is written is one
+    row per row with all its predictions; the long rows are made of it when
+    they are read.  Returns rows (model, fold, role, key, label, prediction),
+    scores (model, fold, train_auc, valid_auc), and, if ``test`` is given, the
+    test predictions (model, fold, key, prediction).
     """
     spark = train.sparkSession
     members, numbers = fold_members(folds, key)
@@ -135,16 +136,17 @@ def cross_validate(models: dict, train: DataFrame, folds: DataFrame, test: DataF
     def role(f: int) -> list:
         return [F.when(F.array_contains("_valid", f), "valid").when(F.array_contains("_train", f), "train").alias("role")]
 
-    rows = long(predict_all(fitted, data, [key, label, "_train", "_valid"]), [key, label], role)
-    oof = settle(rows.where("_s.role is not null").select(
-        "_s.model", "_s.fold", "_s.role", key, F.col(label).cast("double").alias("label"), "_s.prediction"), "oof")
+    rows = long(settle(predict_all(fitted, data, [key, label, "_train", "_valid"]), "oof"), [key, label], role)
+    oof = rows.where("_s.role is not null").select(
+        "_s.model", "_s.fold", "_s.role", key, F.col(label).cast("double").alias("label"), "_s.prediction")
     scores = auc(oof, by=["model", "fold", "role"]).groupBy("model", "fold").agg(
         F.max(F.when(F.col("role") == "train", F.col("auc"))).alias("train_auc"),
         F.max(F.when(F.col("role") == "valid", F.col("auc"))).alias("valid_auc"))
     if test is None:
         return oof, scores, None
-    tested = long(predict_all(fitted, test, [key]), [key], lambda f: [])
-    return oof, scores, settle(tested.select("_s.model", "_s.fold", key, "_s.prediction"), "tested")
+    spread = test.repartition(session_parallelism(spark))  # a table in order of time has its test rows in few files
+    tested = long(settle(predict_all(fitted, spread, [key]), "tested"), [key], lambda f: [])
+    return oof, scores, tested.select("_s.model", "_s.fold", key, "_s.prediction")
 
 
 def mean_score(scores: DataFrame) -> DataFrame:
