@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from txloom.llm import passages
+from txloom.llm import columns, passages
 from txloom.operators import blend, groupstats, training
 from txloom.operators.folds import kfold
 from txloom.operators.training import assemble, cross_validate, stacked_vectors
@@ -82,6 +82,28 @@ def test_passage_classes_hold_no_more_than_is_read(spark, monkeypatch):
     assert classes.where("n = 1").count() > 0 and classes.where("n = 1 and whole is not null").count() == 0
 
 
+def test_a_frequent_gram_is_split_over_tasks(spark, monkeypatch):
+    rare = [(k, "".join(chr(97 + (k * 7 + i * i) % 26) for i in range(30))) for k in range(300)]
+    docs = spark.createDataFrame(rare + [(1000 + k, f"{k:05d}" + "ab" * 400) for k in range(100)] + [(None, rare[0][1])],
+                                 "doc_id long, text string").repartition(8)
+    plain, seen = columns._pieces, []
+    monkeypatch.setattr(columns, "_pieces", lambda d, chosen, n: seen.append(chosen) or plain(d, chosen, n))
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+               "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+               "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        columns.repeated_spans(docs, 20, 6)
+        rows = seen[0].collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert max(r["n"] for r in rows) > 20_000 and all(r["n"] > 1 for r in rows)
+    assert "skew=true" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def _predictions(spark):
     """Two models, three folds, many equal predictions, keys of several rows or missing."""
     rows = [(m, f, "valid" if k % 3 == f else "train", None if k == 50 else k // 2 if k < 20 else k, k % 7 % 2, (k * s % 5) / 5)
