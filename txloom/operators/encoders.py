@@ -21,9 +21,13 @@ from .ordered import row_index
 MISSING_CODE = -999
 
 
-def _replaced(df: DataFrame, table: DataFrame, columns, source: str, value) -> DataFrame:
-    """Listed columns replaced by ``value(name, found)``; ``found`` is the table's ``source`` column."""
-    found = attach_long(df, table, {c: {f"_f_{c}": source} for c in columns}, null_safe=False)
+def _replaced(df: DataFrame, table: DataFrame, columns, source: str, value, old: bool = False) -> DataFrame:
+    """Listed columns replaced by ``value(name, found)``; ``found`` is the table's ``source`` column.
+
+    ``old``: the expression reads the column it replaces as well.
+    """
+    kept = df.columns if old else [c for c in df.columns if c not in columns]
+    found = attach_long(df, table, {c: {f"_f_{c}": source} for c in columns}, null_safe=False, kept=kept)
     new = {c: value(c, F.col(f"_f_{c}")).alias(c) for c in columns}
     return found.select(*[new.get(c, F.col(c)) for c in df.columns])
 
@@ -54,7 +58,7 @@ def split_category_counts(df: DataFrame, column: str) -> DataFrame:
 
 def apply_limit(df: DataFrame, table: DataFrame, columns, unknown: str = UNKNOWN) -> DataFrame:
     return _replaced(df, table, columns, "kept", lambda c, kept: F.when(kept, F.col(c).cast("string")).otherwise(
-        unknown))
+        unknown), old=True)
 
 
 def category_limit(df: DataFrame, columns, limit: int = 0, most: int | None = None, both: bool = True,

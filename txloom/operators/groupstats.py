@@ -16,9 +16,9 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.canon import canonical
 from ..functions.ratios import ratio
-from ..schema import ADDRS, AMOUNT, CARDS, ID_COLS, KEY, SPLIT, TIME, is_floating
+from ..schema import ADDRS, AMOUNT, CARDS, ID_COLS, KEY, ROW, SPLIT, TIME, is_floating
 from ..session import settle
-from .lookup import attach
+from .lookup import attach, attach_found
 
 COLUMN, VALUE = "column", "value"
 #: Rows of a key column's table up to which values are looked up inside the task.
@@ -43,7 +43,7 @@ def frequency_table(df: DataFrame, columns, within=()) -> DataFrame:
     return long_values(df, columns, within).groupBy(*within, COLUMN, VALUE).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _joined(keyed: DataFrame, table: DataFrame, outputs: dict, places: dict, within, null_safe: bool) -> DataFrame:
+def _joined(keyed: DataFrame, table: DataFrame, outputs: dict, places: dict, within, null_safe: bool, how: str = "left") -> DataFrame:
     for c, wanted in outputs.items():
         i = places[c]
         part = table.where(F.col(COLUMN) == c).select(
@@ -54,10 +54,27 @@ def _joined(keyed: DataFrame, table: DataFrame, outputs: dict, places: dict, wit
         for w in within:
             same = F.col(w).eqNullSafe(F.col(f"_on_{i}_{w}")) if null_safe else F.col(w) == F.col(f"_on_{i}_{w}")
             test = test & same
-        keyed = keyed.join(part, test, "left")
+        keyed = keyed.join(part, test, how)
     return keyed
 
 
+def _shuffled(table: DataFrame, column: str) -> bool:
+    """Whether the part of a key column is too large for a broadcast."""
+    spark = table.sparkSession
+    size = table.where(F.col(COLUMN) == column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) > spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def _by_row(df: DataFrame, source: DataFrame, table: DataFrame, outputs: dict, within, null_safe: bool) -> DataFrame:
+    """The parts of large key columns: number and key alone are shuffled by key, what is found goes to the row."""
+    found = []
+    for c, wanted in outputs.items():
+        cells = source.select(ROW, *within, key_text(source, c).alias("_key_0"))
+        hits = _joined(cells, table, {c: wanted}, {c: 0}, within, null_safe, "inner")
+        found.append(hits.select(ROW, *wanted))
+    return attach_found(df, found)
+
+
 def _found(parts: list, width: int):
     """Task side: the values that the keys of whole Arrow batches have in small tables, as one struct per row.
 
@@ -98,7 +115,7 @@ def _looked_up(keyed: DataFrame, table: DataFrame, few: list, outputs: dict, pla
 
 
 def attach_long(df: DataFrame, table: DataFrame, outputs: dict[str, dict[str, str]], within=(),
-                null_safe: bool = True) -> DataFrame:
+                null_safe: bool = True, source: DataFrame | None = None, kept=None) -> DataFrame:
     """Join a (within, column, value, ...) table, once for each key column.
 
     ``outputs`` names, per key column of ``df``, the new columns and the table
@@ -106,28 +123,36 @@ def attach_long(df: DataFrame, table: DataFrame, outputs: dict[str, dict[str, st
     the joins and left out in one after them.  Key columns with at most ``FEW``
     rows in the table are looked up together, batch by batch, so that the rows
     do not pass a join for each of them; the others are joined, and Catalyst
-    broadcasts the parts that are small enough.  A key must be in the table once.
+    broadcasts the parts that are small enough.  Where the rows have numbers
+    (a column ``ROW``), they do not pass the joins that need a shuffle
+    either; ``source`` may give the same numbers and key columns by a cheaper
+    plan.  ``kept`` are the columns of ``df`` to return, all if not given.  A key
+    must be in the table once.
     """
-    names = df.columns
+    names = df.columns if kept is None else list(kept)
     places = {c: i for i, c in enumerate(outputs)}
-    keyed = df.select("*", *[key_text(df, c).alias(f"_key_{i}") for c, i in places.items()])
     sizes = {r[COLUMN]: r["n"] for r in table.groupBy(COLUMN).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per key column
     plain = not any(is_floating(table.schema[w].dataType) for w in within)  # 0.0 and -0.0 are one key of a join
     few = [c for c in outputs if plain and sizes.get(c, 0) <= FEW]
-    wide = _joined(keyed, table, {c: o for c, o in outputs.items() if c not in few}, places, within, null_safe)
+    large = [c for c in outputs if c not in few and ROW in names and _shuffled(table, c)]
+    keyed = df.select("*", *[key_text(df, c).alias(f"_key_{i}") for c, i in places.items() if c not in large])
     if few:
-        wide = _looked_up(wide, table, few, outputs, places, within, null_safe)
+        keyed = _looked_up(keyed, table, few, outputs, places, within, null_safe)
+    wide = _joined(keyed, table, {c: o for c, o in outputs.items() if c not in [*few, *large]}, places, within, null_safe)
+    if large:
+        wide = wide.select(*names, *[dst for c, wanted in outputs.items() if c not in large for dst in wanted])
+        wide = _by_row(wide, df if source is None else source, table, {c: outputs[c] for c in large}, within, null_safe)
     return wide.select(*names, *[dst for wanted in outputs.values() for dst in wanted])
 
 
 def count_encode(df: DataFrame, columns, suffix: str = "_count_full", within=(), counted=None) -> DataFrame:
     """``<c><suffix>`` = number of rows (per ``within`` group) with the row's value; null is a value.
 
-    ``counted`` may give the same rows by a cheaper plan that has just these columns.
+    ``counted`` may give the same rows by a cheaper plan that has just these columns (and ``ROW``, if ``df`` has it).
     """
     columns = [c for c in columns if c in df.columns]
     table = settle(frequency_table(df if counted is None else counted, columns, within), "counts", COLUMN)
-    return attach_long(df, table, {c: {c + suffix: "n"} for c in columns}, within)
+    return attach_long(df, table, {c: {c + suffix: "n"} for c in columns}, within, source=counted)
 
 
 def card_counts(df: DataFrame, counted=None) -> DataFrame:
@@ -186,7 +211,7 @@ def group_ratios(df: DataFrame, pairs=GROUP_RATIOS, within=(SPLIT,), on_zero: st
     columns, ratios = df.columns, {}
     outputs = {k: {f"_{v}_{s}_{k}": f"{v}_{s}" for v in values for s in ("mean", "std") if (v, k) in pairs}
                for k in keys}
-    df = attach_long(df, table, outputs, within, null_safe=False)
+    df = attach_long(df, table, outputs, within, null_safe=False, source=counted)
     for v, k in pairs:
         for s in ("mean", "std"):
             ratios[f"{v}_to_{s}_{k}"] = ratio(v, f"_{v}_{s}_{k}", on_zero)
@@ -206,20 +231,27 @@ def fingerprint(columns) -> Column:
     return F.when(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull(), F.sha2(text, 256))
 
 
-def user_stats(df: DataFrame, ids=None, amount: str = AMOUNT, time: str = TIME, key: str = KEY) -> DataFrame:
+def user_stats(df: DataFrame, ids=None, amount: str = AMOUNT, time: str = TIME, key: str = KEY, counted=None) -> DataFrame:
     """Count, mean and deviation of the amount over all rows with the same identity columns.
 
-    Rows without identity get nulls.  There may be many: for the join their
+    Rows without identity get nulls.  There may be many: where the rows have
+    numbers (``ROW``), only those with an identity are shuffled, and without their other
+    columns; ``counted`` may give the same rows by a cheaper plan.  Otherwise, for the join, a
     missing fingerprint is replaced by a text of the row's own that matches
     nothing, so that they do not meet in one task.
     """
     ids = [c for c in (ids or ID_COLS) if c in df.columns]
-    marked = df.withColumn("_user", fingerprint(ids))
-    stats = marked.where(F.col("_user").isNotNull()).groupBy("_user").agg(
+    marked = (df if counted is None else counted).withColumn("_user", fingerprint(ids))
+    named = marked.where(F.col("_user").isNotNull())
+    if ROW in df.columns:
+        named = named.select(ROW, time, amount, F.unhex("_user").alias("_user"))
+    stats = named.groupBy("_user").agg(
         F.count(time).cast("bigint").alias("user_trx_cnt"),
         F.avg(amount).alias("user_TransactionAmt_mean"),
         F.stddev_samp(amount).alias("user_TransactionAmt_std"),
     )
+    if ROW in df.columns:
+        return attach_found(df, [attach(named.select(ROW, "_user"), stats, {"_user": "_user"}, how="inner").drop("_user")])
     nobody = F.concat(F.lit("none-"), F.xxhash64(key, time, amount).cast("string"))
-    spread = marked.withColumn("_user", F.coalesce("_user", nobody))
+    spread = df.withColumn("_user", F.coalesce(fingerprint(ids), nobody))
     return attach(spread, stats, {"_user": "_user"}).drop("_user")

@@ -14,12 +14,8 @@ from ..operators.correlation import pruned_ratios
 from ..operators.encoders import apply_codes, label_encode, shared_dictionary
 from ..operators.groupstats import COLUMN, COUNT_PER_SPLIT, card_counts, categorical_counts, group_ratios, split_counts, user_stats
 from ..operators.impute import fill_constant, impute
-from ..schema import ADDRS, CARDS, KEY, LABEL, SPLIT, TIME, declare_categorical, infer_roles, numeric_columns
-from ..session import settle
-
-
-#: Number that each row gets for itself.
-ROW = "_row"
+from ..schema import ADDRS, CARDS, KEY, LABEL, ROW, SPLIT, TIME, declare_categorical, infer_roles, numeric_columns
+from ..session import release, scratch, settle
 
 
 @dataclass(frozen=True)
@@ -50,37 +46,51 @@ def row_features(df: DataFrame, options: FeatureOptions = FeatureOptions(), unco
     return pair_features(df, [p for p in options.pairs if p[0] in df.columns and p[1] in df.columns])
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, each row with a number of its own: keys may repeat or be missing."""
+    return settle(df.withColumn(ROW, F.monotonically_increasing_id()), name, compression="zstd")
+
+
 def group_features(df: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
     """Statistics over groups of rows, computed on a narrow copy of the table.
 
     Only the columns these features read take part in the shuffles; the wide
-    rows are joined once, at the end.  No row is lost or repeated, whatever its key.
+    rows travel in blocks of neighbours.  No row is lost or repeated, whatever its key.
     """
     wanted = [KEY, SPLIT, TIME, "TransactionAmt", "D15", *CARDS, *ADDRS,
               *[c for c in df.columns if c.startswith("id_") and c[3:].isdigit()]]
-    # Keys may repeat or be missing: a number of its own ties a row to its features.
-    numbered = settle(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    slim = numbered.select(ROW, *[c for c in dict.fromkeys(wanted) if c in df.columns])
-    made = slim.transform(user_stats).transform(lambda d: card_counts(d, slim)).transform(
-        lambda d: group_ratios(d, on_zero=options.on_zero, counted=slim))
-    added = [c for c in made.columns if c not in slim.columns]
-    return numbered.join(made.select(ROW, *added), ROW, "left").drop(ROW)
+    rows = numbered(df, "numbered")
+    slim = rows.select(ROW, *[c for c in dict.fromkeys(wanted) if c in df.columns])
+    return rows.transform(lambda d: user_stats(d, counted=slim)).transform(lambda d: card_counts(d, slim)).transform(
+        lambda d: group_ratios(d, on_zero=options.on_zero, counted=slim)).drop(ROW)
+
+
+def prepared_rows(joined: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
+    """Group and row features, written with a number per row; what was written on the way is deleted."""
+    with scratch(joined.sparkSession) as made:
+        grouped = group_features(joined, options)
+        later = [c for c in grouped.columns if c not in joined.columns and not c.startswith("user_")]
+        return made.keep(numbered(row_features(grouped, options, later), "rows"))
 
 
 def encoded_features(df: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
-    """All categorical columns as codes of one dictionary, then counts of the codes per split."""
+    """All categorical columns as codes of one dictionary, then counts of the codes per split.
+
+    Rows with numbers (``ROW``) lose them at the end and pass no shuffle but in blocks.
+    """
     flags = [f.name for f in df.schema.fields if f.dataType.typeName() == "boolean"]
     df = df.withColumns({c: F.col(c).cast("int") for c in flags})
-    coded = list(declare_categorical(df, infer_roles(df)).categorical)
+    coded = list(declare_categorical(df.drop(ROW), infer_roles(df.drop(ROW))).categorical)
     dictionary = settle(shared_dictionary(df, coded), "dictionary", COLUMN)
     out = apply_codes(df, dictionary, coded)
     if options.per_split_counts:
         counted = [c for c in COUNT_PER_SPLIT if c in df.columns]
         # The codes of the counted columns alone: the rows need not pass the joins of all columns twice.
-        slim = apply_codes(df.select(SPLIT, *counted), dictionary, [c for c in counted if c in coded])
+        number = [c for c in df.columns if c == ROW]
+        slim = apply_codes(df.select(*number, SPLIT, *counted), dictionary, [c for c in counted if c in coded])
         out = split_counts(out, counted, slim)
         out = categorical_counts(out, compat=True, counted=slim) if options.compat and "id_35" in counted else out
-    return out
+    return out.drop(ROW)
 
 
 def model_input(df: DataFrame, options: FeatureOptions = FeatureOptions()) -> tuple[DataFrame, dict]:
@@ -100,10 +110,9 @@ def model_input(df: DataFrame, options: FeatureOptions = FeatureOptions()) -> tu
 def feature_table(joined: DataFrame, options: FeatureOptions = FeatureOptions()) -> DataFrame:
     """Key, split, label and all features.  The group features see the raw rows, as they must:
     counts come before codes, and codes before the counts of codes."""
-    grouped = group_features(joined, options)
-    later = [c for c in grouped.columns if c not in joined.columns and not c.startswith("user_")]
-    rows = settle(row_features(grouped, options, later), "rows")
-    coded = settle(encoded_features(rows, options), "coded")
+    with scratch(joined.sparkSession) as made:
+        coded = made.keep(settle(encoded_features(prepared_rows(joined, options), options), "coded", compression="zstd"))
+    release(joined.sparkSession)
     return model_input(coded, options)[0]
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from ..plans.features import encoded_features, feature_table, group_features, row_features
+from ..plans.features import encoded_features, feature_table, prepared_rows
 from ..schema import ADDRS, CARDS
-from ..session import settle
 from .features import EMAIL_SQL, H, PAIR_SQL, PAIRS, _DOW, _HOD
 from .fixtures import _IDENT, _TX, joined, sql
 from .groups import RATIO_SQL, USER_SQL
@@ -67,10 +66,7 @@ def _chain_sql() -> str:
 @query("e1_coded_features", sql(_chain_sql(), "joined"))
 def coded_features(spark, folder):
     """The chain up to the codes and their counts, every column checked."""
-    rows = joined(spark, folder)
-    grouped = group_features(rows)
-    later = [c for c in grouped.columns if c not in rows.columns and not c.startswith("user_")]
-    return tidy(encoded_features(settle(row_features(grouped, uncounted=later), "rows")))
+    return tidy(encoded_features(prepared_rows(joined(spark, folder))))
 
 
 @query("e1_feature_table")

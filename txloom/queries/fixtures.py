@@ -136,7 +136,13 @@ def ident(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def joined(spark: SparkSession, folder: str) -> DataFrame:
-    return tx(spark, folder).join(ident(spark, folder), "TransactionID", "left")
+    """``tx`` with its ``ident`` row, if it has one; the join moves the columns of the tables, the views are made of its rows."""
+    k, dt = _EVENTS["spark"]
+    events = table(spark, folder, "events").selectExpr("*", f"{k} as k", f"{dt} as dt")
+    customers = table(spark, folder, "customer").selectExpr("*", f"{_IDENT['TransactionID']} as _of")
+    both = events.join(customers, F.col(_TX["TransactionID"]) == F.col("_of"), "left")
+    found = {n: F.when(F.col("_of").isNotNull(), F.expr(_cast(n, e))) for n, e in _IDENT.items() if n != "TransactionID"}
+    return both.select(*[F.expr(_cast(n, e)).alias(n) for n, e in _TX.items()], *[e.alias(n) for n, e in found.items()])
 
 
 def oof(spark: SparkSession, folder: str) -> DataFrame:

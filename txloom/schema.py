@@ -21,6 +21,8 @@ AMOUNT = "TransactionAmt"
 LABEL = "isFraud"
 SPLIT = "split"
 UNKNOWN = "unknown"
+#: Number that each row gets for itself.
+ROW = "_row"
 
 CARDS = [f"card{i}" for i in range(1, 7)]
 ADDRS = ["addr1", "addr2"]
