@@ -2,11 +2,13 @@
 
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from txloom import session
-from txloom.operators import encoders, groupstats
+from txloom.operators import correlation, encoders, groupstats
 from txloom.plans.features import encoded_features, prepared_rows
 from txloom.queries.fixtures import joined
 from txloom.schema import ROW
@@ -47,3 +49,28 @@ def test_steps_delete_what_they_wrote(spark, no_broadcast):
     folder = session.shared_dir(spark)
     assert not [f for f in os.listdir(folder) if f.startswith(("numbered-", "groupstats-")) and f"{folder}/{f}" not in given]
     assert encoded_features(rows).count() == 1000
+
+
+@pytest.mark.parametrize("size,apart", [(1_000_000, None), (2_000, {"a": 0, "b": 0})])
+def test_ranks_are_moved_in_blocks(spark, monkeypatch, size, apart):
+    monkeypatch.setattr(correlation, "CHUNK_CELLS", size)
+    draw = np.random.default_rng(1)
+    pdf = pd.DataFrame({"a": np.round(draw.normal(size=12_000), 2), "b": draw.normal(size=12_000), "c": draw.integers(-1, 2, 12_000) * 1.0})
+    pdf["d"] = np.where(draw.random(12_000) < 0.3, np.nan, pdf["a"] ** 3 + draw.normal(size=12_000))
+    pdf["e"] = np.where(draw.random(12_000) < 0.3, np.nan, pdf["b"] - pdf["a"])
+    written, plain = {}, correlation.settle
+
+    def settle(df, name, **options):
+        written[name] = plain(df, name, **options)
+        if name == "ranks":
+            assert written[name].where("slice >= 0").agg(F.sum("n")).first()[0] == int(pdf.notna().to_numpy().sum())
+        return written[name]
+
+    monkeypatch.setattr(correlation, "settle", settle)
+    got = {(r["col_i"], r["col_j"]): r["rho"] for r in correlation.spearman_pairs(spark.createDataFrame(pdf), list("abcde"), apart=apart).collect()}
+    want = pdf.corr(method="spearman")
+    assert set(got) == {(x, y) for i, x in enumerate("abcde") for y in "abcde"[i + 1:]} - ({("a", "b")} if apart else set())
+    assert all(abs(rho - want.loc[pair]) < 1e-9 for pair, rho in got.items())
+    blocks = written["ranks"].count()
+    assert blocks < (100 if size > 12_000 else 1_000)
+    assert not [p for p in session._GIVEN if "/finite-" in p]

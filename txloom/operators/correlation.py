@@ -3,11 +3,16 @@
 Two columns are ranked on the rows where both are present.  Columns present in
 the same rows form a class, so a column needs one rank per class and not one
 per partner.  The values of all columns are dealt out once in the order
-(column, value, row); a sweep over a sorted chunk gives the ranks inside the
+(column, value); a sweep over a sorted chunk gives the ranks inside the
 chunk for all classes, and what a chunk holds of a column, a few numbers, gives
 the ranks of the column.  A second exchange brings the values of a row
 together; a task adds up products of ranks as matrices, and the matrices, one
 per block of columns and task, are summed in two steps.
+
+Nothing is shuffled cell by cell: the cells that a slice of neighbouring rows
+has in a chunk are one compressed block, sorted by value.  In this order
+values and ranks rise, so their differences are what is stored, and a cell
+is known by its place in the slice.
 """
 
 from __future__ import annotations
@@ -21,18 +26,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ratios import amount_ratios, pairwise_ratios
 from ..schema import C_COLS, D_COLS, V_COLS
-from ..session import parallelism, settle
-from .ordered import CHUNK, DRAWN, chunked, running_totals
+from ..session import parallelism, scratch, settle
+from .ordered import DRAWN, running_totals
 
 # Columns whose sums a task hands over in one row.
 BLOCK_COLUMNS = 512
-# Ranks that a task multiplies at once, and values that it writes at once.
+# Ranks that a task multiplies at once.
 HELD_RANKS = 4_000_000
-WRITTEN = 20_000
+# Values of a column that a task sorts at once, and blocks that it writes at once.
+CHUNK_CELLS = 1_000_000
+WRITTEN = 500
 # First step of the sum: so many parts per block.
 PARTS = 16
-_INSIDE, _FIRST, _LAST, _TOTALS = range(4)
-CELLS = "row bigint, c int, chunk int, edge int, ranks binary"
+DEALT = "chunk int, slice bigint, n int, data binary"
+RANKED = "slice bigint, chunk int, n int, first int, last int, data binary"
 SUMS = "block int, part int, sums binary"
 PAIRS = "col_i string, col_j string, n bigint, rho double"
 
@@ -48,8 +55,8 @@ def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.where(np.isfinite(flat), flat, np.nan)
 
 
-def _presence_classes(work: DataFrame, width: int) -> list[list[int]]:
-    """Columns grouped by the set of rows in which they are present.
+def _presence_classes(work: DataFrame, width: int) -> tuple[list[list[int]], dict[int, int]]:
+    """Columns grouped by the set of rows in which they are present, and in how many each is.
 
     A set is known by its size and two sums of row hashes; a task hands over one
     row per column.
@@ -69,23 +76,31 @@ def _presence_classes(work: DataFrame, width: int) -> list[list[int]]:
     sums = work.mapInArrow(count, "c bigint, h1 bigint, h2 bigint, n bigint").groupBy("c").agg(
         *[F.sum(F.col(x).cast("decimal(38,0)")).alias(x) for x in ("n", "h1", "h2")])
     classes: dict[tuple, list[int]] = {}
-    for r in sums.where("n > 0").orderBy("c").collect():  # one row per column
+    found = sums.where("n > 0").orderBy("c").collect()  # one row per column
+    for r in found:
         classes.setdefault((r["n"], r["h1"], r["h2"]), []).append(r["c"])
-    return list(classes.values())
+    return list(classes.values()), {r["c"]: int(r["n"]) for r in found}
 
 
 @dataclass
 class Layout:
-    """Which ranks a column needs (``wanted``: its classes) and what the pairs are."""
+    """Which ranks a column needs (``wanted``: its classes) and what the pairs are.
+
+    ``dealt`` are the columns with a partner, ``leaders`` one of them for each class.
+    """
 
     names: list[str]
     classes: list[list[int]]
     own_ranks: bool
     goal: int | None = None
+    apart: dict[str, int] | None = None
     block: int = 0
     held: int = 0
+    bits: int = 0
     home: list[int] = field(default_factory=list)
     wanted: list[list[int]] = field(default_factory=list)
+    dealt: list[int] = field(default_factory=list)
+    leaders: list[int | None] = field(default_factory=list)
 
     def __post_init__(self):
         self.block, self.held = self.block or BLOCK_COLUMNS, self.held or HELD_RANKS
@@ -93,108 +108,178 @@ class Layout:
         for k, members in enumerate(self.classes):
             for c in members:
                 self.home[c] = k
-        every = list(range(len(self.classes)))
-        if self.goal is not None and not self.own_ranks:  # others meet the target alone
-            self.wanted = [every if c == self.goal else [self.home[self.goal]] for c in range(len(self.names))]
-        else:
-            self.wanted = [every] * len(self.names)
-
-
-def _cells(layout: Layout):
-    """Task side: (c, x, row, bits) of all values; ``bits`` says which classes the row has."""
-    width = len(layout.names)
-    used = np.array(sorted(c for members in layout.classes for c in members), dtype=np.int64)
-    leaders = [members[0] for members in layout.classes]
+        used = sorted(c for members in self.classes for c in members)
+        sets = [(self.apart or {}).get(n, -1) for n in self.names]
+        self.wanted = [[] for _ in self.names]
+        for c in used:
+            partners = used if self.goal is None or c == self.goal else [self.goal]
+            self.wanted[c] = sorted({self.home[j] for j in partners if j != c and not sets[j] == sets[c] >= 0})
+        self.dealt = [c for c in used if self.wanted[c]]
+        self.leaders = [next((c for c in members if self.wanted[c]), None) for members in self.classes]
+        # Rows of a slice: their ranks are held at once.
+        self.bits = min(13, max(5, (4 * self.held // (len(self.names) * len(self.classes))).bit_length() - 1))
+
+
+class Chunks:
+    """Borders of the chunks: each holds a stretch of one column in the order (value, slice)."""
+
+    def __init__(self, layout: Layout, counts: dict[int, int], drawn, chunks: int | None):
+        """``drawn(n)`` gives values and slices of n rows; ``chunks`` is about how many there are in all."""
+        total = sum(counts[c] for c in layout.dealt)
+        number = {c: max(1, round(chunks * counts[c] / total)) if chunks else -(-counts[c] // CHUNK_CELLS) for c in layout.dealt}
+        values, slices = drawn(64 + DRAWN * max(number.values())) if max(number.values()) > 1 else (None, None)
+        self.column, self.start, self.borders = [], {}, {}
+        for c in layout.dealt:
+            cuts = [np.zeros(0), np.zeros(0, np.int64)]
+            if number[c] > 1:
+                here = np.flatnonzero(np.isfinite(values[:, c]))
+                here = here[np.lexsort((slices[here], values[here, c]))]
+                at = here[[len(here) * i // number[c] for i in range(1, number[c])]] if len(here) else here
+                cuts = [values[at, c], slices[at]]
+            self.start[c], self.borders[c] = len(self.column), cuts
+            self.column += [c] * (len(cuts[0]) + 1)
+
+    def places(self, c: int, x: np.ndarray, part: int) -> np.ndarray:
+        """Where the chunks of the column begin and end in the sorted values of a slice."""
+        value, border = self.borders[c]
+        inner = np.where(part >= border, np.searchsorted(x, value, "left"), np.searchsorted(x, value, "right"))
+        return np.concatenate([[0], inner, [len(x)]])
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Rising numbers, line by line, as bytes of their differences: first bytes first, as they are alike."""
+    steps = np.ascontiguousarray(np.diff(numbers, axis=1, prepend=numbers.dtype.type(0)))
+    return steps.view(np.uint8).reshape(*steps.shape, steps.itemsize).transpose(2, 0, 1).tobytes()
+
+
+def _risen(raw: np.ndarray, kind, lines: int, n: int) -> np.ndarray:
+    """The reverse of :func:`_planes`."""
+    size = np.dtype(kind).itemsize
+    steps = np.ascontiguousarray(raw[:size * lines * n].reshape(size, lines, n).transpose(1, 2, 0)).view(kind).reshape(lines, n)
+    return np.cumsum(steps, axis=1, dtype=kind)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _widened(raw, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=size, codec="zstd"), np.uint8)
+
+
+def _dealt(layout: Layout, chunks: Chunks):
+    """Task side: per slice and chunk the sorted values, their places in the slice and which classes these rows have."""
+    width, mask = len(layout.names), (1 << layout.bits) - 1
+    leaders = [c for c in layout.leaders if c is not None]
+    known = [k for k, c in enumerate(layout.leaders) if c is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, WRITTEN * 8 // width)
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                values, rows = _matrix(part, width), part.column("row").to_numpy()
-                here = np.isfinite(values)
-                flags = np.ones((len(rows), 1), dtype=bool) if layout.own_ranks else here[:, leaders]
-                packed = np.packbits(flags, axis=1, bitorder="little")
-                line, c = np.nonzero(here[:, used])
-                c = used[c]
-                bits = _binary(packed[line])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int32()), pa.array(values[line, c]), pa.array(rows[line]), bits], ["c", "x", "row", "bits"])
+            if not batch.num_rows:
+                continue
+            values, rows = _matrix(batch, width), batch.column("row").to_numpy()
+            slices, made = rows >> layout.bits, []
+            cuts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1], True])
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                part, place, number = values[start:end], (rows[start:end] & mask).astype(np.uint16), int(slices[start])
+                here = np.isfinite(part)
+                flags = np.ones((end - start, len(layout.classes)), bool)
+                if not layout.own_ranks:
+                    flags[:, known] = here[:, leaders]
+                flags = np.packbits(flags, axis=1, bitorder="little")
+                for c in layout.dealt:
+                    line = np.flatnonzero(here[:, c])
+                    line = line[np.argsort(part[line, c], kind="stable")]
+                    x = part[line, c]
+                    at = chunks.places(c, x, number)
+                    for i in np.flatnonzero(at[1:] > at[:-1]):
+                        cells = slice(at[i], at[i + 1])
+                        raw = _planes(x[cells].view(np.int64)[None]) + place[line[cells]].tobytes() + flags[line[cells]].T.tobytes()
+                        made.append((chunks.start[c] + int(i), number, int(at[i + 1] - at[i]), _squeezed(raw)))
+            for at in range(0, len(made), WRITTEN):
+                columns = list(zip(*made[at:at + WRITTEN]))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                                                 ["chunk", "slice", "n", "data"])
 
     return run
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Each row of a matrix as bytes."""
-    rows = np.ascontiguousarray(rows)
-    size = rows.shape[1] * rows.itemsize
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * size
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
-
-
-def _rows_of(column: pa.Array, kind, width: int) -> np.ndarray:
-    """The reverse of :func:`_binary` for cells of equal size."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-    return np.frombuffer(raw.tobytes(), kind).reshape(len(column), width)
+def _sweep(layout: Layout, chunks: Chunks):
+    """Task side: twice the ranks inside a chunk, for each class a column needs.
 
-
-def _sweep(layout: Layout):
-    """Task side: twice the ranks inside a sorted chunk, for each class a column needs (0: the row is not in the class).
-
-    Per column a last row holds what the chunk has of it: rows per class in
-    all, with the first and with the last value, and these two values.
+    A block goes back to its slice in the order in which it came; ``first`` and
+    ``last`` are how many of its cells have the first and the last value of the
+    chunk.  Per chunk a last row (slice -1) holds what the chunk has: rows per
+    class in all, with the first and with the last value, and these two values.
     """
-    width = (1 if layout.own_ranks else len(layout.classes)) + 7 >> 3
+    width = len(layout.classes) + 7 >> 3
+
+    def ranked(chunk: int, held: list) -> Iterator[tuple]:
+        need = layout.wanted[chunks.column[chunk]]
+        blocks = []
+        for _, n, data in held:
+            raw = _widened(data, n * (10 + width))
+            blocks.append((_risen(raw, np.int64, 1, n)[0].view(np.float64), raw[8 * n:10 * n], raw[10 * n:].reshape(width, n)))
+        x = np.concatenate([b[0] for b in blocks])
+        bits = np.concatenate([b[2] for b in blocks], axis=1)
+        order = np.argsort(x, kind="stable")
+        value = x[order]
+        new = np.r_[True, value[1:] != value[:-1]]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        last = np.append(first[1:], len(value))
+        twice, counts = np.empty((len(need), len(value)), np.int32), np.zeros((3, len(need)), np.int64)
+        for at, k in enumerate(need):
+            upto = np.concatenate([[0], np.cumsum(bits[k >> 3, order] >> (k & 7) & 1, dtype=np.int64)])
+            twice[at, order] = (upto[first] + upto[last] + 1)[group]
+            counts[:, at] = upto[-1], upto[last[0]], upto[-1] - upto[first[-1]]
+        start = 0
+        for (number, n, _), (own, place, _) in zip(held, blocks):
+            low = int(np.count_nonzero(own == value[0]))
+            high = 0 if value[0] == value[-1] else int(np.count_nonzero(own == value[-1]))
+            yield number, chunk, n, low, high, _squeezed(place.tobytes() + _planes(twice[:, start:start + n]))
+            start += n
+        yield -1, chunk, 0, 0, 0, counts.tobytes() + value[[0, -1]].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("c").to_numpy(), b.column("x").to_numpy(), b.column("row").to_numpy(), _rows_of(b.column("bits"), np.uint8, width),
-                  b.column(CHUNK)[0].as_py()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        c, x, row, bits = (np.concatenate(p) for p in list(zip(*parts))[:4])
-        chunk, totals = parts[0][4], []
-        del parts
-        cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
-        for start, end in zip(cuts[:-1], cuts[1:]):
-            own, value, need = int(c[start]), x[start:end], layout.wanted[int(c[start])]
-            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-            last = np.append(first[1:], len(value))
-            group = np.cumsum(np.r_[False, value[1:] != value[:-1]])
-            edge = np.where(group == 0, _FIRST, np.where(group == group[-1], _LAST, _INSIDE))
-            ranks = np.zeros((len(value), len(need)), np.int32)
-            counts = np.zeros((3, len(need)), np.int64)
-            for at, k in enumerate(need):
-                here = (bits[start:end, k >> 3] >> (k & 7) & 1).astype(np.int32)
-                upto = np.concatenate([[0], np.cumsum(here, dtype=np.int64)])
-                ranks[:, at] = np.where(here, (upto[first] + upto[last] + 1)[group], 0)
-                counts[:, at] = upto[-1], upto[last[0]], upto[-1] - upto[first[-1]]
-            totals.append((own, counts.tobytes() + value[[0, -1]].tobytes()))
-            for at in range(0, len(value), WRITTEN):
-                to = min(at + WRITTEN, len(value))
-                n = to - at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[start + at:start + to]), pa.array(np.full(n, own), pa.int32()), pa.array(np.full(n, chunk), pa.int32()),
-                     pa.array(edge[at:to], pa.int32()), _binary(ranks[at:to])], ["row", "c", "chunk", "edge", "ranks"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1] * len(totals), pa.int64()), pa.array([t[0] for t in totals], pa.int32()), pa.array([chunk] * len(totals), pa.int32()),
-             pa.array([_TOTALS] * len(totals), pa.int32()), pa.array([t[1] for t in totals], pa.binary())], ["row", "c", "chunk", "edge", "ranks"])
+        def written(rows: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), *[pa.int32()] * 4, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], ["slice", "chunk", "n", "first", "last", "data"])
+
+        def finished(chunk: int, held: list) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for row in ranked(chunk, held):
+                rows.append(row)
+                if len(rows) == WRITTEN:
+                    yield written(rows)
+                    rows = []
+            if rows:
+                yield written(rows)
+
+        chunk, held = None, []
+        for batch in batches:
+            for one, *block in zip(*(batch.column(n).to_pylist() for n in ("chunk", "slice", "n", "data"))):
+                if one != chunk and held:
+                    yield from finished(chunk, held)
+                    held = []
+                chunk = one
+                held.append(block)
+        if held:
+            yield from finished(chunk, held)
 
     return run
 
 
 class Carried:
-    """What to add to twice the ranks of a (column, chunk), and twice the ranks of its first and last value.
+    """What to add to twice the ranks of a chunk, and twice the ranks of its first and last value.
 
-    Made of one row per column and chunk, so its size depends on columns,
-    classes and chunks and not on rows.
+    Made of one row per chunk, so its size depends on classes and chunks and
+    not on rows.
     """
 
-    def __init__(self, totals, layout: Layout):
-        depth = max(map(len, layout.wanted))
-        rows = sorted((r["c"], r["chunk"], r["ranks"]) for r in totals)
-        self.key = np.array([(c << 32) | chunk for c, chunk, _ in rows], np.int64)
-        self.base, self.first, self.last = np.zeros((3, len(rows), depth))
+    def __init__(self, totals, layout: Layout, chunks: Chunks):
+        rows = sorted((chunks.column[r["chunk"]], r["chunk"], r["data"]) for r in totals)
+        self.at = {chunk: i for i, (_, chunk, _) in enumerate(rows)}
+        self.base, self.first, self.last = np.zeros((3, len(rows), len(layout.classes)))
         at = 0
         while at < len(rows):
             end = at
@@ -220,22 +305,21 @@ class Carried:
                     out[at + i, :wide] = 2 * starts[value] + sizes[value] + 1
             at = end
 
-    def whole(self, c: np.ndarray, chunk: np.ndarray, edge: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """Ranks in the whole column (NaN where the row is not in the class); the cells need equally many classes."""
-        at, wide = np.searchsorted(self.key, (c.astype(np.int64) << 32) | chunk), ranks.shape[1]
-        edge = edge[:, None]
-        twice = np.where(edge == _INSIDE, ranks + self.base[at, :wide], np.where(edge == _FIRST, self.first[at, :wide], self.last[at, :wide]))
-        return np.where(ranks > 0, twice / 2, np.nan)
+    def whole(self, chunk: int, twice: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Ranks in the whole column of a block of cells sorted by value, a line per class."""
+        at, (wide, n) = self.at[chunk], twice.shape
+        ranks = twice + self.base[at, :wide, None]
+        ranks[:, :first] = self.first[at, :wide, None]
+        ranks[:, n - last:] = self.last[at, :wide, None]
+        return ranks / 2
 
 
-def _products(layout: Layout, carried: Carried):
-    """Task side: sums over the rows of a partition, which is sorted by row; one output row per block of columns."""
-    p, depth = len(layout.names), max(map(len, layout.wanted))
+def _products(layout: Layout, chunks: Chunks, carried: Carried):
+    """Task side: sums over the rows of a partition, which is sorted by slice; one output row per block of columns."""
+    p, depth = len(layout.names), len(layout.classes)
     classes, goal, home = layout.classes, layout.goal, layout.home
 
-    def add(sums: dict[str, np.ndarray], line: np.ndarray, c: np.ndarray, ranks: np.ndarray) -> None:
-        dense = np.full((line[-1] + 1, p, depth), np.nan)
-        dense[line, c] = ranks
+    def add(sums: dict[str, np.ndarray], dense: np.ndarray) -> None:
         here, full = ~np.isnan(dense), np.nan_to_num(dense)
         if layout.own_ranks:
             here, full = here[:, :, 0].astype(float), full[:, :, 0]
@@ -248,7 +332,7 @@ def _products(layout: Layout, carried: Carried):
         sums["q"] += np.einsum("rck,rck->ck", full, full)
         if goal is not None:
             for b, members in enumerate(classes):
-                sums["x"][goal, members] += full[:, goal, b] @ full[:, members, 0]
+                sums["x"][goal, members] += full[:, goal, b] @ full[:, members, home[goal]]
             return
         for a, one in enumerate(classes):
             for b in range(a, len(classes)):
@@ -257,44 +341,42 @@ def _products(layout: Layout, carried: Carried):
                 if b != a:
                     sums["x"][np.ix_(classes[b], one)] += product.T
 
+    def put(sums: dict[str, np.ndarray], cells: list) -> None:
+        """The ranks of a slice, so many rows at a time as may be held."""
+        rows = 1 + max(int(place.max()) for _, place, _ in cells)
+        step = max(1, layout.held // (p * depth))
+        for low in range(0, rows, step):
+            dense = np.full((min(step, rows - low), p, depth), np.nan)
+            present = np.zeros(dense.shape[:2], bool)
+            for c, place, ranks in cells:
+                mine = np.flatnonzero((place >= low) & (place < low + step))
+                line = place[mine] - low
+                present[line, c] = True
+                dense[line[:, None], c, np.array(layout.wanted[c])[None]] = ranks[:, mine].T
+            if not layout.own_ranks:
+                for k, leader in enumerate(layout.leaders):
+                    if leader is not None:
+                        dense[~present[:, leader], :, k] = np.nan
+            add(sums, dense)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         square = (p, p) if layout.own_ranks else (p, depth)
         sums = {"x": np.zeros((p, p)), **{name: np.zeros(square) for name in "nsq"}}
-        held: list[tuple] = []
-        size, part = 0, None
-
-        def flush(last: bool) -> None:
-            nonlocal held, size
-            if not held:
-                return
-            row, c, ranks = (np.concatenate(parts) for parts in zip(*held))
-            order = np.argsort(row, kind="stable")
-            row, c, ranks = row[order], c[order], ranks[order]
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            # The last row may go on in the next batch.
-            end = len(row) if last else starts[-1]
-            if end:
-                line = np.cumsum(np.r_[False, row[1:end] != row[:end - 1]])
-                add(sums, line, c[:end], ranks[:end])
-            held = [] if last else [(row[end:], c[end:], ranks[end:])]
-            size = len(row) - end
-
+        current, part, cells = None, None, []
         for batch in batches:
-            row, c, chunk, edge = (batch.column(n).to_numpy() for n in ("row", "c", "chunk", "edge"))
-            part = int(row[0]) % PARTS if part is None and len(row) else part
-            for group in ([np.arange(len(row))] if goal is None or layout.own_ranks else [np.flatnonzero(c != goal), np.flatnonzero(c == goal)]):
-                if len(group):
-                    wide = len(layout.wanted[int(c[group[0]])])
-                    cells = batch.column("ranks") if len(group) == len(row) else batch.column("ranks").take(pa.array(group))
-                    whole = np.full((len(group), depth), np.nan)
-                    whole[:, :wide] = carried.whole(c[group], chunk[group], edge[group], _rows_of(cells, np.int32, wide))
-                    held.append((row[group], c[group], whole))
-            size += batch.num_rows
-            if size * depth >= layout.held:
-                flush(False)
-        flush(True)
+            for number, chunk, n, first, last, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if number != current and cells:
+                    put(sums, cells)
+                    cells = []
+                current, part = number, number % PARTS if part is None else part
+                c = chunks.column[chunk]
+                wide = len(layout.wanted[c])
+                raw = _widened(data, n * (2 + 4 * wide))
+                twice = _risen(raw[2 * n:], np.int32, wide, n)
+                cells.append((c, raw[:2 * n].view(np.uint16).astype(np.int64), carried.whole(chunk, twice, first, last)))
         if part is None:
             return
+        put(sums, cells)
         narrow = [] if layout.own_ranks else [sums[n].ravel() for n in "nsq"]
         for block, at in enumerate(range(0, p, layout.block)):
             to = at + layout.block
@@ -324,11 +406,11 @@ def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.repartition(*keys).mapInArrow(run, SUMS)
 
 
-def _pairs(layout: Layout, apart: dict[str, int] | None):
+def _pairs(layout: Layout):
     """Task side: the pairs of a block of columns; with ``apart`` none of two columns that have one number there."""
-    p, depth, names = len(layout.names), max(map(len, layout.wanted)), np.array(layout.names, dtype=object)
+    p, depth, names = len(layout.names), len(layout.classes), np.array(layout.names, dtype=object)
     home = np.array(layout.home)
-    sets = np.array([(apart or {}).get(n, -1) for n in layout.names])
+    sets = np.array([(layout.apart or {}).get(n, -1) for n in layout.names])
     used = np.isin(np.arange(p), [c for members in layout.classes for c in members])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +426,7 @@ def _pairs(layout: Layout, apart: dict[str, int] | None):
                 else:
                     full = rest.reshape(3, p, depth)
                     n, si, qi = (f[low:low + size][:, home] for f in full)
-                    sj, qj = (np.broadcast_to(f[:, 0], (size, p)) if layout.goal is not None else f[:, home[i]].T for f in full[1:])
+                    sj, qj = (np.broadcast_to(f[:, home[layout.goal]], (size, p)) if layout.goal is not None else f[:, home[i]].T for f in full[1:])
                 yield from emit(i, j, x, n, si, qi, sj, qj)
 
     def emit(i, j, x, n, si, qi, sj, qj) -> Iterator[pa.RecordBatch]:
@@ -376,26 +458,37 @@ def spearman_pairs(df: DataFrame, columns, method: str = "pairwise", target: str
     names = list(dict.fromkeys([*columns, *([target] if target else [])]))
     if method not in ("pairwise", "column_ranks"):
         raise ValueError("method must be 'pairwise' or 'column_ranks'")
-    # The work per row grows with (columns * classes) from here on: rows that came in few large files are spread first.
-    values = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v")).repartition(parallelism(df.sparkSession))
-    work = settle(values.withColumn("row", F.monotonically_increasing_id()), "finite")
-    classes = _presence_classes(work, len(names))
-    own_ranks = method == "column_ranks"
-    if own_ranks and classes:
-        classes = [sorted(c for members in classes for c in members)]
-    goal = names.index(target) if target else None
-    if not classes or goal is not None and not any(goal in members for members in classes):
-        return df.sparkSession.createDataFrame([], PAIRS)
-    layout = Layout(names, classes, own_ranks, goal)
-    cells = "c int, x double, row bigint, bits binary"
-    most = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = work.orderBy(F.xxhash64("row")).limit(64 + 2 * DRAWN * most // len(names)).mapInArrow(_cells(layout), cells)
-    placed = chunked(work.mapInArrow(_cells(layout), cells), ["c"], ["x", "row"], chunks, drawn)
-    swept = settle(placed.sortWithinPartitions("c", "x").mapInArrow(_sweep(layout), CELLS), "ranks")
-    carried = Carried(swept.where("row = -1").select("c", "chunk", "ranks").collect(), layout)
-    rows = swept.where("row >= 0").repartition("row").sortWithinPartitions("row")
-    sums = _summed(_summed(rows.mapInArrow(_products(layout, carried), SUMS), ["block", "part"]), ["block"])
-    return sums.mapInArrow(_pairs(layout, apart), PAIRS)
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], PAIRS)
+    with scratch(spark) as made:
+        # The work per row grows with (columns * classes) from here on: rows that came in few large files are spread first.
+        values = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v")).repartition(parallelism(spark))
+        work = settle(values.withColumn("row", F.monotonically_increasing_id()), "finite", compression="zstd")
+        classes, counts = _presence_classes(work, len(names))
+        own_ranks = method == "column_ranks"
+        if own_ranks and classes:
+            classes = [sorted(c for members in classes for c in members)]
+        goal = names.index(target) if target else None
+        if not classes or goal is not None and not any(goal in members for members in classes):
+            return empty
+        layout = Layout(names, classes, own_ranks, goal, apart)
+        if not layout.dealt:
+            return empty
+
+        def drawn(n: int) -> tuple[np.ndarray, np.ndarray]:
+            some = work.orderBy(F.xxhash64("row")).limit(n).toArrow().combine_chunks().to_batches()[0]  # bounded by the number of chunks
+            return _matrix(some, len(names)), some.column("row").to_numpy() >> layout.bits
+
+        parts = Chunks(layout, counts, drawn, chunks)
+        most, cells = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(counts[c] for c in layout.dealt)
+        tasks, total = min(len(parts.column), most, 1 + cells // 20_000), len(parts.column)
+        dealt = work.mapInArrow(_dealt(layout, parts), DEALT).withColumn("task", F.expr(f"cast(cast(chunk as bigint) * {tasks} div {total} as int)"))
+        sorted_cells = dealt.repartitionById(tasks, "task").sortWithinPartitions("chunk").drop("task")
+        swept = made.keep(settle(sorted_cells.mapInArrow(_sweep(layout, parts), RANKED), "ranks"))
+    carried = Carried(swept.where("slice = -1").select("chunk", "data").collect(), layout, parts)
+    rows = swept.where("slice >= 0").repartition("slice").sortWithinPartitions("slice")
+    sums = _summed(_summed(rows.mapInArrow(_products(layout, parts, carried), SUMS), ["block", "part"]), ["block"])
+    return sums.mapInArrow(_pairs(layout), PAIRS)
 
 
 def correlated_later(pairs: DataFrame, threshold: float = 0.99) -> DataFrame:
@@ -405,7 +498,8 @@ def correlated_later(pairs: DataFrame, threshold: float = 0.99) -> DataFrame:
 
 def correlated_columns(df: DataFrame, columns, threshold: float = 0.99, method: str = "pairwise",
                        apart: dict[str, int] | None = None) -> list[str]:
-    found = {r["column"] for r in correlated_later(spearman_pairs(df, columns, method, apart=apart), threshold).collect()}
+    with scratch(df.sparkSession):
+        found = {r["column"] for r in correlated_later(spearman_pairs(df, columns, method, apart=apart), threshold).collect()}
     return [c for c in columns if c in found]
 
 
